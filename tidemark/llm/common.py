@@ -101,3 +101,35 @@ def bounded_sample(df: DataFrame, key: Column, bound: int, seed: str) -> DataFra
         return df
     slots = 1 << 40
     return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(slots)) < int(slots * (bound / total)))
+
+
+ROWS_AT_ONCE = 256
+
+
+def map_rows(df: DataFrame, keep: tuple[str, ...], inputs: tuple[str, ...], make, out: str) -> DataFrame:
+    """``keep`` columns unchanged and the columns ``out`` (DDL), computed from ``inputs`` in Arrow batches.
+
+    ``make()`` runs once per task and returns a function of lists (one per input) to lists (one per output).
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kept = df.select(*keep).schema.fields
+    schema = T.StructType([*kept, *T.StructType.fromDDL(out).fields])
+    names, n = [f.name for f in schema.fields], len(kept)
+    arrow = to_arrow_schema(schema)
+    source = df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), *(F.col(c).alias(f"_i{i}") for i, c in enumerate(inputs)))
+    taken = len(inputs)
+
+    def run(batches):
+        f = make()
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                part = whole.slice(at, ROWS_AT_ONCE)
+                made = f(*(part.column(n + i).to_pylist() for i in range(taken)))
+                columns = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
+                columns += [pa.array(x, arrow.field(n + i).type) for i, x in enumerate(made)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return source.mapInArrow(run, schema)

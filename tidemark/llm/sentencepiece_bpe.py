@@ -11,20 +11,17 @@ otherwise it merges the leftmost alone. That makes the outcome the same as one m
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import map_rows, read
 
 SPACE = "▁"
 NO_PAIR = np.iinfo(np.int32).max
 CACHED_WORDS = 200_000  # words whose ids a worker remembers
-TEXTS_AT_ONCE = 256
 
 
 @dataclass
@@ -206,38 +203,37 @@ def _codec(vocabulary: Vocabulary, key: int) -> Codec:
     return _codecs[key]
 
 
-def encode(text: Column, vocabulary: Vocabulary, begin: bool = False, end: bool = True) -> Column:
-    """array<int> of the whole text's ids. Null and empty texts: only the begin and end ids asked for."""
-    key = hash((len(vocabulary.pieces), tuple(vocabulary.pieces), tuple(vocabulary.scores)))
+def encode_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",), begin: bool = False, end: bool = True) -> DataFrame:
+    """``keep`` columns, ids array<int> of the whole text and decoded string, the text of those ids.
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Null and empty texts have only the begin and end ids asked for and decode to the empty string. Repeated rows
+    stay, empty tables give none, other columns are dropped. The model file is read where the driver runs.
+    """
+    vocabulary = Vocabulary.load(model_path)
+    key = hash((tuple(vocabulary.pieces), tuple(vocabulary.scores)))
+
+    def make():
         codec = _codec(vocabulary, key)
-        for batch in batches:
-            texts = batch.tolist()
-            parts = [codec.encode(texts[k : k + TEXTS_AT_ONCE], begin, end) for k in range(0, len(texts), TEXTS_AT_ONCE)]
-            yield pd.Series([ids for part in parts for ids in part], dtype=object)
 
-    return run.asNondeterministic()(text)  # never computed twice
+        def run(texts):
+            ids = codec.encode(texts, begin, end)
+            return ids, [codec.decode(x) for x in ids]
 
+        return run
 
-def decode(ids: Column, vocabulary: Vocabulary) -> Column:
-    """Text of an array of ids; null: null."""
-    key = hash((len(vocabulary.pieces), tuple(vocabulary.pieces), tuple(vocabulary.scores)))
+    return map_rows(docs, keep, ("text",), make, "ids array<int>, decoded string")
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(vocabulary, key)
-        for batch in batches:
-            yield pd.Series([None if x is None else codec.decode(x) for x in batch], dtype=object)
 
-    return run(ids)
+def decode_ids(encoded: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and decoded string, the text of the column ids; null ids: null."""
+    vocabulary = Vocabulary.load(model_path)
+    key = hash((tuple(vocabulary.pieces), tuple(vocabulary.scores)))
 
+    def make():
+        codec = _codec(vocabulary, key)
+        return lambda ids: [[None if x is None else codec.decode(x) for x in ids]]
 
-def encode_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ids array<int> and decoded string for every row of ``docs`` (text); repeated rows stay, empty tables give none."""
-    vocabulary = Vocabulary.load(model_path)
-    return docs.select(*keep, encode(F.col("text"), vocabulary).alias("ids")).withColumn("decoded", decode(F.col("ids"), vocabulary))
+    return map_rows(encoded, keep, ("ids",), make, "decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
