@@ -10,16 +10,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import map_rows, read
 
-TURN = "struct<role:string,text:string>"
 END = "</turn>"
 
 
@@ -143,71 +140,57 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return found
 
 
-def canonical_turns(records: DataFrame, record_col: str = "record", mappings=MAPPINGS) -> DataFrame:
-    """Adds fingerprint string and turns array<struct<role,text>> for a column of JSON records.
+def canonical(raw: str | None, known: dict[str, Mapping]) -> tuple[str | None, list[tuple[str, str]] | None]:
+    """Fingerprint and turns of one JSON record. Null or malformed: both null. An unknown layout: turns null."""
+    try:
+        record = None if raw is None else json.loads(raw)
+    except ValueError:
+        record = None
+    if record is None:
+        return None, None
+    key = fingerprint(field_paths(record))
+    mapping = known.get(key)
+    return key, None if mapping is None else turns_of(record, mapping)
 
-    Null or malformed JSON: fingerprint and turns null. An unknown layout: turns null. Null texts and roles: empty.
-    """
-    known = registry(mappings)
-
-    @F.pandas_udf(f"struct<fingerprint:string,turns:array<{TURN}>>")
-    def convert(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for raw in batch:
-                try:
-                    record = None if raw is None else json.loads(raw)
-                except ValueError:
-                    record = None
-                if record is None:
-                    out.append((None, None))
-                    continue
-                key = fingerprint(field_paths(record))
-                mapping = known.get(key)
-                out.append((key, None if mapping is None else [{"role": r, "text": t} for r, t in turns_of(record, mapping)]))
-            yield pd.DataFrame(out, columns=["fingerprint", "turns"])
 
-    return records.withColumn("_c", convert(F.col(record_col))).select(*records.columns, "_c.*")
+def read_back(text: str, spans: list[tuple[int, int]]) -> tuple:
+    """Number of turns, their digest, code points and digest of the text under the loss mask: all from the formatted text."""
+    turns = parse(text)
+    whole = "".join(f"{role}\n{body}\n" for role, body in turns)
+    loss = "".join(unescape(text[a:b]) for a, b in spans)
+    hexed = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (whole, loss)]
+    return len(turns), hexed[0], len(loss), hexed[1], len(text)
 
 
-def format_chat(turned: DataFrame, turns_col: str = "turns", loss_roles=("assistant",)) -> DataFrame:
-    """Adds formatted string and loss_spans array<struct<start,end>> (code points, end excluded); null turns: null."""
-    roles = tuple(loss_roles)
+_OUT = "fingerprint string, formatted string, loss_spans array<struct<start:bigint,end:bigint>>"
+_DIGESTS = ", n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
-    @F.pandas_udf("struct<formatted:string,loss_spans:array<struct<start:bigint,end:bigint>>>")
-    def write(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for turns in batch:
-                if turns is None:
-                    out.append((None, None))
-                    continue
-                text, spans = render([(t["role"] or "", t["text"] or "") for t in turns], roles)
-                out.append((text, [{"start": a, "end": b} for a, b in spans]))
-            yield pd.DataFrame(out, columns=["formatted", "loss_spans"])
 
-    return turned.withColumn("_f", write(F.col(turns_col))).select(*turned.columns, "_f.*")
+def format_chat(records: DataFrame, keep: tuple[str, ...], record_col: str = "record", mappings=MAPPINGS, loss_roles=("assistant",), digests: bool = False) -> DataFrame:
+    """``keep`` columns, fingerprint, formatted and loss_spans (code points, end excluded) for a column of JSON records.
 
+    Records without turns (null, malformed, unknown layout) have null formatted and loss_spans. Null texts and roles
+    count as empty. ``digests`` adds what :func:`read_back` finds. Empty tables give no rows; repeated rows stay.
+    """
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, all read from the formatted text and its spans."""
+    def make():
+        known = registry(mappings)
 
-    @F.pandas_udf("struct<n_turns:bigint,turns_sha256:string,loss_chars:bigint,loss_sha256:string,formatted_chars:bigint>")
-    def digest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, spans in batches:
-            out = []
-            for text, own in zip(texts, spans):
-                if text is None:
-                    out.append((None,) * 5)
+        def run(raw):
+            rows = []
+            for text in raw:
+                key, turns = canonical(text, known)
+                if turns is None:
+                    rows.append((key,) + (None,) * (7 if digests else 2))
                     continue
-                turns = parse(text)
-                whole = "".join(f"{role}\n{body}\n" for role, body in turns)
-                loss = "".join(unescape(text[s["start"] : s["end"]]) for s in own)
-                hexed = (hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (whole, loss))
-                out.append((len(turns), next(hexed), len(loss), next(hexed), len(text)))
-            yield pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                formatted, spans = render(turns, loss_roles)
+                row = (key, formatted, [{"start": a, "end": b} for a, b in spans])
+                rows.append(row + read_back(formatted, spans) if digests else row)
+            return list(zip(*rows)) if rows else [[]] * (8 if digests else 3)
+
+        return run
 
-    return formatted.withColumn("_d", digest("formatted", "loss_spans")).select(*formatted.columns, "_d.*")
+    return map_rows(records, keep, (record_col,), make, _OUT + _DIGESTS if digests else _OUT)
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
@@ -225,8 +208,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
-    records = conversation_records(rows.unionByName(own))
-    out = read_back(format_chat(canonical_turns(records)))
+    out = format_chat(conversation_records(rows.unionByName(own)), ("conv_id",), digests=True)
     return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
