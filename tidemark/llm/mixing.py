@@ -16,7 +16,7 @@ from .common import Scratch, read, small, words
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 SEED = "mix-1"
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 10_000
 INTERVALS = 1024
 
 
@@ -107,7 +107,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, passes: int = MAX_PASSES, seed
     targets = source_targets(base, weights, passes)
     targets = scratch.save(targets.select(name.alias("name"), "source_size", F.coalesce("target", F.lit(0.0)).alias("target")))
     # Running totals per source without one task per source: totals of hash buckets first, then within the buckets.
-    buckets = max(16, -(-rows // ROWS_PER_BUCKET))
+    buckets = max(256, -(-rows // ROWS_PER_BUCKET))
     bucket = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("bigint") * buckets / F.lit(float(1 << 32)))
     base = base.select(name.alias("name"), "doc_id", "size", "shuffle_key", bucket.alias("bucket"))
     by_bucket = base.groupBy("name", "bucket").agg(F.sum("size").alias("words"))
