@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, mixing, quality_rules, sentencepiece_bpe, toxicity
+from . import chat, language_id, mixing, quality_classifier, quality_rules, sentencepiece_bpe, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_sentencepiece": sentencepiece_bpe.op2_sentencepiece,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_language_id": language_id.op9_language_id,
     "op10_mix_sources": mixing.op10_mix_sources,
