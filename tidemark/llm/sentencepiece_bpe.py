@@ -21,7 +21,7 @@ from .common import map_rows, read
 
 SPACE = "▁"
 NO_PAIR = np.iinfo(np.int32).max
-CACHED_WORDS = 200_000  # words whose ids a worker remembers
+CACHED_WORDS = 300_000  # words whose ids a worker remembers
 
 
 @dataclass
@@ -65,9 +65,7 @@ class Codec:
                 self._symbol[ord(p)] = i
         rank = {s: k for k, s in enumerate(sorted({v.scores[i] for i in known.values()}, reverse=True))}
         pairs = [(symbols[p[:k]], symbols[p[k:]], i) for p, i in known.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
-        table = np.array(sorted((a << 32 | b, i) for a, b, i in pairs), np.int64).reshape(-1, 2)
-        self._keys, self._merged = table[:, 0].copy(), table[:, 1].copy()
-        self._ranks = np.array([rank[v.scores[i]] for i in self._merged], np.int32)
+        self._table(np.array([a << 32 | b for a, b, _ in pairs], np.int64), np.array([i for _, _, i in pairs], np.int64), np.array([rank[v.scores[i]] for _, _, i in pairs], np.int32))
         joins = {c for p in known if len(p) > 1 for c in p}
         #: A line end that no piece joins is a word of its own, which lets the words around it be remembered.
         self._words = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if "\n" not in joins else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
@@ -78,22 +76,48 @@ class Codec:
         self._is_byte = set(v.byte_ids)
         self._controls = {i for i in range(len(v.pieces)) if not v.mergeable[i]} - self._is_byte - {v.unknown}
 
+    def _table(self, keys: np.ndarray, merged: np.ndarray, ranks: np.ndarray) -> None:
+        """Open addressing with linear probes: a lookup is one gather for nearly every pair."""
+        self._slots = 1 << (int(len(keys) * 4).bit_length())
+        self._keys = np.full(self._slots, -1, np.int64)
+        self._merged, self._ranks = np.zeros(self._slots, np.int64), np.full(self._slots, NO_PAIR, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self._keys[slot[left]] == -1
+            at, first = np.unique(slot[left[free]], return_index=True)
+            own = left[free][first]
+            self._keys[at], self._merged[at], self._ranks[at] = keys[own], merged[own], ranks[own]
+            left = np.setdiff1d(left, own)
+            taken = self._keys[slot[left]] != keys[left]
+            slot[left] = np.where(taken, (slot[left] + 1) % self._slots, slot[left])
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - self._slots.bit_length())).astype(np.int64)
+
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of pairs; NO_PAIR where there is none."""
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        hit = (self._keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(hit, self._ranks[at], NO_PAIR), self._merged[at]
-
-    def _merge_words(self, words: list[str]) -> list[np.ndarray]:
+        key = left << 32 | (right & 0xFFFFFFFF)
+        slot = self._slot(key)
+        found = self._keys[slot]
+        odd = np.flatnonzero((found != key) & (found != -1))
+        while len(odd):
+            slot[odd] = (slot[odd] + 1) % self._slots
+            found[odd] = self._keys[slot[odd]]
+            odd = odd[(found[odd] != key[odd]) & (found[odd] != -1)]
+        return np.where((found == key) & (left >= 0), self._ranks[slot], NO_PAIR), self._merged[slot]
+
+    def _merge_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as int32 bytes."""
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbol = self._symbol[points]
-        symbol[symbol < 0] = -1 - points[symbol < 0].astype(np.int64)  # unknown characters keep their code point
+        unknown = symbol < 0
+        symbol[unknown] = -2 - points[unknown].astype(np.int64)  # unknown characters keep their code point
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        #: rank and merged symbol of the pair that starts at each place, kept over the rounds
+        rank, merged = self._pairs(symbol, np.append(symbol[1:], -1))
+        rank[np.append(word[1:] != word[:-1], True)] = NO_PAIR
         done_symbols, done_words = [], []
-        while len(symbol):
-            rank, merged = self._pairs(symbol[:-1], symbol[1:])
-            rank = np.append(np.where(word[:-1] == word[1:], rank, NO_PAIR), NO_PAIR)
+        while True:
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(word))))
             over = best == NO_PAIR
@@ -101,7 +125,7 @@ class Codec:
                 done_symbols.append(symbol[over])
                 done_words.append(word[over])
                 stay = ~over
-                symbol, word, rank, best, merged = symbol[stay], word[stay], rank[stay], best[stay], np.append(merged, 0)[stay]
+                symbol, word, rank, best, merged = symbol[stay], word[stay], rank[stay], best[stay], merged[stay]
                 if not len(symbol):
                     break
             at = np.flatnonzero(rank == best)
@@ -124,22 +148,30 @@ class Codec:
             symbol[at] = new
             stay = np.ones(len(symbol), bool)
             stay[at + 1] = False
-            symbol, word = symbol[stay], word[stay]
+            symbol, word, rank, merged = symbol[stay], word[stay], rank[stay], merged[stay]
+            at = at - np.arange(len(at))  # each merge before moves it by one
+            changed = np.concatenate([at, at[at > 0] - 1])
+            following = np.minimum(changed + 1, len(symbol) - 1)
+            own, rank_now = self._pairs(symbol[changed], symbol[following])[::-1]
+            rank[changed] = np.where((word[following] == word[changed]) & (following > changed), rank_now, NO_PAIR)
+            merged[changed] = own
         symbol, word = np.concatenate(done_symbols), np.concatenate(done_words)
         order = np.argsort(word, kind="stable")
         symbol, word = symbol[order], word[order]
-        return np.split(symbol, np.flatnonzero(np.diff(word)) + 1)
-
-    def _ids(self, symbols: np.ndarray) -> bytes:
-        size = len(self.vocabulary.pieces)
-        if symbols.min() >= 0 and symbols.max() < size:
-            return symbols.astype(np.int32).tobytes()
-        out: list[int] = []
+        ends = np.searchsorted(word, np.arange(len(words)), side="right").tolist()
+        packed = symbol.astype(np.int32).tobytes()
+        out = [packed[a * 4 : b * 4] for a, b in zip([0, *ends], ends)]
+        for w in np.unique(word[(symbol < 0) | (symbol >= len(self.vocabulary.pieces))]).tolist():
+            out[w] = self._with_bytes(symbol[ends[w - 1] if w else 0 : ends[w]])
+        return out
+
+    def _with_bytes(self, symbols: np.ndarray) -> bytes:
+        size, out = len(self.vocabulary.pieces), []
         for s in symbols.tolist():
             if 0 <= s < size:
                 out.append(s)
             else:
-                char = self._outside[s - size] if s >= 0 else chr(-1 - s)
+                char = self._outside[s - size] if s >= 0 else chr(-2 - s)
                 out += [self.vocabulary.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
         return np.array(out, np.int32).tobytes()
 
@@ -151,7 +183,7 @@ class Codec:
             self._cache.clear()
             new = list({w for ws in split for w in ws})
         if new:
-            self._cache.update(zip(new, map(self._ids, self._merge_words(new))))
+            self._cache.update(zip(new, self._merge_words(new)))
         v, get = self.vocabulary, self._cache.__getitem__
         head = np.array([v.begin] * begin, np.int32).tobytes()
         tail = np.array([v.end] * end, np.int32).tobytes()
