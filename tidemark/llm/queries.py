@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, mixing, quality_classifier, quality_rules, sentencepiece_bpe, toxicity
+from . import chat, language_id, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_bpe, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_language_id": language_id.op9_language_id,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op3_quality_rules": quality_rules.OP3_SQL,
+    "op8_ngram_join": ngram_join.OP8_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
