@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, mixing, nearest, ngram_join, quality_classifier, quality_rules, sentencepiece_bpe, toxicity
+from . import chat, html_extraction, language_id, mixing, nearest, ngram_join, quality_classifier, quality_rules, sentencepiece_bpe, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_sentencepiece": sentencepiece_bpe.op2_sentencepiece,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+    "op5_html_extraction": html_extraction.op5_html_extraction,
     "op6_nearest": nearest.op6_nearest,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_ngram_join": ngram_join.op8_ngram_join,
