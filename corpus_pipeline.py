@@ -1,15 +1,88 @@
-"""The corpus pipeline: its stages, in order, each over the whole of what the one before kept."""
+"""The corpus pipeline: its stages, in order, each over the whole of what the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.llm import language_id, mixing, ngram_join, sentencepiece_bpe, toxicity
+from tidemark.llm.common import Scratch, read
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A predicted language with a lower score counts as unknown.
+LEAST_CONFIDENCE = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from the labels of the training part, does not reject."""
+    model = toxicity.train_toxicity_model(toxicity.training_part(docs), toxicity.training_part(read(spark, sf_dir, "labels")))
+    return toxicity.score_toxicity(docs, model, COLUMNS).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows and is sure of; documents without letters go."""
+    model = language_id.train_language_model(language_id.training_part(docs))
+    if not model.languages:  # nothing to learn from: nothing is rejected
+        return docs.select(*COLUMNS)
+    judged = language_id.identify_language(docs, model, COLUMNS)
+    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CONFIDENCE)).select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked documents; one row where an id is repeated.
+
+    Documents without an id or without words are in no group and stay.
+    """
+    groups = ngram_join.ngram_components(docs)
+    kept = Scratch(spark).save(groups.where("doc_id is null or doc_id = component_id").select("doc_id").where("doc_id is not null").distinct())
+    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    order = W.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+    once = named.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*COLUMNS)
+    return once.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, as many times as it takes them."""
+    docs = docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"))
+    taken = mixing.mix_sources(docs, carry=("_hash",)).where("repeats > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of")).agg(F.max("repeats").alias("repeats"))
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & (F.col("_hash") == F.col("_of")))
+    return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "repeats")).alias("_pass")).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document kept, with the digest of the text that they decode to."""
+    import public_tokenizers
+
+    keep = ("doc_id", "lang", "source")
+    encoded = sentencepiece_bpe.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep)
+    return encoded.select(
+        *keep, "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", keep_known_languages),
+    ("ngram_join", one_of_each_group),
+    ("mixing", mix_to_weights),
+    ("sentencepiece", encode),
+]
 
-STAGES: list = []
+#: SQL can express neither the trained stages nor the encoding; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    scratch = Scratch(spark)
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = scratch.save(docs)
     return docs

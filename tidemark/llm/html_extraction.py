@@ -205,7 +205,7 @@ def evidence(b: Block, zone: str, anchored: bool) -> tuple[float, float]:
     if zone == "content":
         return 9.0, 2.0 * linked
     for_it = min(4.0, 0.15 * words) + (1.0 if _SENTENCE.search(b.text) else 0.0) + (2.5 if b.element.tag == "h1" else 1.0 if heading else 0.0)
-    return for_it * (1 - linked), (1.5 if anchored else 0.3) + 4.0 * linked + (1.0 if words < 4 and not heading else 0.0)
+    return for_it * (1 - linked), (1.5 if anchored else 0.3) + 4.0 * linked + ((1.0 if anchored else 0.3) if words < 4 and not heading else 0.0)
 
 
 def _distance(a: Element, b: Element) -> int:
