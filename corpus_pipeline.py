@@ -10,11 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, mixing, ngram_join, sentencepiece_bpe, toxicity
-from tidemark.llm.common import Scratch, read
+from tidemark.llm.common import Scratch, read, small
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A predicted language with a lower score counts as unknown.
 LEAST_CONFIDENCE = 0.5
+#: Rows (of two or three numbers) up to which a table of decisions is sent to every executor; beyond, joins shuffle.
+MOST_BROADCAST = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +39,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Documents without an id or without words are in no group and stay.
     """
-    groups = ngram_join.ngram_components(docs)
-    kept = Scratch(spark).save(groups.where("doc_id is null or doc_id = component_id").select("doc_id").where("doc_id is not null").distinct())
-    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
-    order = W.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    once = named.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*COLUMNS)
-    return once.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    scratch = Scratch(spark)
+    groups = scratch.save(ngram_join.ngram_components(docs).where("doc_id is not null"))
+    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    kept = scratch.save(kept)
+    rows = docs.select(*COLUMNS)
+    named = rows.join(small(kept, MOST_BROADCAST), "doc_id")
+    out = named.where("_rows = 1").select(*COLUMNS).unionByName(rows.where("doc_id is null"))
+    if kept.where("_rows > 1").count():  # only rows that share an id are dealt out by it
+        order = W.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+        again = named.where("_rows > 1").withColumn("_row", F.row_number().over(order)).where("_row = 1")
+        out = out.unionByName(again.select(*COLUMNS))
+    return out
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +58,8 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     docs = docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"))
     taken = mixing.mix_sources(docs, carry=("_hash",)).where("repeats > 0")
     taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of")).agg(F.max("repeats").alias("repeats"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & (F.col("_hash") == F.col("_of")))
+    taken = Scratch(spark).save(taken)
+    rows = docs.join(small(taken, MOST_BROADCAST), docs["doc_id"].eqNullSafe(taken["_id"]) & (F.col("_hash") == F.col("_of")))
     return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "repeats")).alias("_pass")).select(*COLUMNS)
 
 
