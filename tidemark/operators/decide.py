@@ -28,17 +28,17 @@ def cost_curve(scored: DataFrame, review_cost: float = REVIEW_COST) -> DataFrame
     """
     per = _per_score(scored)
     sums = {"n_below": "n", "pos_below": "pos", "cents_below": "fraud_cents"}
-    totals = per.agg(F.sum("n").alias("N"), F.sum("pos").alias("P"), F.sum("fraud_cents").alias("C"))
+    totals = per.agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"), F.sum("fraud_cents").alias("all_cents"))
     at_scores = with_scalar(running_before(per, "score", sums), totals)
-    columns = ["score", "n_below", "pos_below", "cents_below", "N", "P", "C"]
-    above_all = totals.where("N is not null").select(F.lit(float("inf")).alias("score"), F.col("N").alias("n_below"), F.col("P").alias("pos_below"), F.col("C").alias("cents_below"), "N", "P", "C")
-    alerts = F.col("N") - F.col("n_below")
-    false_alerts = alerts - (F.col("P") - F.col("pos_below"))
+    columns = ["score", "n_below", "pos_below", "cents_below", "all_n", "all_pos"]
+    above_all = totals.where("all_n is not null").select(F.lit(float("inf")).alias("score"), F.col("all_n").alias("n_below"), F.col("all_pos").alias("pos_below"), F.col("all_cents").alias("cents_below"), "all_n", "all_pos")
+    alerts = F.col("all_n") - F.col("n_below")
+    false_alerts = alerts - (F.col("all_pos") - F.col("pos_below"))
     return at_scores.select(*columns).unionByName(above_all).select(
         F.col("score").alias("threshold"),
         alerts.alias("alerts"),
         (F.col("cents_below") / F.lit(100.0) + F.lit(review_cost) * alerts).alias("cost"),
-        (1 - (F.col("pos_below") + false_alerts) / F.col("N")).alias("accuracy"),
+        (1 - (F.col("pos_below") + false_alerts) / F.col("all_n")).alias("accuracy"),
     )
 
 

@@ -20,8 +20,8 @@ def _index(p: Column, q: Column) -> Column:
 
 def _shares(binned: DataFrame) -> DataFrame:
     """(feature, p, q) per bin from (feature, bin, in_ref): shares of the reference and of the current rows."""
-    counts = binned.groupBy("feature", "bin").agg(F.sum(F.col("in_ref").cast("bigint")).alias("r"), F.sum((~F.col("in_ref")).cast("bigint")).alias("c"))
-    totals = counts.groupBy("feature").agg(F.sum("r").alias("R"), F.sum("c").alias("C"))
+    counts = binned.groupBy("feature", "bin").agg(F.sum(F.col("in_ref").cast("bigint")).alias("ref"), F.sum((~F.col("in_ref")).cast("bigint")).alias("cur"))
+    totals = counts.groupBy("feature").agg(F.sum("ref").alias("all_ref"), F.sum("cur").alias("all_cur"))
     return counts.join(totals, "feature")
 
 
@@ -45,13 +45,13 @@ def drift_report(reference: DataFrame, current: DataFrame, numeric: tuple[str, .
         seen = _shares(long)
         # bins that no row falls in still count with the floor
         wanted = edges.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.size(f"_e_{c}").alias("edges")) for c in numeric))))
-        per = seen.groupBy("feature").agg(F.sum(_index(F.col("r") / F.nullif("R", F.lit(0)), F.col("c") / F.nullif("C", F.lit(0)))).alias("psi"))
+        per = seen.groupBy("feature").agg(F.sum(_index(F.col("ref") / F.nullif("all_ref", F.lit(0)), F.col("cur") / F.nullif("all_cur", F.lit(0)))).alias("psi"))
         parts.append(wanted.join(per, "feature").select("feature", "psi"))  # both floors: an empty bin adds nothing
     if categorical:
         value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
         both = flag(reference.select(*categorical), True).unionByName(flag(current.select(*categorical), False))
         long = both.select("in_ref", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), value(c).alias("bin")) for c in categorical))))
-        parts.append(_shares(long).groupBy("feature").agg(F.sum(_index(F.col("r") / F.nullif("R", F.lit(0)), F.col("c") / F.nullif("C", F.lit(0)))).alias("psi")))
+        parts.append(_shares(long).groupBy("feature").agg(F.sum(_index(F.col("ref") / F.nullif("all_ref", F.lit(0)), F.col("cur") / F.nullif("all_cur", F.lit(0)))).alias("psi")))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     out = out.withColumn("psi", F.bround("psi", 4))
     level = F.when(F.col("psi") >= MAJOR, "major").when(F.col("psi") >= MODERATE, "moderate").otherwise("stable")

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
 
     atexit.register(remove)
     return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to a shared folder and read again, for rows that are scanned many times."""
+    path = f"{shared_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

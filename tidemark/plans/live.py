@@ -72,7 +72,7 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FULL_SQL = registry._pit_sql(registry._EVENTS) + f"SELECT {', '.join(_COLUMNS)} FROM feat"
-_PARITY_SQL = f"""WITH {registry._EVENTS} SELECT f AS feature, (SELECT count(*) FROM tx WHERE TransactionDT >= {int(START)}) AS rows, 0 AS mismatches, 0.0::DOUBLE AS max_abs_diff
+_PARITY_SQL = f"""WITH {registry._EVENTS} SELECT f AS feature, (SELECT count(*) FROM tx WHERE TransactionDT >= {int(START)}) AS rows, 0::BIGINT AS mismatches, 0.0::DOUBLE AS max_abs_diff
 FROM (SELECT unnest(['*', {", ".join(f"'{f}'" for f in parity.FEATURES)}]) AS f)"""
 QUERIES = {
     "stream_features": (stream_features, _FULL_SQL),

@@ -82,11 +82,11 @@ win AS (
     min(TransactionDT) {every} AS card_first_t, max(TransactionDT) {every} AS card_last_t
   FROM tx),
 ev AS (
-  SELECT card_id, CAST({arrival} AS DOUBLE) AS at, 0 AS kind, isFraud AS fraud, NULL::BIGINT AS id FROM tx
+  SELECT card_id, CAST({arrival} AS DOUBLE) AS moment, 0 AS kind, isFraud AS fraud, NULL::BIGINT AS id FROM tx
   UNION ALL SELECT card_id, CAST(TransactionDT AS DOUBLE), 1, 0, TransactionID FROM tx),
 run AS (
   SELECT id, kind, CAST(sum(1 - kind) OVER w AS BIGINT) AS card_labeled_cnt, CAST(sum(fraud) OVER w AS BIGINT) AS card_fraud_cnt
-  FROM ev WINDOW w AS (PARTITION BY card_id ORDER BY at, kind ROWS UNBOUNDED PRECEDING)),
+  FROM ev WINDOW w AS (PARTITION BY card_id ORDER BY moment, kind ROWS UNBOUNDED PRECEDING)),
 raw AS (
   SELECT win.* EXCLUDE (n, s, q), n AS card_cnt_all, {whole}, card_labeled_cnt, card_fraud_cnt
   FROM win JOIN run ON run.id = win.TransactionID AND run.kind = 1),
@@ -389,7 +389,7 @@ def _psi_sql(numeric: dict[str, str], categorical: dict[str, str], halves: str)
         edges = f"(SELECT list_sort(list_distinct(quantile_cont({e}, [{', '.join(f'{(i + 1) / 10}' for i in range(9))}]))) FROM h WHERE is_ref)"
         parts.append(f"SELECT '{f}' AS feature, CAST(CASE WHEN x IS NULL THEN 0 ELSE len(list_filter(edges, lambda e: e <= x)) + 1 END AS VARCHAR) AS bin, is_ref FROM (SELECT {e} AS x, is_ref, {edges} AS edges FROM h)")
     for f, e in categorical.items():
-        parts.append(f"SELECT '{f}', coalesce({e}, '<missing>'), is_ref FROM h")
+        parts.append(f"SELECT '{f}' AS feature, coalesce({e}, '<missing>') AS bin, is_ref FROM h")
     return f"""WITH h AS ({halves}), b AS ({" UNION ALL ".join(parts)}),
 c AS (SELECT feature, bin, count(*) FILTER (is_ref) AS r, count(*) FILTER (NOT is_ref) AS c FROM b GROUP BY feature, bin),
 s AS (SELECT feature, greatest(CAST(r AS DOUBLE) / sum(r) OVER w, 1e-4::DOUBLE) AS p, greatest(CAST(c AS DOUBLE) / sum(c) OVER w, 1e-4::DOUBLE) AS q FROM c WINDOW w AS (PARTITION BY feature)),
