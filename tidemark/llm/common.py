@@ -104,6 +104,17 @@ def bounded_sample(df: DataFrame, key: Column, bound: int, seed: str) -> DataFra
 
 
 ROWS_AT_ONCE = 256
+BATCH_BYTES = 4 << 20
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of about ``BATCH_BYTES`` at most, so that long texts do not pile up to 10,000 rows in
+    the memory of the JVM and of Python. A smaller bound that the session has set stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(key)).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def map_rows(df: DataFrame, keep: tuple[str, ...], inputs: tuple[str, ...], make, out: str) -> DataFrame:
@@ -119,17 +130,18 @@ def map_rows(df: DataFrame, keep: tuple[str, ...], inputs: tuple[str, ...], make
     schema = T.StructType([*kept, *T.StructType.fromDDL(out).fields])
     names, n = [f.name for f in schema.fields], len(kept)
     arrow = to_arrow_schema(schema)
-    source = df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), *(F.col(c).alias(f"_i{i}") for i, c in enumerate(inputs)))
-    taken = len(inputs)
+    sent = [*keep, *(c for c in inputs if c not in keep)]  # a column that is both goes once
+    source = df.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(sent)))
+    taken = [sent.index(c) for c in inputs]
 
     def run(batches):
         f = make()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 part = whole.slice(at, ROWS_AT_ONCE)
-                made = f(*(part.column(n + i).to_pylist() for i in range(taken)))
+                made = f(*(part.column(i).to_pylist() for i in taken))
                 columns = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
                 columns += [pa.array(x, arrow.field(n + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, map_rows, read
+from .common import fold, map_batches, map_rows, read
 
 BITS = 15
 SIZE = 1 << BITS
@@ -144,7 +144,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, SIZE)), pa.array(np.append(seen[at], docs))], names=["gram", "n"])
 
-    sums = texts.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    sums = map_batches(texts.select("text"), run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     found = np.zeros(SIZE + 1, np.int64)
     for gram, n in sums.collect():  # SIZE + 1 rows at most
         found[gram] = n

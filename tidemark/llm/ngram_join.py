@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_rows, read, small
+from .common import Scratch, map_batches, map_rows, read, small
 from .components import connected_components
 
 WORDS = 3
@@ -206,7 +206,7 @@ def _search_blocks(rows: DataFrame, percent: int) -> DataFrame:
                 old = block.get(nodes[i])
                 block[nodes[i]] = (asked[i] or bool(old and old[0]), values[offsets[i] : offsets[i + 1]].copy())
 
-    return ordered.mapInArrow(run, "a bigint, b bigint")
+    return map_batches(ordered, run, "a bigint, b bigint")
 
 
 def _links(sets: DataFrame, scratch: Scratch, percent: int, block: int) -> DataFrame:

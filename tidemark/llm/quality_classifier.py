@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, map_rows, read
+from .common import Scratch, fold, map_batches, map_rows, read
 
 STATISTICS = (
     "log_words", "log_chars", "word_length", "upper", "digit", "space", "comma_stop", "symbol", "exclamation", "bar",
@@ -109,7 +109,7 @@ def _normal_equations(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray,
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(upper[0]))), pa.array(total[upper])], names=["cell", "v"])
 
-    cells = rows.select("x", F.col("y").cast("double")).mapInArrow(run, "cell bigint, v double").groupBy("cell").agg(F.sum("v").alias("v"))
+    cells = map_batches(rows.select("x", F.col("y").cast("double")), run, "cell bigint, v double").groupBy("cell").agg(F.sum("v").alias("v"))
     table = cells.toPandas().set_index("cell")["v"].reindex(range(len(upper[0])), fill_value=0.0).to_numpy()
     full = np.zeros((size + 1, size + 1))
     full[upper] = table
@@ -152,7 +152,7 @@ def train_quality_model(stats: DataFrame, labels: DataFrame) -> QualityModel:
             raw = np.clip(model.raw(_matrix(batch)), -1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.floor((raw + 1) / 3 * (BINS - 1)).astype(np.int64)), pa.array(raw), batch.column("y")], names=["bin", "raw", "y"])
 
-    scored = rows.where("part = 0").select("x", "y").mapInArrow(run, "bin bigint, raw double, y double")
+    scored = map_batches(rows.where("part = 0").select("x", "y"), run, "bin bigint, raw double, y double")
     bins = scored.groupBy("bin").agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").toPandas()
     if len(bins):
         model.knots, model.values = _isotonic(bins["raw"].to_numpy(), bins["y"].to_numpy(), bins["n"].to_numpy(float))

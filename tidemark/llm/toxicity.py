@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample, fold, map_rows, read
+from .common import Scratch, bounded_sample, fold, map_batches, map_rows, read
 
 _word = re.compile(r"[^\W\d_]+").findall
 STEMS = (3, 4, 5, 6)  # lengths of word beginnings that are features of their own
@@ -92,7 +92,7 @@ def feature_frequencies(texts: DataFrame) -> DataFrame:
                 seen[""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["feature", "n"])
 
-    return texts.select("text").mapInArrow(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    return map_batches(texts.select("text"), run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def enriched_features(pos: DataFrame, unl: DataFrame, most: int = FEATURES) -> list[str]:
