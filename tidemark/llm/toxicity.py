@@ -27,6 +27,7 @@ UNLABELLED = 9_000
 FEATURES = 400  # most enriched features that get a weight
 LEAST_POSITIVES = 3  # confirmed texts that must have a feature
 SIGNIFICANCE = 15.0  # least G statistic of its enrichment
+SMOOTHING, MOST_RATE = 50, 5.0
 STEPS = 300
 RATE, DECAY = 0.1, 1e-5
 
@@ -42,23 +43,35 @@ def features(text: str | None) -> set[str]:
     return found
 
 
+def rates(text: str | None, known, starts: frozenset[str]) -> dict[str, float]:
+    """Occurrences per 100 words of the features in ``known``, as if the text had ``SMOOTHING`` words more, up to
+    ``MOST_RATE``. ``starts``: the first letters of the known features, see :func:`first_letters`.
+
+    A long text holds a word of any kind by chance; only how dense such words are tells the two kinds apart."""
+    words = _word(text.lower()) if text else []
+    found: dict[str, float] = {}
+    for word, n in Counter(words).items():
+        if word[: STEMS[0]] in starts:
+            for f in ("=" + word, *(word[:k] for k in STEMS if len(word) > k)):
+                if f in known:
+                    found[f] = found.get(f, 0) + n
+    return {f: min(100.0 * n / (len(words) + SMOOTHING), MOST_RATE) for f, n in sorted(found.items())}
+
+
+def first_letters(known) -> frozenset[str]:
+    return frozenset(f.removeprefix("=")[: STEMS[0]] for f in known)
+
+
 @dataclass
 class ToxicityModel:
     weights: dict[str, float]
     bias: float
 
     def __post_init__(self) -> None:
-        self._words = {f[1:]: w for f, w in self.weights.items() if f[0] == "="}
-        self._stems = {f: w for f, w in self.weights.items() if f[0] != "="}
+        self._starts = first_letters(self.weights)
 
     def score(self, text: str | None) -> float:
-        z = self.bias
-        if text:
-            words = set(_word(text.lower()))
-            z += sum(map(self._words.__getitem__, words & self._words.keys()))
-            stems = self._stems.keys()
-            for n in STEMS:
-                z += sum(map(self._stems.__getitem__, {w[:n] for w in words if len(w) > n} & stems))
+        z = self.bias + sum(self.weights[f] * x for f, x in rates(text, self.weights, self._starts).items())
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -130,13 +143,19 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = PO
     place = {f: i for i, f in enumerate(chosen)}
 
     def make():
-        return lambda texts: [[sorted(place[f] for f in features(t) & place.keys()) for t in texts]]
+        starts = first_letters(place)
+
+        def run(texts):
+            found = [rates(t, place, starts) for t in texts]
+            return [[place[f] for f in x] for x in found], [list(x.values()) for x in found]
+
+        return run
 
     def dense(rows: DataFrame) -> np.ndarray:
-        found = [r["at"] for r in map_rows(rows, ("doc_id",), ("text",), make, "at array<int>").orderBy("doc_id", "at").collect()]
+        found = map_rows(rows, ("doc_id",), ("text",), make, "at array<int>, rate array<float>").orderBy("doc_id", "at", "rate").collect()
         table = np.zeros((len(found), len(chosen)), np.float32)
-        for row, at in zip(table, found):
-            row[at] = 1
+        for row, (_, at, rate) in zip(table, found):
+            row[at] = rate
         return table
 
     w, b = non_negative_pu(dense(pos), dense(unl), prior)
