@@ -32,12 +32,12 @@ def test_stream_scores_cover_the_live_part(spark):
 def test_careless_rungs_look_better_than_they_are(spark):
     """Fraud sits on a few cards, and the amount says nothing: only the leaks can see it."""
     rng, rows = random.Random(11), []
-    for i in range(1_500):
+    for i in range(4_000):
         card = rng.randrange(100)
         fraud = int(card < 8 and rng.random() < 0.6)
         amount = rng.randrange(100, 9_000)
-        rows.append((i, i * 4_000, amount / 100, amount, f"c{card}", fraud, i * 4_000 + 86_400.0 * (10 if fraud else 30)))
+        rows.append((i, i * 2_000, amount / 100, amount, f"c{card}", fraud, i * 2_000 + 86_400.0 * (10 if fraud else 30)))
     tx = spark.createDataFrame(rows, "TransactionID bigint, TransactionDT bigint, TransactionAmt double, cents bigint, card_id string, isFraud int, label_available_at double")
     got = {r["variant"]: r for r in ladder.leakage_ladder(tx, ("TransactionAmt",), trees=3).collect()}
     assert list(got) == ["time_split_base", "random_base", "random_global_aggs", "random_target_enc"]
-    assert got["random_target_enc"]["roc_auc"] > max(0.9, got["random_base"]["roc_auc"] + 0.2)
+    assert got["random_target_enc"]["roc_auc"] > max(0.85, got["random_base"]["roc_auc"] + 0.15)
