@@ -94,11 +94,12 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, passes: int = MAX_PASSES, seed
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    carried = [f"_carry{i}" for i in range(len(carry))]  # their own names may be those of columns made here
     base = scratch.save(
         docs.select(
             "doc_id",
             "source",
-            *carry,
+            *(F.col(c).alias(a) for c, a in zip(carry, carried)),
             F.size(words(F.col("text"))).cast("bigint").alias("size"),
             F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("shuffle_key"),
         )
@@ -110,7 +111,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, passes: int = MAX_PASSES, seed
     # Running totals per source without one task per source: totals of hash buckets first, then within the buckets.
     buckets = max(256, -(-rows // ROWS_PER_BUCKET))
     bucket = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("bigint") * buckets / F.lit(float(1 << 32)))
-    base = base.select(name.alias("name"), "doc_id", *carry, "size", "shuffle_key", bucket.alias("bucket"))
+    base = base.select(name.alias("name"), "doc_id", *carried, "size", "shuffle_key", bucket.alias("bucket"))
     by_bucket = base.groupBy("name", "bucket").agg(F.sum("size").alias("words"))
     offset = F.coalesce(F.sum("words").over(W.partitionBy("name").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = scratch.save(by_bucket.select("name", "bucket", offset.alias("offset")))
@@ -119,7 +120,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, passes: int = MAX_PASSES, seed
         base.withColumn("running", F.sum("size").over(within))
         .join(small(offsets), ["name", "bucket"])
         .join(small(targets), "name")
-        .select("doc_id", *carry, "size", "source_size", "target", "shuffle_key", (F.col("running") + F.col("offset")).alias("running"))
+        .select("doc_id", *carried, "size", "source_size", "target", "shuffle_key", (F.col("running") + F.col("offset")).alias("running"))
     )
 
     def finish(n):
@@ -144,7 +145,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, passes: int = MAX_PASSES, seed
         repeats = sum(taken_pass[1:], taken_pass[0])
     repeats = F.when((F.col("size") > 0) & (F.col("target") > 0), repeats).otherwise(0)
     return queued.withColumn("repeats", repeats.cast("int")).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", *carry
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", *(F.col(a).alias(c) for c, a in zip(carry, carried))
     )
 
 

@@ -139,6 +139,8 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = PO
     scratch = Scratch(docs.sparkSession)
     pos = scratch.save(docs.join(confirmed, "doc_id", "left_semi"))
     unl = scratch.save(bounded_sample(docs, F.col("doc_id"), unlabelled, "unlabelled"))
+    if pos.isEmpty():  # the confirmed ids are in no row of docs
+        return ToxicityModel({}, -10.0)
     chosen = enriched_features(pos, unl)
     place = {f: i for i, f in enumerate(chosen)}
 
