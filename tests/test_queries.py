@@ -4,6 +4,7 @@ import random
 
 import pytest
 from conftest import SF
+from test_operators import TX, random_tx
 
 from tidemark.plans import ladder, registry
 from tidemark.plans.ship import ship
@@ -41,3 +42,11 @@ def test_careless_rungs_look_better_than_they_are(spark):
     got = {r["variant"]: r for r in ladder.leakage_ladder(tx, ("TransactionAmt",), trees=3).collect()}
     assert list(got) == ["time_split_base", "random_base", "random_global_aggs", "random_target_enc"]
     assert got["random_target_enc"]["roc_auc"] > max(0.85, got["random_base"]["roc_auc"] + 0.15)
+
+
+def test_headline_holds_both_models(spark):
+    rows = spark.createDataFrame(random_tx(500, seed=9), TX)
+    table = {r["model"]: r for r in ladder.headline(rows, ("TransactionAmt",), trees=1).collect()}
+    assert set(table) == {"naive", "honest"}
+    for r in table.values():
+        assert 0 <= r["roc_auc_live"] <= 1 and r["roc_auc_gap"] == pytest.approx(r["roc_auc_offline"] - r["roc_auc_live"], abs=2e-4)

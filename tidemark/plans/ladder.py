@@ -85,6 +85,38 @@ def honest_ladder(tx: DataFrame, base: tuple[str, ...], trees: int = 10) -> Data
     return _union([run_variant(name, rows, columns, trees) for name, rows, columns in rungs])
 
 
+def headline(tx: DataFrame, base: tuple[str, ...], trees: int = 10) -> DataFrame:
+    """(model, roc_auc_offline, roc_auc_live, roc_auc_gap, and the same for pr_auc) of the careless and the honest model.
+
+    Offline is what each promised on development rows. Live is the holdout, with features as they can be served there:
+    the careless model gets its aggregates from history and arrived labels alone. Raises if a live row has no features.
+    """
+    extra = (*PIT_FEATURES, *LABEL_FEATURES)
+    leaks = (*leaky.GLOBAL_AGGREGATES, *leaky.TARGET_ENCODING)
+    periods = dataset.assign_period(tx)
+    dev, holdout = periods.where("period <> 'holdout'"), periods.where("period = 'holdout'").withColumn("part", F.lit("test"))
+    history = saved(pit_features(tx))
+    served = leaky.served_aggregates(history).select("TransactionID", *leaks)
+    known = history.select("TransactionID", *extra)
+    if holdout.join(history, "TransactionID", "left_anti").limit(1).count():
+        raise ValueError("live rows without features")
+    careless = leaky.target_encoding(leaky.global_aggregates(dataset.random_split(dev)))
+    start = holdout.agg(F.min("TransactionDT").alias("cutoff"))
+    mature = dataset.with_scalar(dev, start).where("label_available_at <= cutoff").drop("cutoff")
+    honest = dataset.time_ordered_split(mature).join(known, "TransactionID")
+    columns = ("TransactionID", "isFraud", "cents", "part", *base)
+    live = lambda train, features, extra: train.where("part <> 'test'").select(*columns, *extra).unionByName(holdout.join(features, "TransactionID").select(*columns, *extra))
+    runs = (
+        ("naive", "offline", careless, (*base, *leaks)),
+        ("naive", "live", live(careless, served, leaks), (*base, *leaks)),
+        ("honest", "offline", _time_parts(tx, True).join(known, "TransactionID"), (*base, *extra)),
+        ("honest", "live", live(honest, known, extra), (*base, *extra)),
+    )
+    rows = _union([run_variant(model, part, names, trees).withColumn("seen", F.lit(seen)) for model, seen, part, names in runs])
+    out = rows.groupBy(F.col("variant").alias("model")).agg(*(F.max(F.when(F.col("seen") == seen, F.col(m))).alias(f"{m}_{seen}") for m in ("roc_auc", "pr_auc") for seen in ("offline", "live")))
+    return out.withColumns({f"{m}_gap": F.bround(F.col(f"{m}_offline") - F.col(f"{m}_live"), 4) for m in ("roc_auc", "pr_auc")})
+
+
 def _union(rows: list[DataFrame]) -> DataFrame:
     out = rows[0]
     for r in rows[1:]:

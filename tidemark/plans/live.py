@@ -60,6 +60,10 @@ def honest_ladder_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladder.honest_ladder(_with_base(spark, sf_dir), BASE, trees=5)
 
 
+def headline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ladder.headline(_with_base(spark, sf_dir), BASE, trees=5)
+
+
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live part scored in the stream by a model of the history: (TransactionID, score)."""
     history = pit_features(registry.tx(spark, sf_dir)).where(F.col("TransactionDT") < START)
@@ -81,4 +85,5 @@ QUERIES = {
     "stream_scores": (stream_scores, None),
     "ladder_metrics": (ladder_metrics, None),
     "honest_ladder_metrics": (honest_ladder_metrics, None),
+    "headline_metrics": (headline_metrics, None),
 }
