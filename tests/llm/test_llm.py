@@ -127,6 +127,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert clean["predicted"].mean() < 0.01 and toxic["predicted"].mean() > 0.9
 
 
+def test_toxicity_features_come_from_all_rows(spark):
+    bad = [f"{a}{b}qx" for a in "bcdfghjklmnprstvwz" for b in "abcdefghijklmnopqrstuvwxyz"]  # each in 8 of 40 toxic texts
+    texts = [" ".join(w for i, w in enumerate(bad) if i % 5 == k % 5) + " plain words" for k in range(40)] + ["plain words only"] * 400
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(440)], "doc_id bigint, toxic int")
+    model = toxicity.train_toxicity_model(docs_of(spark, texts), labels, positives=5, unlabelled=20)
+    assert {"=" + w for w in bad} <= set(model.weights) and "=plain" not in model.weights
+
+
 def test_language_on_held_out_rows(spark):
     out = queries.QUERIES["op9_language_id"](spark, SF_LABELLED)
     known = spark.read.parquet(f"{SF_LABELLED}/documents.parquet").where("lang is not null").select("doc_id", "lang")

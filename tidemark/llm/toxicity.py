@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample, fold, map_batches, map_rows, read
+from .common import Scratch, bounded_sample, fold, map_batches, map_rows, read, small
 
 _word = re.compile(r"[^\W\d_]+").findall
 STEMS = (3, 4, 5, 6)  # lengths of word beginnings that are features of their own
-#: Bounds on the sampled rows that the fit sees.
+#: Bounds on the sampled rows that the fit sees; the features are chosen from all rows.
 POSITIVES = 3_000
 UNLABELLED = 9_000
-FEATURES = 400  # most enriched features that get a weight
+MOST_COUNTED = 200_000  # features that a task counts before it passes its counts on
+MOST_BROADCAST = 500_000  # confirmed ids up to which they are sent to every executor
 LEAST_POSITIVES = 3  # confirmed texts that must have a feature
 SIGNIFICANCE = 15.0  # least G statistic of its enrichment
 SMOOTHING, MOST_RATE = 50, 5.0
@@ -75,19 +76,39 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def non_negative_pu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+class SparseRows:
+    """Matrix of few values a row, for products with vectors from both sides."""
+
+    __array_ufunc__ = None  # vector @ rows comes here
+
+    def __init__(self, rows: list[tuple[list[int], list[float]]], columns: int):
+        self.shape = len(rows), columns
+        self.row = np.repeat(np.arange(len(rows)), [len(at) for at, _ in rows])
+        self.at = np.fromiter((i for at, _ in rows for i in at), np.int64, len(self.row))
+        self.value = np.fromiter((x for _, values in rows for x in values), np.float64, len(self.row))
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.at], self.shape[0])
+
+    def __rmatmul__(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, self.value * x[self.row], self.shape[1])
+
+
+def non_negative_pu(pos: np.ndarray | SparseRows, unl: np.ndarray | SparseRows, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative PU risk under the logistic loss (Adam over the whole of both samples)."""
-    pos, unl = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (pos, unl))
-    w = np.zeros(pos.shape[1], np.float32)
+    w = np.zeros(pos.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        zp, zu = pos @ w, unl @ w
+        zp, zu = pos @ w[:-1] + w[-1], unl @ w[:-1] + w[-1]
         sp, su = (1 / (1 + np.exp(-np.clip(z, -50, 50))) for z in (zp, zu))
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        grad_negative = su @ unl / len(unl) - prior * (sp @ pos) / len(pos)
+        grad_negative = np.append(su @ unl, su.sum()) / len(unl) - prior * np.append(sp @ pos, sp.sum()) / len(pos)
         # below zero the negatives' risk has been overfitted: go back on it alone
-        grad = -grad_negative if negative < 0 else prior * ((sp - 1) @ pos) / len(pos) + grad_negative
+        grad = -grad_negative if negative < 0 else prior * np.append((sp - 1) @ pos, (sp - 1).sum()) / len(pos) + grad_negative
         grad[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= RATE * (1 - 0.9 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -95,24 +116,43 @@ def non_negative_pu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int =
 
 
 def feature_frequencies(texts: DataFrame) -> DataFrame:
-    """(feature, n): rows of ``texts`` (text) that have each feature; the feature '' is in all."""
+    """(feature, p, u): confirmed rows and all rows of ``texts`` (text, confirmed) that have each feature; '' is in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(features(text))
-                seen[""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["feature", "n"])
-
-    return map_batches(texts.select("text"), run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+        p: Counter[str] = Counter()
+        u: Counter[str] = Counter()
 
+        def counts() -> pa.RecordBatch:
+            found = [pa.array(u.keys(), pa.string()), pa.array([p[f] for f in u], pa.int64()), pa.array(u.values(), pa.int64())]
+            return pa.RecordBatch.from_arrays(found, names=["feature", "p", "u"])
 
-def enriched_features(pos: DataFrame, unl: DataFrame, most: int = FEATURES) -> list[str]:
-    """Features whose share among ``pos`` exceeds that among ``unl`` most significantly (G statistic)."""
-    both = feature_frequencies(pos).where(F.col("n") >= LEAST_POSITIVES).withColumnRenamed("n", "p")
-    both = both.join(feature_frequencies(unl).withColumnRenamed("n", "u"), "feature", "left").fillna(0, ["u"])
-    n_pos, n_unl = pos.count(), max(unl.count(), 1)
+        for batch in batches:
+            for text, confirmed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = features(text)
+                found.add("")
+                u.update(found)
+                if confirmed:
+                    p.update(found)
+                if len(u) >= MOST_COUNTED:
+                    yield counts()
+                    p.clear()
+                    u.clear()
+        yield counts()
+
+    counted = map_batches(texts.select("text", "confirmed"), run, "feature string, p bigint, u bigint")
+    return counted.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def enriched_features(texts: DataFrame) -> list[str]:
+    """Features whose share among the confirmed rows of ``texts`` (text, confirmed) exceeds that among all rows
+    significantly (G statistic). Every row counts, and every such feature is in the result."""
+    scratch = Scratch(texts.sparkSession)
+    both = scratch.save(feature_frequencies(texts).where(F.col("p") >= LEAST_POSITIVES))
+    totals = both.where("feature = ''").first()
+    if not totals:  # fewer confirmed rows than a feature must have
+        scratch.drop(both)
+        return []
+    n_pos, n_unl = totals["p"], totals["u"]
 
     share = (F.col("p") + F.col("u")) / float(n_pos + n_unl)
     g = F.lit(0.0)
@@ -120,14 +160,17 @@ def enriched_features(pos: DataFrame, unl: DataFrame, most: int = FEATURES) -> l
         for cell, expected in ((n, share * total), (total - n, (1 - share) * total)):
             g = g + 2 * F.when(cell > 0, cell * F.log(cell / expected)).otherwise(0.0)
     kept = both.where("feature <> ''").where(F.col("p") / n_pos > F.col("u") / n_unl).withColumn("g", g).where(F.col("g") > SIGNIFICANCE)
-    return sorted(r["feature"] for r in kept.orderBy(F.col("g").desc(), "feature").limit(most).collect())
+    found = sorted(r["feature"] for r in kept.select("feature").collect())
+    scratch.drop(both)
+    return found
 
 
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicityModel:
     """Fits on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both restricted to what may be learned from.
 
-    About ``positives`` confirmed texts and ``unlabelled`` others at most, chosen by a hash of the id. A document with
-    several labels is toxic if one says so. Without confirmed texts the model scores every text near zero.
+    The features are those of :func:`enriched_features` over all rows. Their weights come from about ``positives``
+    confirmed texts and ``unlabelled`` others at most, chosen by a hash of the id. A document with several labels is
+    toxic if one says so. Without confirmed texts the model scores every text near zero.
     """
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic, labelled = labels.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
@@ -135,13 +178,14 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = PO
         return ToxicityModel({}, -10.0)
     prior = min(0.5, toxic / labelled)
     docs = docs.select("doc_id", "text")
-    confirmed = bounded_sample(labels.where("toxic = 1").select("doc_id"), F.col("doc_id"), positives, "toxic")
+    confirmed = labels.where("toxic = 1").select("doc_id")
     scratch = Scratch(docs.sparkSession)
-    pos = scratch.save(docs.join(confirmed, "doc_id", "left_semi"))
-    unl = scratch.save(bounded_sample(docs, F.col("doc_id"), unlabelled, "unlabelled"))
+    pos = scratch.save(docs.join(small(bounded_sample(confirmed, F.col("doc_id"), positives, "toxic")), "doc_id", "left_semi"))
     if pos.isEmpty():  # the confirmed ids are in no row of docs
         return ToxicityModel({}, -10.0)
-    chosen = enriched_features(pos, unl)
+    unl = scratch.save(bounded_sample(docs, F.col("doc_id"), unlabelled, "unlabelled"))
+    marked = small(confirmed.withColumn("confirmed", F.lit(True)), MOST_BROADCAST)
+    chosen = enriched_features(docs.join(marked, "doc_id", "left"))
     place = {f: i for i, f in enumerate(chosen)}
 
     def make():
@@ -153,14 +197,11 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = PO
 
         return run
 
-    def dense(rows: DataFrame) -> np.ndarray:
+    def sparse(rows: DataFrame) -> SparseRows:
         found = map_rows(rows, ("doc_id",), ("text",), make, "at array<int>, rate array<float>").orderBy("doc_id", "at", "rate").collect()
-        table = np.zeros((len(found), len(chosen)), np.float32)
-        for row, (_, at, rate) in zip(table, found):
-            row[at] = rate
-        return table
+        return SparseRows([(at, rate) for _, at, rate in found], len(chosen))
 
-    w, b = non_negative_pu(dense(pos), dense(unl), prior)
+    w, b = non_negative_pu(sparse(pos), sparse(unl), prior)
     scratch.drop(pos, unl)
     return ToxicityModel(dict(zip(chosen, w.tolist())), b)
 
