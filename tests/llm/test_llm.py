@@ -182,6 +182,11 @@ def test_article_without_furniture():
         assert isinstance(html_extraction.extract(odd), str)
 
 
+@pytest.mark.parametrize("around", ["<div>", "<font>", "<b>"])
+def test_text_under_deep_nesting(around):
+    assert html_extraction.extract(around * 3_000 + "<p>A sentence of some words, as text.</p>") == "A sentence of some words, as text."
+
+
 def test_every_page_has_a_row(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, ""), (None, "u", "<p>A sentence of some words, as text.</p>")], "page_id bigint, url string, html string").withColumn("text", F.lit(1))
     out = html_extraction.extract_pages(pages).collect()

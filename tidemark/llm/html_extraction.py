@@ -178,20 +178,22 @@ def blocks_of(page: str) -> list[Block]:
 
 def _zone(e: Element, total: int, known: dict[int, str]) -> str:
     """'outer' under page furniture, 'content' under an article, '' elsewhere."""
-    if id(e) in known:
-        return known[id(e)]
-    above = _zone(e.up, total, known) if e.up else ""
-    if e.outer_by == "tag":
-        zone = "outer"
-    elif e.outer_by == "name":  # a wrapper around nearly everything only bears the name of a layout
-        zone = above if e.has_content and e.chars > 0.5 * total else "outer"
-    elif e.tag == "header" or e.outer_by == "header":
-        zone = above if above else "outer"  # the header of an article belongs to it
-    elif e.content_by:
-        zone = above or "content"
-    else:
-        zone = above
-    known[id(e)] = zone
+    way = []
+    while e and id(e) not in known:
+        way.append(e)
+        e = e.up
+    zone = known[id(e)] if e else ""
+    for e in reversed(way):  # from the root down, without recursion: pages may nest without limit
+        above = zone
+        if e.outer_by == "tag":
+            zone = "outer"
+        elif e.outer_by == "name":  # a wrapper around nearly everything only bears the name of a layout
+            zone = above if e.has_content and e.chars > 0.5 * total else "outer"
+        elif e.tag == "header" or e.outer_by == "header":
+            zone = above if above else "outer"  # the header of an article belongs to it
+        elif e.content_by:
+            zone = above or "content"
+        known[id(e)] = zone
     return zone
 
 
