@@ -182,6 +182,20 @@ def test_article_without_furniture():
         assert isinstance(html_extraction.extract(odd), str)
 
 
+def test_names_in_an_article_are_soft_evidence():
+    long = "The measured values agree with the model in all but two of the series, which we repeat. "
+    page = f"""<body><nav>Home</nav><article><p>{long}</p><h2 id="related-work">Related work</h2><p>{long}</p>
+    <section id="discussion"><h2>Discussion</h2><p>{long}{long}</p></section><p class="share-price">Shares closed at 12.30, up three percent.</p>
+    <p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding="application/x-tex">x=2</annotation></math> holds. {long}</p>
+    <div class="share"><a href=/f>Post on F</a> <a href=/t>Post on T</a></div><div class="comments"><p>{long}</p></div><aside>{long}</aside>
+    </article><div class="related"><p>{long}</p></div></body>"""
+    text = long.strip()
+    assert html_extraction.extract(page).split("\n") == [
+        text, "Related work", text, "Discussion", f"{text} {text}", "Shares closed at 12.30, up three percent.", f"So x=2 holds. {text}"
+    ]
+    assert html_extraction.extract(f"<main><div class=sidebar-right><article><p>Short.</p><p>{long}</p></article></div></main>") == f"Short.\n{text}"
+
+
 @pytest.mark.parametrize("around", ["<div>", "<font>", "<b>"])
 def test_text_under_deep_nesting(around):
     assert html_extraction.extract(around * 3_000 + "<p>A sentence of some words, as text.</p>") == "A sentence of some words, as text."

@@ -24,7 +24,7 @@ BLOCK_TAGS = frozenset(
     "thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style template noscript head title svg math iframe object canvas audio video textarea select button option datalist".split())
+SILENT_TAGS = frozenset("script style template noscript head title svg annotation annotation-xml iframe object canvas audio video textarea select button option datalist".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe template".split())
 OUTER_TAGS = frozenset("nav footer aside form menu dialog search".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -38,6 +38,9 @@ OUTER_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article articlebody content entry main post prose story".split())
 CLOSED_BY_ITSELF = frozenset("li dt dd tr td th option p".split())
 
+#: Capacity to the sink of a block in an article whose element, or one around it, bears a name of furniture.
+NAMED, NAMED_HEADING = 3.5, 2.0
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>", re.S
 )
@@ -55,6 +58,7 @@ class Element:
     content_by: str = ""
     chars: int = 0  # of text below
     has_content: bool = False  # an article or main element below
+    in_content: bool = False  # an article or main element here or above
 
 
 @dataclass
@@ -68,7 +72,7 @@ class Block:
 def _open(tag: str, attrs: str, up: Element | None) -> tuple[Element, bool]:
     """The element and whether it shows no text."""
     silent = tag in SILENT_TAGS
-    found = Element(tag, up, up.depth + 1 if up else 0)
+    found = Element(tag, up, up.depth + 1 if up else 0, in_content=tag in CONTENT_TAGS or bool(up and up.in_content))
     names = set()
     if "=" in attrs or "hidden" in attrs.lower():
         for m in _ATTR.finditer(attrs):
@@ -177,7 +181,7 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _zone(e: Element, total: int, known: dict[int, str]) -> str:
-    """'outer' under page furniture, 'content' under an article, '' elsewhere."""
+    """'outer' under page furniture, 'content' under an article, 'named' there under a name of furniture, '' elsewhere."""
     way = []
     while e and id(e) not in known:
         way.append(e)
@@ -187,8 +191,10 @@ def _zone(e: Element, total: int, known: dict[int, str]) -> str:
         above = zone
         if e.outer_by == "tag":
             zone = "outer"
-        elif e.outer_by == "name":  # a wrapper around nearly everything only bears the name of a layout
-            zone = above if e.has_content and e.chars > 0.5 * total else "outer"
+        elif e.outer_by == "name" and e.has_content and e.chars > 0.5 * total:
+            pass  # a wrapper around nearly everything only bears the name of a layout
+        elif e.outer_by == "name":  # an article has sections on anything
+            zone = "named" if above != "outer" and e.up and e.up.in_content else "outer"
         elif e.tag == "header" or e.outer_by == "header":
             zone = above if above else "outer"  # the header of an article belongs to it
         elif e.content_by:
@@ -207,7 +213,10 @@ def evidence(b: Block, zone: str, anchored: bool) -> tuple[float, float]:
     if zone == "content":
         return 9.0, 2.0 * linked
     for_it = min(4.0, 0.15 * words) + (1.0 if _SENTENCE.search(b.text) else 0.0) + (2.5 if b.element.tag == "h1" else 1.0 if heading else 0.0)
-    return for_it * (1 - linked), (1.5 if anchored else 0.3) + 4.0 * linked + ((1.0 if anchored else 0.3) if words < 4 and not heading else 0.0)
+    against = NAMED_HEADING if heading else NAMED
+    if zone != "named":
+        against = (1.5 if anchored else 0.3) + ((1.0 if anchored else 0.3) if words < 4 and not heading else 0.0)
+    return for_it * (1 - linked), against + 4.0 * linked
 
 
 def _distance(a: Element, b: Element) -> int:
@@ -294,12 +303,13 @@ def extract(page: str | None) -> str:
     total = sum(len(b.text) for b in blocks)
     known: dict[int, str] = {}
     zones = [_zone(b.element, total, known) for b in blocks]
-    terminals = [evidence(b, z, "content" in zones) for b, z in zip(blocks, zones)]
+    inside = [z in ("content", "named") for z in zones]
+    terminals = [evidence(b, z, any(inside)) for b, z in zip(blocks, zones)]
     edges, last_under = [], {}
     for i, b in enumerate(blocks):
         if i:
             weight = 1.6 / (1 + 0.4 * _distance(blocks[i - 1].element, b.element))
-            edges.append((i - 1, i, weight if zones[i - 1] == zones[i] else 0.2 * weight))
+            edges.append((i - 1, i, weight if zones[i - 1] == zones[i] or inside[i - 1] and inside[i] else 0.2 * weight))
         parent = id(b.element.up or b.element)
         before = last_under.get(parent)
         if before is not None and before < i - 1:
