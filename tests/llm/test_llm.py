@@ -224,27 +224,57 @@ def test_nearest_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
     want = _brute_nearest(rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float))
     got = queries.QUERIES["op6_nearest"](spark, "/root/testdata/sf0.1").toPandas().groupby("query_id")["vec_id"].apply(set)
-    assert sum(len(got[q] & set(v)) for q, v in want.items()) / sum(map(len, want.values())) >= 0.9
+    assert set(got.index) == set(want) and sum(len(got[q] & set(v)) for q, v in want.items()) / sum(map(len, want.values())) >= 0.9
 
 
-def test_probing_finds_every_code_within_the_radius():
+@pytest.mark.parametrize("leading", [0, 3])
+def test_probing_finds_every_code_within_the_radius(leading):
+    """All codes within ``reach``, no code beyond ``radius``, each by one table only."""
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 1 << 20, 3_000).astype(np.uint64)
-    index = nearest.MultiIndex(codes, 20)
-    for radius in range(0, 9):
-        for q in codes[:5]:
-            assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q) <= radius).tolist()
+    words = rng.integers(0, 1 << 62, (3_000, nearest.WORDS)).astype(np.uint64)
+    words[1_000:] = words[:2_000]
+    words[1_000:, 0] ^= rng.integers(0, 1 << 62, 2_000).astype(np.uint64)
+    for width, reach, radius in ((16, 40, 60), (20, 57, 57), (20, 10, 500)):
+        codes = nearest.Codes(np.zeros((1, 64 * nearest.WORDS)), width, reach, radius)
+        values, rows = codes.substrings(words), np.arange(len(words))
+        low = width - leading
+        tables = [nearest.Table(codes, t, leading, rows[of], words[of], values[of, t]) for t in range(codes.tables) for lead in range(1 << leading) if (of := values[:, t] >> low == lead).any()]
+        for q in range(0, 3_000, 300):
+            found = np.concatenate([t.near(words[q], int(values[q, t.table])) for t in tables])
+            apart = nearest.distances(words, words[q])
+            assert len(found) == len(set(found.tolist()))
+            assert set(np.flatnonzero(apart <= min(reach, radius)).tolist()) <= set(found.tolist()) <= set(np.flatnonzero(apart <= radius).tolist())
 
 
 def test_nearest_leaves_unusable_vectors_out(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [inf, 1.0]), (6, [1.0, None]), (7, [2.0, 2.0]), (8, []), (None, [1.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit(1))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({c: F.lit(1) for c in ("score", "row", "asks", "d", "v", "q", "rank")})
     out = nearest.nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in out] == [(0, 1, 1), (0, 2, 7)]
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_of_mixed_lengths_ties_and_repeated_ids(spark):
+    rng, rows = random.Random(3), []
+    for d, n in ((3, 120), (5, 90), (1, 30), (2, 20), (7, 12), (8, 5), (9, 1)):  # the last two are beyond the indexed lengths
+        rows += [(rng.randrange(100), [rng.choice([-2.0, -1.0, 1.0, 3.0]) for _ in range(d)]) for _ in range(n)]
+    rows += [(50, [1e200, 2e200, 3e200]), (50, [1e-300, 2e-300, 3e-300]), (7, [1.0, 2.0, 3.0]), (7, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], round(r["score"], 9)) for r in nearest.nearest(df, F.col("vec_id") % 50 == 0).collect())
+    want = []
+    for i, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            scores = []
+            for j, (o, w) in enumerate(rows):
+                if i != j and len(v) == len(w):
+                    a, b = np.array(v) / max(map(abs, v)), np.array(w) / max(map(abs, w))
+                    scores.append((-float(a @ b / np.sqrt((a @ a) * (b @ b))), o))
+            want += [(q, k + 1, round(-s, 9)) for k, (s, o) in enumerate(sorted(scores)[:5])]
+    want.sort()
+    assert len(got) == len(want) and np.mean([a == b for a, b in zip(got, want)]) > 0.9
+
+
 # 8: n-gram Jaccard join
 
 
