@@ -314,7 +314,9 @@ def test_divide_skip_counts_exactly():
     base = np.unique(rng.integers(0, 1 << 40, 100).astype(np.uint64))
     sets = [np.unique(np.concatenate([base[rng.random(len(base)) > rng.choice([0.0, 0.04, 0.1])], rng.integers(0, 1 << 40, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(60)]
     union = ngram_join.divide_skip_links(sets, list(range(60)))
-    plain = ngram_join._Union(60)
+    plain = ngram_join.Joined(sets)
+    for i in range(60):
+        plain.add(i)
     for i, j in itertools.combinations(range(60), 2):
         both = len(np.intersect1d(sets[i], sets[j]))
         if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
@@ -323,6 +325,31 @@ def test_divide_skip_counts_exactly():
     assert same(union) == same(plain)
 
 
+def test_occurrences_are_those_of_a_plain_count():
+    rng = random.Random(9)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(40), rng.randrange(1, 30))) for _ in range(rng.randrange(1, 12))]
+        least = rng.randrange(1, 9)
+        counts = {x: n for x in range(40) if (n := sum(x in y for y in lists)) >= least}
+        assert dict(ngram_join.occurring(lists, least, rng.choice([0.002, 0.1, 1.0]))) == counts
+
+
+@pytest.mark.parametrize("replaced", [1, 6])
+def test_a_block_of_near_copies_is_not_quadratic(replaced):
+    """64,000 sets around one: linked ones cost their shingles, unlinked ones share only long lists."""
+    import time
+
+    rng, n = np.random.default_rng(5), 64_000 if replaced == 1 else 16_000
+    sets = np.tile(rng.integers(0, 1 << 60, 40).astype(np.uint64), (n, 1))
+    for row in sets:
+        row[rng.choice(40, replaced, replace=False)] = rng.integers(0, 1 << 60, replaced).astype(np.uint64)
+    sets = list(np.sort(sets, axis=1))
+    began = time.process_time()
+    joined = ngram_join.divide_skip_links(sets, list(range(n)))
+    assert time.process_time() - began < 30
+    assert len({joined.find(i) for i in range(n)}) == (1 if replaced == 1 else n)
+
+
 # 10: mixing
 
 

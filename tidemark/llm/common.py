@@ -94,6 +94,21 @@ def small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+MOST_HOT = 40_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table`` (unique, not null ``key``; ``rows_of_key``: how many of the ``total`` rows have it).
+
+    Keys with more than total / MOST_HOT rows, MOST_HOT of them at most, are joined by broadcast, so a key with a large
+    share of all rows does not meet in one task; the others are joined by a shuffle. ``how``: inner or left.
+    """
+    most = max(500, total // MOST_HOT)
+    hot = F.broadcast(table.where(F.col("rows_of_key") > most))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("rows_of_key") <= most), key, how)
+    return rows.join(hot, key).unionByName(rest).drop("rows_of_key")
+
+
 def bounded_sample(df: DataFrame, key: Column, bound: int, seed: str) -> DataFrame:
     """About ``bound`` rows at most in expectation, chosen by a hash of ``key``; all rows when there are no more than that."""
     total = df.count()

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_hot
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: bigint), root being the smallest node of its component.
 
     Large and small stars in turn (Kiveris et al., 2014) until nothing changes: every node then hangs on its root.
-    Each round is a table in the shared folder; only its counts come to the driver.
+    Each round is a table in the shared folder; only its counts come to the driver. The rows of a node with very many
+    neighbours are joined to its least neighbour by broadcast, see :func:`~.common.join_hot`.
     """
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, total: int) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        hung = both.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows_of_key")).select("a", F.least("a", "m").alias("m"), "rows_of_key")
+        hung = join_hot(both, least, "a", 2 * total)
         if large:
             out = hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:  # pairs are (larger, smaller) here
@@ -32,7 +33,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        after = scratch.save(star(star(now, True), False))
+        after = scratch.save(star(star(now, True, state[0]), False, state[0]))
         scratch.drop(now)
         now = after
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))

@@ -6,23 +6,27 @@ the signature of a part are candidates, and no link is lost. Sizes fall into cla
 parts; a node also takes the scheme of the class below if a partner could be there.
 
 Nodes connected by shared signatures form a neighbourhood. In each one an inverted index answers, for every node, which
-others hold at least T of its shingles: short lists are merged and counted, long ones are only probed by binary search
-(DivideSkip), and nodes that are in the same component already are not looked at again. A neighbourhood larger than a
-task's share is cut into blocks that all hold one common leader; members that its component does not take in are
+others hold at least T of its shingles: the short lists are merged on a heap, and what occurs often enough there is
+probed for in the long ones (DivideSkip). The index lists components instead of nodes, one entry for all that have been
+joined, so a group of near copies costs no more than its shingles; members of a component are searched in the same way,
+only if the component as a whole holds T shingles and none of a few members tried first links. A neighbourhood larger
+than a task's share is cut into blocks that all hold one common leader; members that its component does not take in are
 searched against all blocks afterwards.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
+from heapq import merge
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, map_rows, read, small
+from .common import Scratch, join_hot, map_batches, map_rows, read, small
 from .components import connected_components
 
 WORDS = 3
@@ -104,82 +108,149 @@ def node_of(shingles: np.ndarray) -> int | None:
     return None if not len(shingles) else int(np.uint64(xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles))).astype(np.int64))
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def occurring(lists: list[list[int]], least: int, mu: float = 0.002) -> Iterator[tuple[int, int]]:
+    """(item, occurrences) of the items that are in ``least`` or more of ``lists``, which are ascending (DivideSkip).
+
+    The L longest lists, about least / (mu * log2(longest) + 1), are left out of the merge: an item must then be in
+    least - L of the others, and is looked up in the long ones by binary search.
+    """
+    if len(lists) < least:
+        return
+    lists = sorted(lists, key=len)
+    longest = len(lists[-1])
+    long_lists = min(least - 1, int(least / (mu * (longest.bit_length() - 1) + 1)))
+    short, rest = lists[: len(lists) - long_lists], lists[len(lists) - long_lists :]
+    for item, found in groupby(merge(*short)):
+        n = sum(1 for _ in found)
+        if n < least - long_lists:
+            continue
+        for k, probed in enumerate(rest):
+            if n + len(rest) - k < least:
+                break
+            at = bisect_left(probed, item)
+            n += at < len(probed) and probed[at] == item
+        if n >= least:
+            yield item, n
+
+
+class Joined:
+    """Sets that are added one by one, the components of those that link, and an index of both.
+
+    ``of``: token -> ascending components that hold it. A component of several sets has an index of its own, token ->
+    ascending members. When two components join, the smaller moves into the larger.
+    """
+
+    TRIED = 4  # members of a component that are compared before its index is searched
+
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        sizes = np.array([len(s) for s in sets])
+        _, token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        ends = np.cumsum(sizes)
+        several = n[token] > 1  # no other set holds the rest
+        self.tokens = [token[e - k : e][several[e - k : e]].tolist() for e, k in zip(ends.tolist(), sizes.tolist())]
+        self.sizes, self.percent = sizes.tolist(), percent
+        self.up = list(range(len(sets)))
+        self.of: dict[int, list[int]] = {}
+        self.members: dict[int, list[int]] = {}
+        self.inner: dict[int, dict[int, list[int]]] = {}
 
     def find(self, i: int) -> int:
         while self.up[i] != i:
             self.up[i] = i = self.up[self.up[i]]
         return i
 
-    def join(self, i: int, j: int) -> None:
-        self.up[self.find(i)] = self.find(j)
-
-
-def divide_skip_links(sets: list[np.ndarray], queries: list[int], percent: int = PERCENT, mu: float = 0.01) -> _Union:
-    """Union of the linked sets: every query is searched against all sets, except those it is joined with already.
-
-    A link needs an overlap of T = ceil(percent * size / 100) at least. The L longest inverted lists of a query, about
-    T / (mu * log2(longest) + 1), are left out of the merge; sets with T - L occurrences in the others are then probed
-    for in those lists.
-    """
-    sizes = np.array([len(s) for s in sets])
-    union = _Union(len(sets))
-    tokens, token_of = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.lexsort((owner, token_of))
-    lists = owner[order]  # inverted lists, one after the other, each ascending
-    lengths = np.bincount(token_of, minlength=len(tokens))
-    starts = np.cumsum(lengths) - lengths
-    postings = token_of[order].astype(np.int64) * len(sets) + lists  # for the probes: ascending (list, owner)
-    at = np.cumsum(sizes) - sizes
+    def add(self, i: int) -> None:
+        self.members[i] = [i]
+        for t in self.tokens[i]:
+            _insert(self.of.setdefault(t, []), i)
+
+    def join(self, i: int, j: int) -> int:
+        """Makes the components of two added sets one; its number."""
+        a, b = self.find(i), self.find(j)
+        if a == b:
+            return a
+        if len(self.members[a]) > len(self.members[b]):
+            a, b = b, a
+        into = self.inner.get(b)
+        if into is None:
+            into = self.inner[b] = {t: [b] for t in self.tokens[b]}
+        mine = self.inner.pop(a, None) or {t: [a] for t in self.tokens[a]}
+        for t, some in mine.items():
+            components = self.of[t]
+            del components[bisect_left(components, a)]
+            have = into.get(t)
+            if have is None:
+                into[t] = some
+                _insert(components, b)
+            elif len(some) == 1:
+                _insert(have, some[0])
+            else:
+                into[t] = sorted(have + some)
+        self.members[b] += self.members.pop(a)
+        self.up[a] = b
+        return b
+
+    def links(self, i: int, j: int, both: int) -> bool:
+        return 100 * both >= self.percent * (self.sizes[i] + self.sizes[j] - both)
+
+    def search(self, q: int) -> None:
+        """Adds ``q`` and joins it to every component with a member that it links with."""
+        own = self.tokens[q]
+        least = -(-self.sizes[q] * self.percent // 100)
+        found = [c for c, _ in occurring([self.of[t] for t in own if t in self.of], least)]
+        mine = set(own) if found else ()
+        linked = []
+        for c in found:
+            members = self.members[c]
+            tried = members if len(members) <= self.TRIED else (*members[: self.TRIED // 2], *members[-self.TRIED // 2 :])
+            if any(self.links(q, m, len(mine.intersection(self.tokens[m]))) for m in tried):
+                linked.append(c)
+            elif len(members) > len(tried):
+                inner = self.inner[c]
+                if any(self.links(q, m, both) for m, both in occurring([inner[t] for t in own if t in inner], least)):
+                    linked.append(c)
+        self.add(q)
+        for c in linked:
+            self.join(c, q)
+
+
+def _insert(items: list[int], item: int) -> None:
+    if not items or items[-1] < item:
+        items.append(item)
+    else:
+        items.insert(bisect_left(items, item), item)
+
+
+def divide_skip_links(sets: list[np.ndarray], queries: list[int], percent: int = PERCENT, labels: list[int] | None = None) -> Joined:
+    """Components of the linked sets: every query is searched against all sets, the others are only there to be found.
+    Sets with one label are known to be in one component."""
+    joined = Joined(sets, percent)
+    asked, first = set(queries), {}
+    for i in range(len(sets)):
+        if i not in asked:
+            joined.add(i)
+            if labels is not None:
+                joined.join(first.setdefault(labels[i], i), i)
     for q in queries:
-        own = token_of[at[q] : at[q] + sizes[q]]
-        need = -(-int(sizes[q]) * percent // 100)
-        by_length = own[np.argsort(lengths[own], kind="stable")]
-        longest = int(lengths[by_length[-1]])
-        if longest == 1:
-            continue
-        long_lists = min(need - 1, int(need / (mu * np.log2(longest) + 1)))
-        short, rest = by_length[: len(own) - long_lists], by_length[len(own) - long_lists :]
-        n = lengths[short]
-        total = int(n.sum())
-        merged = lists[np.repeat(starts[short] - (np.cumsum(n) - n), n) + np.arange(total)]
-        counts = np.bincount(merged, minlength=len(sets))
-        mine = union.find(q)
-        found = [c for c in np.flatnonzero(counts >= need - long_lists).tolist() if c != q and union.find(c) != mine]
-        if not found:
-            continue
-        found = np.array(found)
-        found = found[(sizes[found] * 100 >= sizes[q] * percent) & (sizes[q] * 100 >= sizes[found] * percent)]
-        if not len(found):
-            continue
-        step = max(1, 4_000_000 // max(1, len(rest)))
-        for k in range(0, len(found), step):
-            some = found[k : k + step]
-            probes = rest[:, None].astype(np.int64) * len(sets) + some
-            place = np.minimum(np.searchsorted(postings, probes), len(postings) - 1)
-            both = counts[some] + (postings[place] == probes).sum(axis=0)
-            for c in some[100 * both >= percent * (sizes[q] + sizes[some] - both)].tolist():
-                union.join(c, q)
-    return union
+        joined.search(q)
+    return joined
 
 
 def _search_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): each node of a block (key columns g1, g2, g3) with the smallest of those it is joined with; itself if alone.
 
-    ``rows``: g1, g2, g3, node, query (whether it is searched for), shingles array<bigint>. A block is within a task's share.
+    ``rows``: g1, g2, g3, node, query (whether it is searched for), label (of its known component), shingles array<bigint>.
+    A block is within a task's share.
     """
     ordered = rows.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "node")
 
-    def links(block: dict[int, tuple[bool, np.ndarray]]) -> tuple[list[int], list[int]]:
+    def links(block: dict[int, tuple[bool, int, np.ndarray]]) -> tuple[list[int], list[int]]:
         nodes = list(block)
-        sets = [s for _, s in block.values()]
+        sets = [s for _, _, s in block.values()]
         if len(nodes) < 2:
             return nodes, nodes
-        queries = sorted((i for i, (q, _) in enumerate(block.values()) if q), key=lambda i: len(sets[i]))
-        union = divide_skip_links(sets, queries, percent)
+        queries = sorted((i for i, (q, _, _) in enumerate(block.values()) if q), key=lambda i: len(sets[i]))
+        union = divide_skip_links(sets, queries, percent, [label for _, label, _ in block.values()])
         least: dict[int, int] = {}
         roots = [union.find(i) for i in range(len(nodes))]
         for i, r in enumerate(roots):
@@ -191,7 +262,7 @@ def _search_blocks(rows: DataFrame, percent: int) -> DataFrame:
         for batch in chain(batches, [None]):
             if batch is not None:
                 keys = list(zip(*(batch.column(c).to_pylist() for c in ("g1", "g2", "g3"))))
-                nodes, asked = batch.column("node").to_pylist(), batch.column("query").to_pylist()
+                nodes, asked, labels = (batch.column(c).to_pylist() for c in ("node", "query", "label"))
                 column = batch.column("shingles")
                 values, offsets = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
             for i in range(batch.num_rows if batch is not None else 1):
@@ -204,38 +275,35 @@ def _search_blocks(rows: DataFrame, percent: int) -> DataFrame:
                         return
                     key = keys[i]
                 old = block.get(nodes[i])
-                block[nodes[i]] = (asked[i] or bool(old and old[0]), values[offsets[i] : offsets[i + 1]].copy())
+                block[nodes[i]] = (asked[i] or bool(old and old[0]), labels[i], values[offsets[i] : offsets[i + 1]].copy())
 
     return map_batches(ordered, run, "a bigint, b bigint")
 
 
 def _links(sets: DataFrame, scratch: Scratch, percent: int, block: int) -> DataFrame:
     """(a, b): edges that connect exactly the linked nodes of ``sets`` (node, root, n, shingles)."""
-    groups = sets.groupBy("root").agg(F.ceil(F.sum("n") / block).alias("blocks"), F.min("node").alias("leader"))
-    groups = scratch.save(groups)
-    dealt = sets.join(groups, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    member = dealt.select(F.col("root").alias("g1"), F.col("block").alias("g2"), F.lit(0).cast("bigint").alias("g3"), "node", F.lit(True).alias("query"), "shingles")
-    large = groups.where("blocks > 1").count()
-    if not large:
+    big = F.broadcast(scratch.save(sets.groupBy("root").agg(F.sum("n").alias("n"), F.min("node").alias("leader")).where(F.col("n") > block)))  # all shingles / block of them at most
+    big = big.select("root", F.ceil(F.col("n") / block).alias("blocks"), "leader")
+    dealt = sets.join(big, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    zero, yes = F.lit(0).cast("bigint"), F.lit(True)
+    every = F.explode(F.sequence(zero, F.col("blocks") - 1))
+    rows = lambda g2, g3, asks, label: (F.col("root").alias("g1"), g2.alias("g2"), g3.alias("g3"), "node", asks.alias("query"), label.alias("label"), "shingles")
+    member = dealt.select(*rows(F.col("block"), zero, yes, F.col("node")))
+    if big.isEmpty():
         return scratch.save(_search_blocks(member, percent))
-    leaders = dealt.where("blocks > 1 and node = leader").select(
-        F.col("root").alias("g1"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("g2"), F.lit(0).cast("bigint").alias("g3"), "node", F.lit(True).alias("query"), "shingles"
-    )
+    dealt = scratch.save(dealt.where("blocks > 1")).select("*")
+    leaders = dealt.where("node = leader").select(*rows(every, zero, yes, F.col("node")))
     first = scratch.save(_search_blocks(member.unionByName(leaders), percent))
     labels = scratch.save(connected_components(first, scratch))
     # members of large neighbourhoods that the leader's component has not taken in are searched against all blocks
-    labelled = dealt.where("blocks > 1").join(labels, "node", "left").select(
-        dealt["*"], F.coalesce(labels["root"], F.col("node")).alias("label")
-    )
-    core = labelled.where("node = leader").select("root", F.col("label").alias("core"))
+    labelled = dealt.join(labels, "node", "left").select(dealt["*"], F.coalesce(labels["root"], F.col("node")).alias("label"))
+    labelled = scratch.save(labelled)
+    core = F.broadcast(labelled.where("node = leader").select("root", F.col("label").alias("core")))
     outside = labelled.join(core, "root").where("label <> core")
-    asking = outside.select("root", "blocks", "node", "shingles", F.col("block").alias("g3"))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    q = asking.select(F.col("root").alias("g1"), every.alias("g2"), "g3", "node", F.lit(True).alias("query"), "shingles")
-    asked_in = asking.select("root", "g3").distinct()
-    i = dealt.where("blocks > 1").join(asked_in, "root").select(
-        F.col("root").alias("g1"), F.col("block").alias("g2"), "g3", "node", F.lit(False).alias("query"), "shingles"
-    )
+    parts = F.broadcast(outside.groupBy("root").agg(F.ceil(F.sum("n") / block).alias("parts")))  # as many as the askers fill
+    asking = outside.join(parts, "root").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")))
+    q = asking.select(*rows(every, F.col("part"), yes, F.col("label")))
+    i = labelled.join(parts, "root").withColumn("part", F.explode(F.sequence(zero, F.col("parts") - 1))).select(*rows(F.col("block"), F.col("part"), F.lit(False), F.col("label")))
     return scratch.save(first.unionByName(_search_blocks(q.unionByName(i), percent)))
 
 
@@ -258,10 +326,11 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK
     base = scratch.save(map_rows(docs, ("doc_id",), ("text",), make, "n bigint, node bigint, signatures array<bigint>"))
     known = base.where("node is not null and doc_id is not null")
     signed = known.select("node", F.explode("signatures").alias("signature"))
-    shared = signed.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    near = signed.join(shared, "signature").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    total = base.count()
+    shared = signed.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("rows_of_key")).where("least < most")
+    near = join_hot(signed, scratch.save(shared.drop("most")), "signature", total).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     near = scratch.save(connected_components(near, scratch))
-    reps = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
+    reps = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("rows_of_key")))
 
     wanted = scratch.save(near.join(reps, "node").select("doc_id", "node", "root"))
 
@@ -278,11 +347,13 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK
     sets = scratch.save(sets)
     links = _links(sets, scratch, percent, block)
     labels = scratch.save(connected_components(links, scratch))
-    named = reps.join(labels, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = scratch.save(named.join(least, "root").select("node", "component_id"))
+    named = reps.join(labels, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"), F.col("rows_of_key").alias("copies"))
+    named = scratch.save(named)
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows_of_key"))
+    of_node = join_hot(named.select("node", "root", "copies"), least, "root", total).select("node", "component_id", F.col("copies").alias("rows_of_key"))
+    of_node = scratch.save(of_node)
     scratch.drop(sets, links, near)
-    return base.join(of_node, "node", "left").select(
+    return join_hot(base.select("doc_id", "n", "node"), of_node, "node", total, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
