@@ -3,6 +3,9 @@
 Confirmed toxic texts are the positives; texts of all kinds are the unlabelled set. The class prior, the share of toxic
 texts among labelled ones, corrects the risk, and the part of it that stands for the negatives is kept from falling
 below zero: when it does, the step goes uphill on that part.
+
+Weights found on a bounded sample are only where the fit starts: passes over all confirmed and all unlabelled rows, whose
+losses and gradients are summed per partition, then lower the risk of the whole table.
 """
 
 from __future__ import annotations
@@ -17,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample, fold, map_batches, map_rows, read, small
+from .common import Scratch, fold, map_batches, map_rows, read, small
 
 _word = re.compile(r"[^\W\d_]+").findall
 STEMS = (3, 4, 5, 6)  # lengths of word beginnings that are features of their own
-#: Bounds on the sampled rows that the fit sees; the features are chosen from all rows.
+#: Bounds on the sampled rows that the fit starts from; features and the final passes cover all rows.
 POSITIVES = 3_000
 UNLABELLED = 9_000
 MOST_COUNTED = 200_000  # features that a task counts before it passes its counts on
@@ -31,6 +34,8 @@ SIGNIFICANCE = 15.0  # least G statistic of its enrichment
 SMOOTHING, MOST_RATE = 50, 5.0
 STEPS = 300
 RATE, DECAY = 0.1, 1e-5
+PASSES = 8  # over all rows, at most
+ENOUGH = 1e-3  # relative fall of the risk in a pass below which they end
 
 
 def features(text: str | None) -> set[str]:
@@ -165,27 +170,78 @@ def enriched_features(texts: DataFrame) -> list[str]:
     return found
 
 
+def _whole_risk(rows: DataFrame, w: np.ndarray, b: float, prior: float, totals: tuple[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Non-negative PU risk over all ``rows`` (confirmed, at, rate), its gradient and the diagonal of its curvature."""
+    columns = len(w) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, columns))  # gradients and curvatures: confirmed, all
+        loss = np.zeros(4)
+        for batch in batches:
+            at, rate = batch.column("at"), batch.column("rate")
+            n = np.diff(at.offsets.to_numpy())
+            row, at, rate = np.repeat(np.arange(len(n)), n), at.flatten().to_numpy(), rate.flatten().to_numpy().astype(np.float64)
+            z = np.bincount(row, rate * w[at], len(n)) + b
+            p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            confirmed = batch.column("confirmed").to_numpy(zero_copy_only=False).astype(bool)
+            for k, x in ((0, confirmed * (p - 1)), (1, confirmed * p), (2, p), (3, p * (1 - p))):
+                sums[k, :-1] += np.bincount(at, (rate * rate if k == 3 else rate) * x[row], columns - 1)
+                sums[k, -1] += x.sum()
+            loss += [np.logaddexp(0, -z)[confirmed].sum(), np.logaddexp(0, z)[confirmed].sum(), np.logaddexp(0, z).sum(), 0.0]
+        some = np.flatnonzero(sums.any(axis=0))
+        values = np.hstack([sums[:, some], loss[:, None]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, columns)), *map(pa.array, values)], names=["i", "a", "b", "c", "d"])
+
+    got = map_batches(rows.select("confirmed", "at", "rate"), run, "i bigint, a double, b double, c double, d double")
+    sums = np.zeros((4, columns + 1))
+    for i, *values in got.groupBy("i").agg(*(F.sum(c).alias(c) for c in "abcd")).collect():  # a row for each feature
+        sums[:, i] = values
+    n_pos, n_all = totals
+    (pos, pos_as_negative, unlabelled), g = sums[:3, -1], sums[:, :-1]
+    negative = unlabelled / n_all - prior * pos_as_negative / n_pos
+    grad = prior * g[0] / n_pos
+    if negative > 0:
+        grad = grad + g[2] / n_all - prior * g[1] / n_pos
+    grad[:-1] += DECAY * w
+    risk = prior * pos / n_pos + max(0.0, negative) + 0.5 * DECAY * float(w @ w)
+    return risk, grad, g[3] / n_all + DECAY + 1e-6
+
+
+def descend(rows: DataFrame, w: np.ndarray, b: float, prior: float, totals: tuple[int, int], passes: int = PASSES) -> tuple[np.ndarray, float]:
+    """Weights and bias after steps down the risk of all ``rows``; a step that would raise it is halved and tried again."""
+    now = np.append(w, b)
+    risk, grad, curve = _whole_risk(rows, w, b, prior, totals)
+    length = 0.5
+    for _ in range(passes - 1):
+        step = np.clip(length * grad / curve, -0.5, 0.5)
+        after, g, c = _whole_risk(rows, (now - step)[:-1], float((now - step)[-1]), prior, totals)
+        if after < risk:
+            fallen, now, risk, grad, curve = (risk - after) / risk, now - step, after, g, c
+            if fallen < ENOUGH:
+                break
+        else:
+            length /= 4
+    return now[:-1], float(now[-1])
+
+
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicityModel:
     """Fits on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both restricted to what may be learned from.
 
-    The features are those of :func:`enriched_features` over all rows. Their weights come from about ``positives``
-    confirmed texts and ``unlabelled`` others at most, chosen by a hash of the id. A document with several labels is
-    toxic if one says so. Without confirmed texts the model scores every text near zero.
+    The features are those of :func:`enriched_features` over all rows. Their weights start from ``positives`` confirmed
+    texts and ``unlabelled`` texts at most, those of least hash of id and text, and are then fitted to all rows, see
+    :func:`descend`. A document with several labels is toxic if one says so; every row of a confirmed id is confirmed,
+    repeated rows count as often as they are there. Rows without an id are unlabelled, null texts count as empty, other
+    columns are ignored. Without confirmed texts, and for empty tables, the model scores every text near zero.
     """
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic, labelled = labels.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not toxic:
         return ToxicityModel({}, -10.0)
     prior = min(0.5, toxic / labelled)
-    docs = docs.select("doc_id", "text")
-    confirmed = labels.where("toxic = 1").select("doc_id")
     scratch = Scratch(docs.sparkSession)
-    pos = scratch.save(docs.join(small(bounded_sample(confirmed, F.col("doc_id"), positives, "toxic")), "doc_id", "left_semi"))
-    if pos.isEmpty():  # the confirmed ids are in no row of docs
-        return ToxicityModel({}, -10.0)
-    unl = scratch.save(bounded_sample(docs, F.col("doc_id"), unlabelled, "unlabelled"))
-    marked = small(confirmed.withColumn("confirmed", F.lit(True)), MOST_BROADCAST)
-    chosen = enriched_features(docs.join(marked, "doc_id", "left"))
+    confirmed = labels.where("toxic = 1").select("doc_id", F.lit(True).alias("confirmed"))
+    marked = docs.select("doc_id", "text").join(small(confirmed, MOST_BROADCAST), "doc_id", "left")
+    chosen = enriched_features(marked)
     place = {f: i for i, f in enumerate(chosen)}
 
     def make():
@@ -197,17 +253,26 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = PO
 
         return run
 
-    def sparse(rows: DataFrame) -> SparseRows:
-        found = map_rows(rows, ("doc_id",), ("text",), make, "at array<int>, rate array<float>").orderBy("doc_id", "at", "rate").collect()
-        return SparseRows([(at, rate) for _, at, rate in found], len(chosen))
+    marked = marked.select(F.coalesce("confirmed", F.lit(False)).alias("confirmed"), F.xxhash64(F.lit("toxic"), "doc_id", "text").alias("draw"), "text")
+    rows = scratch.save(map_rows(marked, ("confirmed", "draw"), ("text",), make, "at array<int>, rate array<float>"))
+    n_pos, n_all = rows.agg(F.coalesce(F.sum(F.col("confirmed").cast("bigint")), F.lit(0)), F.count("*")).first()
+    if not n_pos:  # the confirmed ids are in no row of docs
+        return ToxicityModel({}, -10.0)
+
+    def sample(of: DataFrame, n: int) -> SparseRows:
+        return SparseRows([tuple(r) for r in of.orderBy("draw", "at", "rate").limit(n).select("at", "rate").collect()], len(chosen))
 
-    w, b = non_negative_pu(sparse(pos), sparse(unl), prior)
-    scratch.drop(pos, unl)
+    w, b = non_negative_pu(sample(rows.where("confirmed"), positives), sample(rows, unlabelled), prior)
+    w, b = descend(rows, w, b, prior, (n_pos, n_all))
+    scratch.drop(rows)
     return ToxicityModel(dict(zip(chosen, w.tolist())), b)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and score (0 to 1) for every row of ``docs`` (text), from its whole text; null counts as empty."""
+    """``keep`` columns and score (0 to 1) for every row of ``docs`` (text), from its whole text.
+
+    Null counts as empty, repeated rows stay, other columns are dropped, an empty table gives no rows.
+    """
 
     def make():
         return lambda texts: [list(map(model.score, texts))]
