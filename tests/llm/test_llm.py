@@ -142,6 +142,41 @@ def test_language_on_held_out_rows(spark):
     assert n > 200 and right > 0.99
 
 
+@pytest.mark.parametrize("sf,most", [(SF_LABELLED, 0.15), ("/root/testdata/sf0.1", 0.03)])  # few texts to calibrate on: less sure than right
+def test_language_weights_are_sparse_and_scores_calibrated(spark, sf, most):
+    """Held-out texts, whole and as pieces of a few words."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train_language_model(language_id.training_part(docs))
+    assert language_id.TEMPERATURES[0] < model.temperature < language_id.TEMPERATURES[-1]
+    assert len(model.weights) < 0.2 * language_id.SIZE
+    rows = docs.where("lang is not null and text is not null").where(language_id.fold(F.col("doc_id"), 3) == 1).select("lang", "text").collect()
+    judged = [(*model.predict(t), r["lang"]) for r in rows[:2_000] for t in [r["text"], *language_id.pieces(r["text"])]]
+    score, right = np.array([s for _, s, _ in judged]), np.array([p == lang for p, _, lang in judged])
+    slot = np.minimum((score * 10).astype(int), 9)
+    error = sum(abs(score[slot == k].mean() - right[slot == k].mean()) * (slot == k).mean() for k in set(slot.tolist()))
+    assert right.mean() > 0.93 and error < most
+
+
+def test_full_risk_is_that_of_a_plain_sum_and_falls(spark):
+    rng = np.random.default_rng(2)
+    x = rng.random((300, 4)) * (rng.random((300, 4)) < 0.6)
+    confirmed = (x[:, 0] > 0.5) & (rng.random(300) < 0.5)
+    rows = spark.createDataFrame([(bool(c), np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].tolist()) for c, r in zip(confirmed, x)], "confirmed boolean, at array<int>, rate array<double>").repartition(3)
+    w, b, prior, totals = rng.normal(size=4), -0.3, 0.3, (int(confirmed.sum()), 300)
+    z = x @ w + b
+    loss = lambda z: np.logaddexp(0, z)
+    risk = lambda w, b: prior * loss(-(x @ w + b))[confirmed].mean() + max(0.0, loss(x @ w + b).mean() - prior * loss(x @ w + b)[confirmed].mean()) + 0.5 * toxicity.DECAY * w @ w
+    got, grad, curve = toxicity._whole_risk(rows, w, b, prior, totals)
+    assert got == pytest.approx(risk(w, b))
+    for k in range(5):
+        near = np.append(w, b)
+        near[k] += 1e-6
+        assert grad[k] == pytest.approx((risk(near[:4], near[4]) - risk(w, b)) / 1e-6, abs=1e-4)
+    p = 1 / (1 + np.exp(-z))
+    assert curve[:4] == pytest.approx(((p * (1 - p))[:, None] * x * x).mean(axis=0), abs=1e-4)
+    assert risk(*toxicity.descend(rows, w, b, prior, totals)) < risk(w, b) - 0.01
+
+
 def test_negative_risk_stays_above_zero():
     rng = np.random.default_rng(0)
     pos = rng.normal(1, 1, (100, 3)).astype(np.float32)

@@ -1,7 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies come from all training texts. The weights are learned by follow-the-regularised-leader with an
-elastic net on a bounded sample per language; a part of the sample that the weights never saw sets the temperature.
+elastic net on a bounded sample per language. A part of the sample that the weights never saw, as whole texts and as
+pieces of a few words, sets the strength of the L1 penalty, the largest that costs little there, and the temperature.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fold, map_batches, map_rows, read
@@ -21,9 +23,13 @@ SIZE = 1 << BITS
 ORDERS = (1, 2, 3)
 #: Sampled training documents per language: the bound on what the fit sees.
 DOCS_PER_LANGUAGE = 500
-EPOCHS = 4
+EPOCHS = 3
 BATCH = 16
-RATE, BETA, L1, L2 = 0.5, 1.0, 2e-5, 1e-5
+RATE, BETA, L2 = 0.5, 1.0, 1e-5
+L1 = (0.01, 0.03, 0.1, 0.3, 1.0)  # tried in this order
+COSTS_LITTLE = 1.1, 0.01  # factor and addition to the least loss within which a stronger penalty is taken
+PIECES = (1, 2, 4, 8)  # words
+TEMPERATURES = tuple(np.geomspace(0.005, 20, 140).tolist())
 CALIBRATION_PART = 5  # one sampled document in so many
 UNKNOWN = "und"
 
@@ -71,9 +77,12 @@ def tf_idf(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class LanguageModel:
+    """``slot`` holds the row of ``weights`` of each gram; grams whose weights are all zero share the last, a zero row."""
+
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # SIZE x languages
+    slot: np.ndarray
+    weights: np.ndarray
     bias: np.ndarray
     temperature: float
 
@@ -82,7 +91,7 @@ class LanguageModel:
         if counts is None:
             return UNKNOWN, 0.0
         at, value = tf_idf(counts, self.idf)
-        p = _softmax((value @ self.weights[at] + self.bias) / self.temperature)
+        p = _softmax((value @ self.weights[self.slot[at]] + self.bias) / self.temperature)
         best = int(p.argmax())  # ties go to the first language by code point
         return self.languages[best], float(p[best])
 
@@ -92,13 +101,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _follow_the_leader(rows, y: np.ndarray, classes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _follow_the_leader(rows, y: np.ndarray, classes: int, l1: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias after EPOCHS passes of FTRL-proximal with elastic-net penalties over mini-batches."""
     z, n = np.zeros((SIZE + 1, classes)), np.zeros((SIZE + 1, classes))
     rng = np.random.default_rng(seed)
 
     def weights(at):
-        shrunk = np.sign(z[at]) * np.maximum(np.abs(z[at]) - L1, 0)
+        shrunk = np.sign(z[at]) * np.maximum(np.abs(z[at]) - np.where(at == SIZE, 0.0, l1)[:, None], 0)
         return -shrunk / ((BETA + np.sqrt(n[at])) / RATE + L2)
 
     bias = np.array([SIZE])
@@ -121,13 +130,20 @@ def _follow_the_leader(rows, y: np.ndarray, classes: int, seed: int) -> tuple[np
     return w[:SIZE], w[SIZE]
 
 
-def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of least negative log likelihood on a grid."""
+def _temperature(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The temperature of least negative log likelihood on a grid, and that loss (both under a standard normal prior of
+    the temperature's logarithm, so that a few right answers do not make the model sure without limit)."""
     if not len(y):
-        return 1.0
-    grid = np.geomspace(0.02, 20, 121)
-    loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-300)).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+        return 1.0, 0.0
+    loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-300)).mean() + np.log(t) ** 2 / 2 / len(y) for t in TEMPERATURES]
+    best = int(np.argmin(loss))
+    return TEMPERATURES[best], float(loss[best])
+
+
+def pieces(text: str) -> list[str]:
+    """Runs of PIECES words from the middle of a text that has more."""
+    words = text.split()
+    return [" ".join(words[len(words) // 2 :][:n]) for n in PIECES if len(words) > 2 * n]
 
 
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
@@ -154,43 +170,69 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def train_language_model(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, seed: int = 9) -> LanguageModel:
     """Fits on ``docs`` (doc_id, text, lang): rows with a null lang are left out.
 
-    The sample has at most about ``docs_per_language`` documents of each language, chosen by a hash of the id, so all
-    of a rare language is used. No rows: a model without languages, which answers 'und'.
+    The sample has at most ``docs_per_language`` rows of each language, those of least hash of id and text, so all of a
+    rare language is used; repeated rows hash alike and count against the bound. Null texts and texts without letters
+    teach nothing. Other columns are ignored. No rows: a model without languages, which answers 'und'. The driver holds
+    SIZE weights a language, about half a megabyte.
     """
     docs = docs.where("lang is not null").select("doc_id", "text", "lang")
     per = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(per)
+    empty = LanguageModel(languages, np.ones(SIZE, np.float32), np.zeros(SIZE, np.int32), np.zeros((1, len(languages)), np.float32), np.zeros(len(languages)), 1.0)
     if not languages:
-        return LanguageModel([], np.ones(SIZE), np.zeros((SIZE, 0)), np.zeros(0), 1.0)
+        return empty
     seen, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + seen)) + 1
-    rate = F.element_at(F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / per[k])))), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    # somewhat more rows than wanted pass the threshold, then the bound is exact
+    rate = F.element_at(F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, 1.3 * docs_per_language / per[k])))), F.col("lang"))
+    drawn = docs.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40))).where(F.col("draw") / float(1 << 40) < rate)
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id"))
+    held = F.pmod(F.col("draw"), F.lit(CALIBRATION_PART)) == 0
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= docs_per_language).select("doc_id", "lang", "draw", held.alias("held"), F.when(held, "text").alias("held_text"), "text")
 
     def make():
-        def run(texts):
-            rows = [(None, None) if c is None else tf_idf(c, idf) for c in map(gram_counts, texts)]
-            return [r[0] for r in rows], [None if r[1] is None else r[1].astype(np.float32) for r in rows]
+        def vector(text):
+            counts = gram_counts(text)
+            return None if counts is None else tf_idf(counts, idf)
+
+        def run(texts, held):
+            found = [[v for v in map(vector, [t or "", *pieces(h or "")]) if v is not None] for t, h in zip(texts, held)]
+            return [[v[0] for v in row] for row in found], [[v[1].astype(np.float32) for v in row] for row in found]
 
         return run
 
-    sample = map_rows(docs.where(draw < rate).repartition(24, "doc_id"), ("doc_id", "lang"), ("text",), make, "at array<int>, value array<float>")
-    rows = sample.where("at is not null").orderBy("doc_id", "lang").collect()  # bounded by docs_per_language
-    vectors = [(np.array(r["at"]), np.array(r["value"])) for r in rows]
-    y = np.array([languages.index(r["lang"]) for r in rows], int)
-    held = np.random.default_rng(seed).permutation(len(y)) % CALIBRATION_PART == 0
-    if held.all() or len(y) < 2 * CALIBRATION_PART:
-        held[:] = False
-    train = np.flatnonzero(~held)
-    w, b = _follow_the_leader([vectors[i] for i in train], y[train], len(languages), seed)
-    logits = np.array([vectors[i][1] @ w[vectors[i][0]] + b for i in np.flatnonzero(held)])
-    return LanguageModel(languages, idf.astype(np.float32), w.astype(np.float32), b, _temperature(logits, y[held]))
+    spread = drawn.repartition(docs.sparkSession.sparkContext.defaultParallelism, "draw")
+    sample = map_rows(spread, ("lang", "draw", "held"), ("text", "held_text"), make, "at array<array<int>>, value array<array<float>>")
+    rows = sample.orderBy("draw", "lang").collect()  # docs_per_language of each language at most
+    parts: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
+    for r in rows:
+        for at, value in zip(r["at"], r["value"]):
+            parts[r["held"]][0].append((np.array(at), np.array(value)))
+            parts[r["held"]][1].append(languages.index(r["lang"]))
+    train, y = parts[False][0], np.array(parts[False][1], int)
+    tune, tune_y = parts[True][0], np.array(parts[True][1], int)
+    if not len(y):
+        train, y = tune, tune_y
+    if not len(y):
+        return empty
+    fits = []
+    for l1 in L1:
+        w, b = _follow_the_leader(train, y, len(languages), l1, seed)
+        temperature, loss = _temperature(np.array([v @ w[at] + b for at, v in tune]), tune_y)
+        fits.append((loss, w, b, temperature))
+    most = min(f[0] for f in fits) * COSTS_LITTLE[0] + COSTS_LITTLE[1]
+    _, w, b, temperature = [f for f in fits if f[0] <= most][-1 if len(tune_y) else 0]
+    used = np.flatnonzero((w != 0).any(axis=1))
+    slot = np.full(SIZE, len(used), np.int32)
+    slot[used] = np.arange(len(used))
+    return LanguageModel(languages, idf.astype(np.float32), slot, np.vstack([w[used], np.zeros((1, len(languages)))]).astype(np.float32), b, temperature)
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred and score for every row of ``docs`` (text), from its whole text.
 
-    'und' with score 0 for a null text, a text without a letter, or a model without languages.
+    'und' with score 0 for a null text, a text without a letter, or a model without languages. Repeated rows stay,
+    other columns are dropped, an empty table gives no rows.
     """
 
     def make():
