@@ -100,11 +100,37 @@ def test_binomial_bound_is_exact(spark):
         assert r["p"] == pytest.approx(1.0 if r["k"] >= r["n"] * 0.016 else want, rel=1e-9)
 
 
-def test_few_good_documents_are_rejected(spark):
-    out = queries.QUERIES["op3_quality_rules"](spark, SF_LABELLED)
-    good = spark.read.parquet(f"{SF_LABELLED}/labels.parquet").where("quality = 1").select("doc_id").distinct()
-    sure = out.join(good, "doc_id", "left_semi").where("not base_failed")
-    assert sure.where("not kept").count() <= quality_rules.ALPHA * sure.count()
+def test_steps_are_taken_as_far_as_they_are_proven(spark):
+    """No hits: the whole path. Too few documents: no step. Hits of a tenth from step 5 on: up to step 4, which 2% pass."""
+    last = len(quality_rules.path(quality_rules.RULES)) - 1
+    first = {"none": [None] * 400, "few": [None] * 40, "refused": [2] * 8 + [5] * 40 + [None] * 352, "": [None] * 300 + [0] * 100}
+    good = spark.createDataFrame([(s, x) for s, steps in first.items() for x in steps], "stratum string, first_step int")
+    assert {r["stratum"]: r["step"] for r in quality_rules.proven_steps(good).collect()} == {"none": last, "refused": 4}
+    assert quality_rules.proven_steps(good.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sf", [SF_LABELLED, "/root/testdata/sf0.1"])
+def test_rules_reject_bad_documents_and_few_good_ones(spark, agrees, sf):
+    """Where a language has enough good labels, nearly all bad documents beyond the base rules go."""
+    out = quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet"), labels := spark.read.parquet(f"{sf}/labels.parquet")).cache()
+    agrees(out, queries.ORACLE_SQL["op3_quality_rules"], sf)
+    langs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    judged = out.where("not base_failed").join(labels, "doc_id").join(langs, "doc_id").groupBy("lang", "quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept"))
+    per = {(r["lang"], r["quality"]): (r["n"], r["kept"]) for r in judged.collect()}
+    acted = [lang for lang, quality in per if quality == 1 and per[lang, 1][0] >= 55]
+    assert len(acted) >= (1 if sf == SF_LABELLED else 4)
+    for lang in acted:
+        assert per[lang, 1][1] >= (1 - quality_rules.ALPHA) * per[lang, 1][0]
+        assert (lang, 0) not in per or per[lang, 0][1] <= 0.15 * per[lang, 0][0]
+
+
+def test_repeated_windows_are_counted_as_words(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(120)] + ["a b c d " * 40, "x " * 5]
+    for r in quality_rules.base_statistics(docs_of(spark, texts)).select("doc_id", "n_repeat_words").collect():
+        w = texts[r["doc_id"]].split()
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        assert r["n_repeat_words"] == len({i + d for i, g in enumerate(grams) if grams.count(g) > 1 for d in range(3)})
 
 
 # 4, 7, 9: classifiers

@@ -1,10 +1,12 @@
 """Quality rules with risk-controlled thresholds (DataFrame operations only).
 
 Base statistics are exact and come from the whole text. The rules above the base ones are cutoffs on ratios of those
-statistics. A cutoff is used only if the labelled documents prove that it rejects few good ones: for each stratum and
-rule the cutoffs are tested from the most lenient to the strictest, each with an exact binomial bound, and testing
-stops at the first that fails (so a family of cutoffs costs one test); the error level is divided by the number of
-families (Bonferroni). With probability 1 - DELTA, no stratum loses more than ALPHA of its good documents to the rules.
+statistics. They are tightened along one path: step by step, rule after rule, from the most lenient cutoffs to the
+strictest. For each stratum the steps are tested in that order on the good documents of a labelled holdout: an exact
+binomial bound must show that all rules of the step together reject at most ALPHA of the good documents. Testing stops
+at the first step that is not proven, so a stratum costs one test however long the path is (fixed-sequence testing), and
+the error level is divided by the number of strata alone (Bonferroni). With probability 1 - DELTA, no stratum loses more
+than ALPHA of its good documents to the rules.
 """
 
 from __future__ import annotations
@@ -40,36 +42,39 @@ RULES = (
 )
 
 
+def path(rules) -> tuple[tuple[int, str, float], ...]:
+    """(step, rule, cutoff): which rule each step tightens to which cutoff; the others stay as they are."""
+    levels = max((len(r.cutoffs) for r in rules), default=0)
+    turns = [(r.name, r.cutoffs[i]) for i in range(levels) for r in rules if i < len(r.cutoffs)]
+    return tuple((step, name, cutoff) for step, (name, cutoff) in enumerate(turns))
+
+
+def first_step(rules) -> Column:
+    """The first step of the path that rejects a document with the base statistics; null if none does."""
+    measure = {r.name: r.measure for r in rules}
+    steps = [F.when(F.expr(measure[name]) > cutoff, F.lit(step)) for step, name, cutoff in path(rules)]
+    return F.coalesce(*steps, F.lit(None).cast("int"))
+
+
 def _repeat_words(tokens: Column) -> Column:
     """Words inside 3-word windows that occur twice or more."""
 
-    def covered(grams: Column) -> Column:
-        rows = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-        # a window is repeated if a neighbour in sorted order has its text
-        pairs = let(
-            rows,
-            lambda r: F.transform(
-                r,
-                lambda x, k: F.when(
-                    (F.get(r, k - 1)["g"] == x["g"]) | (F.get(r, k + 1)["g"] == x["g"]), x["i"]
-                ),
-            ),
-        )
-        start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-3).alias("last"))
-        return F.aggregate(
-            F.sort_array(F.array_compact(pairs)),
-            start,
-            lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last")),
-            lambda acc: acc["n"],
+    def repeated(rows: Column) -> Column:
+        """Places, in order, of the values in ``rows`` (array of struct v, i) that are there twice or more."""
+        return let(
+            F.sort_array(rows),
+            lambda r: F.sort_array(F.array_compact(F.transform(r, lambda x, k: F.when((F.get(r, k - 1)["v"] == x["v"]) | (F.get(r, k + 1)["v"] == x["v"]), x["i"])))),
         )
 
-    grams = let(
-        tokens,
-        lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i), F.get(w, i + 1))),
-    )
-    return F.when(F.size(tokens) < 4, F.lit(0).cast("bigint")).otherwise(
-        let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("bigint")).otherwise(covered(g)))
+    window = lambda make, places: F.transform(places, lambda i: F.struct(make(F.get(tokens, i - 1), F.get(tokens, i), F.get(tokens, i + 1)).alias("v"), i.alias("i")))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-3).alias("last"))
+    covered = lambda places: F.aggregate(
+        places, start, lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last")), lambda acc: acc["n"]
     )
+    every = F.sequence(F.lit(1), F.size(tokens) - 2)
+    # hashes first; only windows whose hash repeats are compared as words
+    words_of = lambda places: F.when(F.size(places) == 0, F.lit(0).cast("bigint")).otherwise(covered(repeated(window(lambda *w: F.concat_ws(" ", *w), places))))
+    return F.when(F.size(tokens) < 4, F.lit(0).cast("bigint")).otherwise(let(repeated(window(F.xxhash64, every)), words_of))
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
@@ -109,52 +114,37 @@ def _binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k.cast("double") >= n * p, F.lit(1.0)).otherwise(F.aggregate(ranks, start, step, lambda acc: acc["total"]))
 
 
-def risk_controlled_cutoffs(labelled: DataFrame, rules=RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest cutoff proven for each stratum and rule; none where nothing is proven.
+def proven_steps(good: DataFrame, rules=RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, step): the last step of the path proven for each stratum; no row where not even the first is.
 
-    ``labelled``: good documents with stratum (not null) and the base statistics.
+    ``good``: good labelled documents, stratum (not null) and first_step.
     """
-    tests = F.inline(
-        F.array(
-            *(
-                F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), (F.expr(r.measure) > c).cast("bigint").alias("hit"))
-                for r in rules
-                for i, c in enumerate(r.cutoffs)
-            )
-        )
-    )
-    counts = labelled.select("stratum", tests).groupBy("stratum", "rule", "step", "cutoff").agg(F.count("*").alias("n"), F.sum("hit").alias("k"))
-    strata = counts.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    share = alpha / len(rules)
-    order = W.partitionBy("stratum", "rule").orderBy("step")
-    proven = counts.crossJoin(F.broadcast(strata)).withColumn(  # one row
-        "passes", _binomial_tail(F.col("k"), F.col("n"), share) <= F.lit(delta / len(rules)) / F.col("strata")
-    )
-    return (
-        proven.withColumn("so_far", F.min(F.col("passes").cast("int")).over(order))
-        .where("so_far = 1")
-        .groupBy("stratum", "rule")
-        .agg(F.max_by("cutoff", "step").alias("cutoff"))
-    )
+    steps = len(path(rules))
+    hits = good.groupBy("stratum", "first_step").agg(F.count("*").alias("n"))  # a few rows for each stratum
+    strata = hits.select("stratum").distinct().agg(F.count("*").alias("strata"))
+    per = hits.groupBy("stratum").agg(F.sum("n").alias("n"), F.collect_list(F.struct("first_step", "n")).alias("hits"))
+    each = per.select("stratum", "n", "hits", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    k = F.aggregate("hits", F.lit(0).cast("bigint"), lambda acc, h: acc + F.when(h["first_step"] <= F.col("step"), h["n"]).otherwise(0))
+    proven = each.crossJoin(F.broadcast(strata)).withColumn("passes", _binomial_tail(k, F.col("n"), alpha) <= F.lit(delta) / F.col("strata"))  # one row
+    so_far = F.min(F.col("passes").cast("int")).over(W.partitionBy("stratum").orderBy("step"))
+    return proven.withColumn("so_far", so_far).where("so_far = 1").groupBy("stratum").agg(F.max("step").alias("step"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules=RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Base statistics, base_failed and kept for every row of ``docs`` (doc_id, text, the stratum's column).
 
     ``labels``: doc_id, quality; rows with quality 1 are good, null ids match nothing. Several labels of a document
-    count once, good if one is. A null stratum is one of its own. A stratum with too few labels has no cutoffs and
-    keeps whatever passes the base rules. Empty tables: no rows, or no cutoffs. Other columns are dropped.
+    count once, good if one is. A null stratum is one of its own. A stratum with too few good labels to prove anything
+    (52 at the default levels and four strata) has no cutoffs and keeps whatever passes the base rules: no guarantee is
+    borrowed from other strata. Repeated rows stay. Empty tables: no rows, or no cutoffs. Other columns are dropped.
     """
     stats = base_statistics(docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))).drop("text")
-    stats = Scratch(docs.sparkSession).save(stats)  # numbers only: the texts are read once
+    stats = Scratch(docs.sparkSession).save(stats.withColumn("first_step", first_step(rules)))  # numbers only: the texts are read once
     good = labels.where("quality = 1").select("doc_id").distinct()
-    cutoffs = risk_controlled_cutoffs(stats.where("not base_failed").join(good, "doc_id", "left_semi"), rules, alpha, delta)
-    # One row of cutoffs for each stratum; a stratum is a language, so there are few.
-    per = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    hit = F.lit(False)
-    for r in rules:
-        hit = hit | F.coalesce(F.expr(r.measure) > F.try_element_at("cutoffs", F.lit(r.name)), F.lit(False))
-    return stats.join(per, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~hit).drop("cutoffs", "stratum")
+    steps = proven_steps(stats.where("not base_failed").join(good, "doc_id", "left_semi"), rules, alpha, delta)
+    hit = F.coalesce(F.col("first_step") <= F.col("step"), F.lit(False))
+    # One row for each stratum; a stratum is a language, so there are few.
+    return stats.join(steps, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~hit).drop("first_step", "step", "stratum")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,9 +152,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    tests = ",\n    ".join(f"('{r.name}', {i}, {c}::DOUBLE, {len(RULES)})" for r in RULES for i, c in enumerate(r.cutoffs))
-    measure = "CASE t.rule " + " ".join(f"WHEN '{r.name}' THEN {r.measure}" for r in RULES) + " END"
-    share = ALPHA / len(RULES)
+    measure = {r.name: r.measure for r in RULES}
+    first = "CASE " + " ".join(f"WHEN {measure[name]} > {cutoff}::DOUBLE THEN {step}" for step, name, cutoff in path(RULES)) + " END"
     return rf"""
 WITH w AS (
   SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
@@ -180,26 +169,24 @@ stats AS (
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN reps USING (doc_id)),
-judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats),
-tests(rule, step, cutoff, families) AS (VALUES {tests}),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {first} AS first_step FROM stats),
+good AS (SELECT * FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
 counts AS (
-  SELECT stratum, rule, step, cutoff, families, count(*) AS n, sum(CASE WHEN {measure} > cutoff THEN 1 ELSE 0 END) AS k
-  FROM judged t0, tests t
-  WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
-  GROUP BY ALL),
+  SELECT stratum, step, count(*) AS n, count(*) FILTER (first_step <= step) AS k
+  FROM good, range(0, {len(path(RULES))}) t(step) GROUP BY ALL),
 proven AS (
-  SELECT *, CASE WHEN k >= n * {share} THEN 1.0 ELSE (
-      SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share})))
+  SELECT *, CASE WHEN k >= n * {ALPHA} THEN 1.0 ELSE (
+      SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))
       FROM range(0, CAST(k AS BIGINT) + 1) r(j)) END
-      <= {DELTA} / families / (SELECT count(DISTINCT stratum) FROM counts) AS passes
+      <= {DELTA} / (SELECT count(DISTINCT stratum) FROM counts) AS passes
   FROM counts),
 used AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff
-  FROM (SELECT *, bool_and(passes) OVER (PARTITION BY stratum, rule ORDER BY step) AS so_far FROM proven)
+  SELECT stratum, max(step) AS step
+  FROM (SELECT *, bool_and(passes) OVER (PARTITION BY stratum ORDER BY step) AS so_far FROM proven)
   WHERE so_far GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT EXISTS (SELECT 1 FROM used t WHERE t.stratum = judged.stratum AND {measure} > t.cutoff) AS kept
-FROM judged
+       NOT base_failed AND NOT coalesce(first_step <= used.step, false) AS kept
+FROM judged LEFT JOIN used USING (stratum)
 """
 
 
