@@ -6,7 +6,7 @@ import random
 import pytest
 
 from tidemark.functions.spec import HistoryFeature
-from tidemark.operators import dataset, decide, leaky, monitor, parity
+from tidemark.operators import dataset, decide, leaky, monitor, parity, prefix
 from tidemark.operators.pit import pit_features
 from tidemark.sources import tables
 from tidemark.streaming import online
@@ -92,7 +92,10 @@ def test_leaky_aggregates(spark):
 
 
 def test_served_aggregates_follow_history_and_row(spark):
-    history = spark.createDataFrame([(1, 5.0, 3, 30.0, math.sqrt(700), 2, 1), (2, 40.0, 0, None, None, 0, 0)], "TransactionID int, TransactionAmt double, card_cnt_all bigint, card_amt_mean_all double, card_amt_std_all double, card_labeled_cnt bigint, card_fraud_cnt bigint")
+    history = spark.createDataFrame(
+        [(1, 5.0, 500, 3, 9_000, 41_000_000, 2, 1), (2, 40.0, 4_000, 0, 0, 0, 0, 0)],
+        "TransactionID int, TransactionAmt double, cents bigint, card_cnt_all bigint, card_cents_all bigint, card_squares_all bigint, card_labeled_cnt bigint, card_fraud_cnt bigint",
+    )
     a, b = leaky.served_aggregates(history).orderBy("TransactionID").collect()
     assert a["card_tx_count"] == 4 and a["card_amt_mean"] == pytest.approx(23.75)
     assert a["card_amt_std"] == pytest.approx(math.sqrt(sum((x - 23.75) ** 2 for x in (10, 20, 60, 5)) / 3))
@@ -223,3 +226,82 @@ def test_sinks_round_trip(spark, tmp_path):
     back = tables.read_periods(spark, str(tmp_path / "tx"), ("valid",), ("TransactionID", "TransactionDT", "period"))
     assert back.count() == tx.where("period = 'valid'").count()
     assert tables.read_report(spark, str(tmp_path / "none.json")) is None
+
+
+def test_a_table_of_one_row_must_have_one(spark):
+    rows, two = spark.range(3), spark.range(2).withColumnRenamed("id", "x")
+    assert prefix.with_scalar(rows, two.limit(1)).count() == 3 and prefix.with_scalar(rows, two.limit(0)).count() == 0
+    with pytest.raises(Exception, match="several"):
+        prefix.with_scalar(rows, two).collect()
+
+
+def test_every_policy_is_evaluated(spark):
+    scored = spark.createDataFrame([(i / 10, i % 2, 100) for i in range(10)], "score double, isFraud int, cents bigint")
+    policies = spark.range(150).selectExpr("concat('p', id) as policy", "id / 150 as threshold")
+    assert decide.evaluate(scored, policies).select("policy").distinct().count() == 150
+    with pytest.raises(ValueError):
+        decide.evaluate(scored, spark.range(decide.MOST_POLICIES + 1).selectExpr("cast(id as string) as policy", "id / 10 as threshold"))
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 300])
+def test_running_totals_do_not_depend_on_the_ranges(spark, ranges):
+    rng = random.Random(4)
+    rows = sorted({rng.randrange(5_000) for _ in range(400)})
+    df = spark.createDataFrame([(k, k % 13) for k in rows], "k bigint, v bigint").repartition(3)
+    got = {r["k"]: r["s"] for r in prefix.running_before(df, "k", {"s": "v"}, ranges=ranges).collect()}
+    assert got == {k: sum(j % 13 for j in rows if j < k) for k in rows}
+
+
+def test_a_busy_card_in_the_stream_state():
+    """Totals of the windows against sums over all earlier amounts, with the state saved and restored on the way."""
+    rng, card, past, t = random.Random(6), online.CardState(), [], 0
+    for i in range(1_500):
+        t += rng.choice([0, 0, 1, 60, 4_000, 90_000])
+        cents = rng.randrange(1_000)
+        values = dict(zip((f.name for f in online.HISTORY), card.transaction(t, cents)))
+        for name, w in (("24h", DAY), ("7d", 7 * DAY)):
+            window = [c for s, c in past if t - w <= s < t]
+            assert values[f"card_cnt_{name}"] == len(window) and values[f"card_amt_sum_{name}"] == sum(window) / 100
+        past.append((t, cents))
+        if i % 100 == 99:
+            card = online.CardState(card.saved())
+
+
+def test_replay_can_be_paced(spark, tmp_path):
+    import time
+
+    events = online.build_events(spark.createDataFrame([(i, i * 10, 1.0, 100, "a", 0, 1e6) for i in range(4)], TX))
+    began = time.monotonic()
+    assert online.replay(events, [10.0, 60.0], str(tmp_path), speed=10).count() == 4
+    assert time.monotonic() - began >= 5  # the last slice comes 50 seconds of event time after the one before
+
+
+def test_late_repeats_are_dropped(spark, tmp_path):
+    """A repeat in a later slice is known, and an event from beyond the watermark is late."""
+    tx = spark.createDataFrame([(1, 100, 1.0, 100, "a", 0, 1e9), (2, 20 * DAY, 1.0, 100, "a", 0, 1e9), (3, 40 * DAY, 1.0, 100, "a", 0, 1e9)], TX)
+    events = online.build_events(tx).where("kind = 1")
+    out = online.replay(events.unionByName(events), [10.0 * DAY, 30.0 * DAY], str(tmp_path), once=True)
+    assert sorted((r["TransactionID"], r["card_cnt_all"]) for r in out.collect()) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_models_are_saved_with_their_columns(spark, tmp_path):
+    from tidemark.plans import ladder
+
+    rng = random.Random(8)
+    rows = [(i, float(rng.randrange(100)), rng.choice(["a", "b", None]), int(rng.random() < 0.3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "TransactionID bigint, x double, c string, isFraud int")
+    model = ladder.fit(df.where("TransactionID < 700"), df.where("TransactionID >= 700"), ("x",), ("c",), trees=3)
+    model.save(str(tmp_path / "m"))
+    again = ladder.Model.load(spark, str(tmp_path / "m"))
+    odd = spark.createDataFrame([(1, None, None), (2, 5.0, "never seen"), (3, 5.0, "a")], "TransactionID bigint, x double, c string")
+    both = model.score(odd).join(again.score(odd).select("TransactionID", "score").withColumnRenamed("score", "again"), "TransactionID")
+    assert both.where("score = again").count() == 3 and (again.numeric, again.categorical) == (("x",), ("c",))
+
+
+def test_runs_are_logged(spark, tmp_path):
+    from tidemark.plans import ladder
+
+    metrics = spark.createDataFrame([("v", 0.9)], "variant string, roc_auc double")
+    for name in ("one", "two"):
+        ladder.log_runs(metrics, str(tmp_path / "runs"), name)
+    assert sorted(r["experiment"] for r in spark.read.parquet(str(tmp_path / "runs")).collect()) == ["one", "two"]

@@ -1,7 +1,7 @@
 """The feature specification: declared once, compiled to batch columns and to streaming state alike.
 
-Time rule. A feature of a transaction at second t may use the card's transactions of earlier seconds, and labels that
-have arrived by t. Transactions of the same second see the same history.
+In terms of events: a transaction's event is seen from the next second on, a label's event from the second in which it
+arrives, and a window of w seconds lets an event go w seconds after it took it in. So what shares a second sees the same.
 """
 
 from __future__ import annotations

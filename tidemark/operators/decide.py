@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .prefix import running_before, with_scalar
 
 REVIEW_COST = 5.0
+MOST_POLICIES = 10_000  # sent to every executor
 
 
 def _per_score(scored: DataFrame) -> DataFrame:
@@ -73,10 +74,13 @@ def _measures(score: Column, threshold: Column, review_cost: float) -> list[Colu
 def evaluate(scored: DataFrame, thresholds: DataFrame, review_cost: float = REVIEW_COST) -> DataFrame:
     """What each policy of ``thresholds`` (policy, threshold: a handful of rows) does to ``scored`` (score, isFraud, cents).
 
-    The threshold is rounded in the output, null for infinity. Without alerts there is no precision, without fraud no recall.
+    The threshold is rounded in the output, null for infinity. Without alerts there is no precision, without fraud no
+    recall. Every policy is evaluated; more than ``MOST_POLICIES`` are refused.
     """
+    if thresholds.limit(MOST_POLICIES + 1).count() > MOST_POLICIES:
+        raise ValueError(f"more than {MOST_POLICIES} policies")
     shown = F.when(F.col("threshold") < float("inf"), F.bround("threshold", 4)).alias("shown")
-    judged = scored.crossJoin(F.broadcast(thresholds.limit(100))).groupBy("policy", shown)
+    judged = scored.crossJoin(F.broadcast(thresholds)).groupBy("policy", shown)
     return judged.agg(*_measures(F.col("score"), F.col("threshold"), review_cost)).withColumnRenamed("shown", "threshold")
 
 

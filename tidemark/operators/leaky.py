@@ -36,21 +36,12 @@ def target_encoding(tx: DataFrame) -> DataFrame:
 def served_aggregates(features: DataFrame) -> DataFrame:
     """The careless features as they can be served: history so far and this row, and labels that have arrived.
 
-    ``features``: TransactionAmt, card_cnt_all, card_amt_mean_all, card_amt_std_all and the label counts.
+    ``features``: ``pit_features(..., sums=True)``. The exact sums of the history take in the row's own amount, so the
+    values are those that ``global_aggregates`` would give if the table ended with this row.
     """
-    n, x = F.col("card_cnt_all"), F.col("TransactionAmt")
-    mean, std = F.coalesce("card_amt_mean_all", F.lit(0.0)), F.coalesce("card_amt_std_all", F.lit(0.0))
-    count = n + 1
-    now = (mean * n + x) / count
-    squares = F.greatest(n - 1, F.lit(0)) * std * std + n * mean * mean
-    var = (squares + x * x - count * now * now) / F.nullif(n, F.lit(0))
-    return features.withColumns(
-        {
-            "card_tx_count": count,
-            "card_amt_mean": now,
-            "card_amt_std": F.when(n >= 1, F.sqrt(F.greatest(var, F.lit(0.0)))),
-            "amt_vs_card_mean": x / F.nullif(now, F.lit(0.0)),
-            "card_fraud_rate": F.col("card_fraud_cnt") / F.nullif("card_labeled_cnt", F.lit(0)),
-            "card_fraud_count": F.col("card_fraud_cnt"),
-        }
-    )
+    x = F.coalesce("cents", F.lit(0))
+    n = F.col("card_cnt_all") + 1
+    got = moments(n, F.col("card_cents_all") + x, F.col("card_squares_all") + (x * x).cast("decimal(20,0)"))
+    served = {"card_tx_count": n, "card_amt_mean": got["mean"], "card_amt_std": got["std"], "card_fraud_count": F.col("card_fraud_cnt")}
+    served["card_fraud_rate"] = F.col("card_fraud_cnt") / F.nullif("card_labeled_cnt", F.lit(0))
+    return features.withColumns(served).withColumn("amt_vs_card_mean", F.col("TransactionAmt") / F.nullif("card_amt_mean", F.lit(0.0)))

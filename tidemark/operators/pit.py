@@ -16,34 +16,51 @@ from ..functions.spec import HISTORY, LABEL_COUNTS, LABEL_FEATURES, PIT_FEATURES
 
 CHUNK_S = WEEK
 _WINDOWS = tuple(sorted({f.window_s for f in HISTORY if f.window_s}))
-_SUMS = ("n", "cents", "squares", *(f"n_{w}" for w in _WINDOWS), *(f"cents_{w}" for w in _WINDOWS), "labeled", "fraud")
+_SUMMED = tuple(sorted({f.window_s for f in HISTORY if f.window_s and f.func == "sum"}))
+_SUMS = ("n", "cents", "squares", *(f"n_{w}" for w in _WINDOWS), *(f"cents_{w}" for w in _SUMMED), "labeled", "fraud")
+
+
+_ARRIVES, _LABEL = 0, -1  # kinds of events; the others are the windows left, in seconds
 
 
 def _events(tx: DataFrame) -> DataFrame:
     """The events of each transaction; ``at`` is the last second that does not see one yet."""
-    zero = F.lit(0).cast("bigint")
+    t = F.col("TransactionDT")
+    event = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("bigint").alias("at"))
+    every = [event(_ARRIVES, t), *(event(w, t + w) for w in _WINDOWS), event(_LABEL, F.ceil("label_available_at") - 1)]
+    known = F.filter(F.array(*every), lambda e: e["at"].isNotNull())
+    return tx.select("TransactionID", "TransactionDT", "TransactionAmt", "card_id", "cents", "isFraud", F.inline(known))
 
-    def event(at, **values):
-        kind = lambda s: "decimal(20,0)" if s == "squares" else "bigint"  # noqa: E731  squares of a long history pass 64 bits
-        return F.struct(at.cast("bigint").alias("at"), *(values.get(s, zero).cast(kind(s)).alias(s) for s in _SUMS), F.lit("asks" in values).alias("asks"))
 
-    one, cents = F.lit(1), F.col("cents")
-    t = F.col("TransactionDT")
-    add = event(
-        t, asks=one, n=one, cents=cents, squares=cents * cents, **{f"n_{w}": one for w in _WINDOWS}, **{f"cents_{w}": cents for w in _WINDOWS}
-    )
-    leave = [event(t + w, **{f"n_{w}": -one, f"cents_{w}": -cents}) for w in _WINDOWS]
-    label = event(F.ceil("label_available_at") - 1, labeled=one, fraud=F.col("isFraud"))
-    known = F.filter(F.array(add, *leave, label), lambda e: e["at"].isNotNull())
-    return tx.select("TransactionID", "TransactionDT", "TransactionAmt", "card_id", F.inline(known))
+def _summands(events: DataFrame) -> DataFrame:
+    """What each event adds to the running totals; squares of a long history pass 64 bits."""
+    zero, kind, cents = F.lit(0).cast("bigint"), F.col("kind"), F.col("cents")
+    arrives, label = kind == _ARRIVES, kind == _LABEL
+    in_window = lambda w, value: F.when(arrives, value).when(kind == w, -value).otherwise(zero)
+    one = F.lit(1).cast("bigint")
+    return events.withColumns(
+        {
+            "asks": arrives,
+            "n": F.when(arrives, one).otherwise(zero),
+            "squares": F.when(arrives, cents * cents).otherwise(zero).cast("decimal(20,0)"),
+            "labeled": F.when(label, one).otherwise(zero),
+            "fraud": F.when(label, F.col("isFraud").cast("bigint")).otherwise(zero),
+            **{f"n_{w}": in_window(w, one) for w in _WINDOWS},
+            **{f"cents_{w}": in_window(w, cents) for w in _SUMMED},
+            "all_cents": F.when(arrives, cents).otherwise(zero),
+        }
+    ).withColumn("cents", F.col("all_cents")).drop("all_cents", "kind", "isFraud")
 
 
-def pit_features(tx: DataFrame, instant_labels: bool = False, chunk_s: int = CHUNK_S) -> DataFrame:
+def pit_features(tx: DataFrame, instant_labels: bool = False, chunk_s: int = CHUNK_S, sums: bool = False) -> DataFrame:
     """TransactionID, TransactionDT, TransactionAmt, card_id and every history, label and derived feature.
 
     ``tx``: columns of ``sources.tables.TX_COLUMNS``. ``instant_labels`` is the deliberate leak: a label is known one
     second after its transaction. A null card is a card of its own; rows without a time are left out. Null
-    amounts count as rows and add nothing.
+    amounts count as rows and add nothing. ``sums`` adds cents and the exact sums of the history, card_cents_all and
+    card_squares_all.
+
+    Events are shuffled as they are, six narrow columns, and what each adds to the totals is derived behind the shuffle.
     """
     tx = tx.withColumn("cents", F.coalesce("cents", F.lit(0)))
     if instant_labels:
@@ -51,21 +68,22 @@ def pit_features(tx: DataFrame, instant_labels: bool = False, chunk_s: int = CHU
     events = _events(tx).withColumn("chunk", F.floor(F.col("at") / chunk_s))
     keys = ["card_id", "chunk"]
     own = F.when(F.col("asks"), F.col("at"))
-    totals = events.groupBy(*keys).agg(*(F.sum(s).alias(f"{s}_0") for s in _SUMS), F.min(own).alias("first_0"), F.max(own).alias("last_0"))
+    totals = _summands(events).groupBy(*keys).agg(*(F.sum(s).alias(f"{s}_0") for s in _SUMS), F.min(own).alias("first_0"), F.max(own).alias("last_0"))
     past = W.partitionBy("card_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     before = totals.select(
         F.col("card_id").alias("card_b"), F.col("chunk").alias("chunk_b"), *(F.coalesce(F.sum(f"{s}_0").over(past), F.lit(0)).alias(f"{s}_b") for s in _SUMS),
         F.min("first_0").over(past).alias("first_b"), F.max("last_0").over(past).alias("last_b"),
     )
     earlier = W.partitionBy(*keys).orderBy("at").rangeBetween(W.unboundedPreceding, -1)
-    within = events.select(
-        "TransactionID", "TransactionDT", "TransactionAmt", *keys, "asks", *(F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(s) for s in _SUMS),
+    own_cents = F.col("cents").alias("own_cents")
+    within = _summands(events.repartition(*keys)).select(
+        "TransactionID", "TransactionDT", "TransactionAmt", own_cents, *keys, "asks", *(F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(s) for s in _SUMS),
         F.min(own).over(earlier).alias("first"), F.max(own).over(earlier).alias("last"),
     ).where("asks")
     joined = within.join(before, within["card_id"].eqNullSafe(before["card_b"]) & (within["chunk"] == before["chunk_b"]))
     total = {s: F.col(s) + F.col(f"{s}_b") for s in _SUMS}
     raw = joined.select(
-        "TransactionID", "TransactionDT", "TransactionAmt", "card_id", *(c.alias(f"_{s}") for s, c in total.items()),
+        "TransactionID", "TransactionDT", "TransactionAmt", "own_cents", "card_id", *(c.alias(f"_{s}") for s, c in total.items()),
         F.least("first", "first_b").alias("_first"), F.greatest("last", "last_b").alias("_last"),
     )
     whole = moments(F.col("_n"), F.when(F.col("_n") > 0, F.col("_cents")), F.col("_squares"))
@@ -79,7 +97,9 @@ def pit_features(tx: DataFrame, instant_labels: bool = False, chunk_s: int = CHU
             columns[f.name] = {"mean": whole["mean"], "std": whole["std"], "min_t": F.col("_first"), "max_t": F.col("_last")}[f.func]
     columns |= dict(zip(LABEL_COUNTS, (F.col("_labeled"), F.col("_fraud"))))
     out = raw.withColumns(columns).withColumns(derive(F.col("TransactionDT"), F.col("TransactionAmt")))
-    return out.select("TransactionID", "TransactionDT", "TransactionAmt", "card_id", *(f.name for f in HISTORY), *LABEL_COUNTS, *(c for c in (*PIT_FEATURES, *LABEL_FEATURES) if c not in {f.name for f in HISTORY} | set(LABEL_COUNTS)))
+    exact = [F.col("own_cents").alias("cents"), F.col("_cents").alias("card_cents_all"), F.col("_squares").alias("card_squares_all")] if sums else []
+    derived = (c for c in (*PIT_FEATURES, *LABEL_FEATURES) if c not in {f.name for f in HISTORY} | set(LABEL_COUNTS))
+    return out.select("TransactionID", "TransactionDT", "TransactionAmt", "card_id", *(f.name for f in HISTORY), *LABEL_COUNTS, *derived, *exact)
 
 
 def label_counts_by_range_join(tx: DataFrame) -> DataFrame:

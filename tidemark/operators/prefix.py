@@ -6,21 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 64
+ROWS_PER_RANGE, MOST_RANGES = 100_000, 1_024
 
 
-def running_before(df: DataFrame, key: str, sums: dict[str, str], descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def running_before(df: DataFrame, key: str, sums: dict[str, str], descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Adds to each row, for every ``name: column`` of ``sums``, the total of the column over rows with a smaller key
     (larger, if ``descending``). Keys must be distinct and not null.
 
-    The key's range is cut at approximate quantiles; totals of the ranges come first, then sums within each range.
+    The key's range is cut at approximate quantiles, into as many ranges as the counted rows need; totals of the ranges
+    come first, then sums within each range.
     """
-    shares = [(i + 1) / ranges for i in range(ranges - 1)]
-    bounds = sorted(set(df.agg(F.percentile_approx(key, shares, 1000)).first()[0] or []))
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    fine = [(i + 1) / MOST_RANGES for i in range(MOST_RANGES - 1)]
+    rows, cuts = df.agg(F.count("*"), F.percentile_approx(key, fine, 4 * MOST_RANGES)).first()
+    ranges = ranges or min(MOST_RANGES, max(8, -(-rows // ROWS_PER_RANGE)))
+    bounds = sorted({cuts[round(MOST_RANGES * (i + 1) / ranges) - 1] for i in range(ranges - 1)} if cuts else ())
+    place = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col(key))) if bounds else F.lit(0)
     placed = df.withColumn("_range", place)
     order = (lambda c: F.col(c).desc()) if descending else F.col
-    earlier = W.orderBy(order("_range")).rowsBetween(W.unboundedPreceding, -1)  # RANGES rows at most
+    earlier = W.orderBy(order("_range")).rowsBetween(W.unboundedPreceding, -1)  # MOST_RANGES rows at most
     totals = placed.groupBy("_range").agg(*(F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())))
     offsets = totals.select("_range", *(F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))))
     within = W.partitionBy("_range").orderBy(order(key)).rowsBetween(W.unboundedPreceding, -1)
@@ -39,8 +42,10 @@ def values_at(df: DataFrame, key: str, shares: tuple[float, ...]) -> DataFrame:
 
 
 def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
-    """``df`` with the columns of a table of one row."""
-    return df.crossJoin(F.broadcast(scalar.limit(1)))
+    """``df`` with the columns of a table of one row; none if that table is empty. The query fails if it has more rows."""
+    rows = scalar.limit(2).agg(F.collect_list(F.struct("*")).alias("rows"))
+    one = rows.select(F.inline(F.when(F.size("rows") <= 1, F.col("rows")).otherwise(F.raise_error(F.lit("a table of one row has several")))))
+    return df.crossJoin(F.broadcast(one))
 
 
 def hash_order(id_: Column, seed: int) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spec import LABEL_FEATURES, PIT_FEATURES
@@ -17,32 +21,66 @@ from ..operators.scratch import saved
 ABSENT = -1.0  # stands for null, which the trees cannot take
 
 
-def fit(train: DataFrame, stop: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...] = (), trees: int = 10, seed: int = 42) -> PipelineModel:
-    """Gradient-boosted trees on ``numeric`` and ``categorical`` columns, stopped early on the rows of ``stop``."""
+STEP_SIZE, LEAST_LEAF_ROWS = 0.05, 100  # of a tree
+
+
+@dataclass
+class Model:
+    """A fitted pipeline and the columns that it reads."""
+
+    pipeline: PipelineModel
+    numeric: tuple[str, ...]
+    categorical: tuple[str, ...] = ()
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with score, the probability of fraud. Values of a category that training did not have, and nulls,
+        share one code."""
+        out = self.pipeline.transform(filled(rows, self.numeric))
+        return out.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", *(f"{c}_index" for c in self.categorical))
+
+    def save(self, path: str) -> None:
+        """The pipeline and a JSON file of its columns below ``path``, in place of what was there."""
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        columns = json.dumps({"numeric": self.numeric, "categorical": self.categorical})
+        _session().createDataFrame([(columns,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/columns")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        columns = json.loads(spark.read.text(f"{path}/columns").first()["value"])
+        return cls(PipelineModel.load(f"{path}/pipeline"), tuple(columns["numeric"]), tuple(columns["categorical"]))
+
+
+def _session() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
+def category_codes(train: DataFrame, categorical: tuple[str, ...]) -> Pipeline:
+    """Stages that code each category of ``train`` by frequency, then by name; all else gets the code after the last."""
+    return Pipeline(stages=[StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep", stringOrderType="frequencyDesc") for c in categorical]).fit(train)
+
+
+def fit(train: DataFrame, stop: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...] = (), trees: int = 10, seed: int = 42) -> Model:
+    """Gradient-boosted trees on ``numeric`` and ``categorical`` columns, stopped early on the rows of ``stop``. Codes of
+    categories come from ``train`` alone."""
+    codes = category_codes(train, categorical)
     rows = train.withColumn("_stop", F.lit(False)).unionByName(stop.withColumn("_stop", F.lit(True)))
-    indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in categorical]
     assembler = VectorAssembler(inputCols=[*numeric, *(f"{c}_index" for c in categorical)], outputCol="features")
     model = GBTClassifier(
-        labelCol="isFraud", maxIter=trees, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, featureSubsetStrategy="0.5", seed=seed, validationIndicatorCol="_stop", maxBins=64
-    )
-    return Pipeline(stages=[*indexers, assembler, model]).fit(filled(rows, numeric))
+        labelCol="isFraud", maxIter=trees, maxDepth=4, stepSize=STEP_SIZE, minInstancesPerNode=LEAST_LEAF_ROWS, subsamplingRate=0.8, featureSubsetStrategy="0.5", seed=seed,
+        validationIndicatorCol="_stop", validationTol=0.0, maxBins=64,
+    )
+    return Model(Pipeline(stages=[*codes.stages, assembler, model]).fit(filled(rows, numeric)), tuple(numeric), tuple(categorical))
 
 
 def filled(rows: DataFrame, numeric: tuple[str, ...]) -> DataFrame:
     return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(ABSENT)) for c in numeric})
 
 
-def score(model: PipelineModel, rows: DataFrame, numeric: tuple[str, ...]) -> DataFrame:
-    """``rows`` with score, the probability of fraud."""
-    out = model.transform(filled(rows, numeric))
-    return out.withColumn("score", vector_to_array("probability")[1])
-
-
 def run_variant(name: str, rows: DataFrame, numeric: tuple[str, ...], trees: int = 10) -> DataFrame:
     """One row of metrics from rows whose ``part`` is train, stop or test."""
     rows = saved(rows.select("TransactionID", "isFraud", "cents", "part", *numeric))  # every tree reads them several times
     model = fit(rows.where("part = 'train'"), rows.where("part = 'stop'"), numeric, trees=trees)
-    judged = score(model, rows.where("part = 'test'"), numeric).select("score", "isFraud", "cents")
+    judged = model.score(rows.where("part = 'test'")).select("score", "isFraud", "cents")
     metrics = decide.roc_auc(judged).crossJoin(F.broadcast(decide.average_precision(judged)))  # a row each
     counts = rows.agg(F.sum((F.col("part") == "test").cast("bigint")).alias("test_rows"), F.sum((F.col("part") != "test").cast("bigint")).alias("train_rows"))
     return metrics.crossJoin(F.broadcast(counts)).select(F.lit(name).alias("variant"), "roc_auc", "pr_auc", "test_rows", "train_rows")
@@ -58,31 +96,70 @@ def _time_parts(tx: DataFrame, only_mature: bool = False) -> DataFrame:
     return dataset.time_ordered_split(train).unionByName(valid.withColumn("part", F.lit("test")))
 
 
-def leakage_ladder(tx: DataFrame, base: tuple[str, ...], trees: int = 10) -> DataFrame:
-    """Four rungs: time split; random split; card aggregates over all rows; card fraud rate over all rows."""
+def leaky_rungs(tx: DataFrame, base: tuple[str, ...]) -> Iterator[tuple[str, DataFrame, tuple[str, ...]]]:
+    """(name, rows with part, columns): time split; random split; card aggregates over all rows; card fraud rate over all rows."""
     dev = dataset.assign_period(tx).where("period <> 'holdout'")
     shuffled = dataset.random_split(dev)
     aggregates = leaky.global_aggregates(shuffled)
-    encoded = leaky.target_encoding(aggregates)
-    rungs = (
-        ("time_split_base", _time_parts(tx), base),
-        ("random_base", shuffled, base),
-        ("random_global_aggs", aggregates, (*base, *leaky.GLOBAL_AGGREGATES)),
-        ("random_target_enc", encoded, (*base, *leaky.GLOBAL_AGGREGATES, *leaky.TARGET_ENCODING)),
-    )
-    return _union([run_variant(name, rows, columns, trees) for name, rows, columns in rungs])
+    yield "time_split_base", _time_parts(tx), base
+    yield "random_base", shuffled, base
+    yield "random_global_aggs", aggregates, (*base, *leaky.GLOBAL_AGGREGATES)
+    yield "random_target_enc", leaky.target_encoding(aggregates), (*base, *leaky.GLOBAL_AGGREGATES, *leaky.TARGET_ENCODING)
 
 
-def honest_ladder(tx: DataFrame, base: tuple[str, ...], trees: int = 10) -> DataFrame:
-    """Base features on mature rows; history with instant labels on all rows; history with delayed labels on mature rows."""
+def honest_rungs(tx: DataFrame, base: tuple[str, ...]) -> Iterator[tuple[str, DataFrame, tuple[str, ...]]]:
+    """(name, rows with part, columns): base on mature rows; history, instant labels, all rows; history, delayed labels, mature rows."""
     history = lambda **k: pit_features(tx, **k).drop("TransactionDT", "TransactionAmt", "card_id")
-    extra = (*PIT_FEATURES, *LABEL_FEATURES)
-    rungs = (
-        ("base_mature", _time_parts(tx, True), base),
-        ("pit_instant_labels", _time_parts(tx).join(history(instant_labels=True), "TransactionID"), (*base, *extra)),
-        ("pit_honest", _time_parts(tx, True).join(history(), "TransactionID"), (*base, *extra)),
-    )
-    return _union([run_variant(name, rows, columns, trees) for name, rows, columns in rungs])
+    columns = (*base, *PIT_FEATURES, *LABEL_FEATURES)
+    yield "base_mature", _time_parts(tx, True), base
+    yield "pit_instant_labels", _time_parts(tx).join(history(instant_labels=True), "TransactionID"), columns
+    yield "pit_honest", _time_parts(tx, True).join(history(), "TransactionID"), columns
+
+
+def leakage_ladder(tx: DataFrame, base: tuple[str, ...], trees: int = 10) -> DataFrame:
+    """A row of metrics for each of :func:`leaky_rungs`."""
+    return _union([run_variant(*rung, trees) for rung in leaky_rungs(tx, base)])
+
+
+def honest_ladder(tx: DataFrame, base: tuple[str, ...], trees: int = 10) -> DataFrame:
+    """A row of metrics for each of :func:`honest_rungs`."""
+    return _union([run_variant(*rung, trees) for rung in honest_rungs(tx, base)])
+
+
+@dataclass
+class ScoredSets:
+    """Rows (isFraud, cents, score) that choose the thresholds of each model, and the holdout with both scores."""
+
+    honest: DataFrame
+    careless: DataFrame
+    holdout: DataFrame
+
+
+def scored_sets(tx: DataFrame, base: tuple[str, ...], trees: int = 10, known_after: float = dataset.LEGIT_DELAY * dataset.DAY) -> ScoredSets:
+    """What thresholds, drift and daily reports are made of.
+
+    The honest model is fitted to mature rows of the train period and chooses on those of the valid period for which
+    both classes could be labelled when the holdout begins: ``known_after`` seconds, when the slowest labels have come.
+    The careless one chooses on its random test rows. The holdout has features as they can be served.
+    """
+    extra, leaks = (*PIT_FEATURES, *LABEL_FEATURES), (*leaky.GLOBAL_AGGREGATES, *leaky.TARGET_ENCODING)
+    periods = dataset.assign_period(tx)
+    start = periods.where("period = 'holdout'").agg(F.min("TransactionDT").alias("cutoff"))
+    history = saved(pit_features(tx, sums=True))
+    known, served = history.select("TransactionID", *extra), leaky.served_aggregates(history).select("TransactionID", *leaks)
+    own = ("TransactionID", "TransactionDT", "label_available_at", "isFraud", "cents")
+    columns = (*own, *(c for c in base if c not in own))
+    honest = saved(_time_parts(tx, True).join(known, "TransactionID").select("part", *columns, *extra))
+    careless = saved(leaky.target_encoding(leaky.global_aggregates(dataset.random_split(periods.where("period <> 'holdout'")))).select("part", *columns, *leaks))
+    part = lambda rows, name: rows.where(F.col("part") == name).drop("part")
+    honest_model = fit(part(honest, "train"), part(honest, "stop"), (*base, *extra), trees=trees)
+    careless_model = fit(part(careless, "train"), part(careless, "stop"), (*base, *leaks), trees=trees)
+    choosing = dataset.with_scalar(part(honest, "test"), start).where(F.col("TransactionDT") <= F.col("cutoff") - known_after).drop("cutoff")
+    holdout = periods.where("period = 'holdout'").select(*columns)
+    scored = honest_model.score(holdout.join(known, "TransactionID")).withColumnRenamed("score", "score_honest")
+    naive = careless_model.score(holdout.join(served, "TransactionID")).select("TransactionID", F.col("score").alias("score_naive"))
+    scored = scored.join(naive, "TransactionID")  # the two know some features by one name
+    return ScoredSets(saved(honest_model.score(choosing)), saved(careless_model.score(part(careless, "test"))), saved(scored))
 
 
 def headline(tx: DataFrame, base: tuple[str, ...], trees: int = 10) -> DataFrame:
@@ -95,7 +172,7 @@ def headline(tx: DataFrame, base: tuple[str, ...], trees: int = 10) -> DataFrame
     leaks = (*leaky.GLOBAL_AGGREGATES, *leaky.TARGET_ENCODING)
     periods = dataset.assign_period(tx)
     dev, holdout = periods.where("period <> 'holdout'"), periods.where("period = 'holdout'").withColumn("part", F.lit("test"))
-    history = saved(pit_features(tx))
+    history = saved(pit_features(tx, sums=True))
     served = leaky.served_aggregates(history).select("TransactionID", *leaks)
     known = history.select("TransactionID", *extra)
     if holdout.join(history, "TransactionID", "left_anti").limit(1).count():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import parity
+from ..operators import dataset, decide, monitor, parity
 from ..operators.pit import pit_features
 from ..operators.scratch import shared_folder
 from ..streaming import online
@@ -16,15 +16,13 @@ START = 20 * DAY  # of the live part of the event table, which spans 30 days
 _COLUMNS = tuple(registry._FULL)
 
 
-def _stream(spark: SparkSession, sf_dir: str, start: float | None, slices: list[float], score=None) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str, start: float | None, slices: list[float], score=None, tx: DataFrame | None = None) -> DataFrame:
     """Online features of the events from ``start`` on, over state seeded with the history before it."""
-    tx = registry.tx(spark, sf_dir)
-    folder = shared_folder(spark)
+    tx = registry.tx(spark, sf_dir) if tx is None else tx
     events = online.build_events(tx, start=start)
     if start is not None:
         events = events.unionByName(online.history_state(tx, start))
-    online.write_in_order(events, f"{folder}/events", slices)
-    return online.replay(spark, f"{folder}/events", f"{folder}/features", f"{folder}/checkpoint", score)
+    return online.replay(events, slices, shared_folder(spark), score)
 
 
 def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +30,23 @@ def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.with_derived(_stream(spark, sf_dir, None, [10 * DAY, 20 * DAY])).select(*_COLUMNS)
 
 
+def stream_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of the stream is delivered twice; the features are those of one delivery."""
+    events = online.build_events(registry.tx(spark, sf_dir))
+    twice = events.unionByName(events)
+    return online.with_derived(online.replay(twice, [10 * DAY, 20 * DAY], shared_folder(spark), once=True)).select(*_COLUMNS)
+
+
+def stream_missing_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Online against batch features where amounts and labels are missing."""
+    tx = registry.tx(spark, sf_dir)
+    gone = F.col("TransactionID") % 7 == 0
+    null = lambda c: F.when(~gone, F.col(c))
+    tx = tx.withColumns({"TransactionAmt": null("TransactionAmt"), "cents": null("cents"), "isFraud": F.when(F.col("TransactionID") % 11 > 0, F.col("isFraud"))})
+    live = online.with_derived(_stream(spark, sf_dir, START, [25 * DAY], tx=tx))
+    return parity.compare_features(live, pit_features(tx).where(F.col("TransactionDT") >= START))
+
+
 def stream_backfill_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live part through the stream, over state seeded by aggregation."""
     return online.with_derived(_stream(spark, sf_dir, START, [25 * DAY])).select(*_COLUMNS)
@@ -47,9 +62,9 @@ def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 BASE = ("TransactionAmt", "hour", "day")
 
 
-def _with_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_base(spark: SparkSession, sf_dir: str, source=registry.tx) -> DataFrame:
     t = F.col("TransactionDT")
-    return registry.tx(spark, sf_dir).withColumns({"hour": F.pmod(F.floor(t / 3600), F.lit(24)), "day": F.floor(t / DAY)})
+    return source(spark, sf_dir).withColumns({"hour": F.pmod(F.floor(t / 3600), F.lit(24)), "day": F.floor(t / DAY)})
 
 
 def ladder_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,25 +79,103 @@ def headline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladder.headline(_with_base(spark, sf_dir), BASE, trees=5)
 
 
-def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The live part scored in the stream by a model of the history: (TransactionID, score)."""
+def _history_model(spark: SparkSession, sf_dir: str) -> ladder.Model:
+    """A model of the history, saved and loaded again, as a service would load it."""
     history = pit_features(registry.tx(spark, sf_dir)).where(F.col("TransactionDT") < START)
-    fraud = registry.tx(spark, sf_dir).select("TransactionID", "isFraud")
-    rows = history.join(fraud, "TransactionID")
-    numeric = registry.PIT_FEATURES
+    rows = history.join(registry.tx(spark, sf_dir).select("TransactionID", "isFraud"), "TransactionID")
     cut = F.col("TransactionDT") < 0.85 * START
-    model = ladder.fit(rows.where(cut), rows.where(~cut), numeric, trees=3)
-    return _stream(spark, sf_dir, START, [25 * DAY], lambda batch: ladder.score(model, batch, numeric).select("TransactionID", "score"))
+    path = f"{shared_folder(spark)}/model"
+    ladder.fit(rows.where(cut), rows.where(~cut), registry.PIT_FEATURES, trees=10).save(path)
+    return ladder.Model.load(spark, path)
+
+
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live part scored in the stream by a model of the history: (TransactionID, score)."""
+    model = _history_model(spark, sf_dir)
+    return _stream(spark, sf_dir, START, [25 * DAY], lambda batch: model.score(batch).select("TransactionID", "score"))
+
+
+def online_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row (rows, unscored, max_abs_diff): scores of the stream against scores of the batch features."""
+    model = _history_model(spark, sf_dir)
+    live = _stream(spark, sf_dir, START, [25 * DAY], lambda batch: model.score(batch).select("TransactionID", "score"))
+    batch = model.score(pit_features(registry.tx(spark, sf_dir)).where(F.col("TransactionDT") >= START)).select("TransactionID", F.col("score").alias("batch"))
+    both = batch.join(live, "TransactionID", "full_outer")
+    return both.agg(
+        F.count("*").alias("rows"), F.sum((F.col("score").isNull() | F.col("batch").isNull()).cast("bigint")).alias("unscored"), F.max(F.abs(F.col("score") - F.col("batch"))).alias("max_abs_diff")
+    )
+
+
+def ladder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(variant, train_rows, stop_rows, test_rows, train_frauds) of every rung: what the models are fitted to and judged on."""
+    rows = _with_base(spark, sf_dir)
+    out = None
+    for name, parts, _ in (*ladder.leaky_rungs(rows, BASE), *ladder.honest_rungs(rows, BASE)):
+        of = lambda part: F.sum((F.col("part") == part).cast("bigint"))
+        one = parts.agg(F.lit(name).alias("variant"), of("train").alias("train_rows"), of("stop").alias("stop_rows"), of("test").alias("test_rows"), F.sum(F.when(F.col("part") == "train", F.col("isFraud"))).alias("train_frauds"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def scored_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policy table of the models' own scores."""
+    sets = ladder.scored_sets(_with_base(spark, sf_dir, registry.order_tx), BASE, trees=10)
+    return decide.policy_table(sets.honest, sets.careless, sets.holdout)
+
+
+def scored_set_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(set, rows, frauds, unscored): which rows choose the thresholds and which judge them."""
+    sets = ladder.scored_sets(_with_base(spark, sf_dir, registry.order_tx), BASE, trees=2)
+    parts = {"honest": sets.honest, "careless": sets.careless, "holdout": sets.holdout.withColumn("score", F.col("score_honest") + F.col("score_naive"))}
+    count = lambda name, df: df.agg(F.lit(name).alias("set"), F.count("*").alias("rows"), F.sum("isFraud").cast("bigint").alias("frauds"), F.sum(F.col("score").isNull().cast("bigint")).alias("unscored"))
+    first, *rest = (count(name, df) for name, df in parts.items())
+    for more in rest:
+        first = first.unionByName(more)
+    return first
+
+
+def score_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of the honest model's score and its inputs, selection rows against the holdout."""
+    sets = ladder.scored_sets(_with_base(spark, sf_dir, registry.order_tx), BASE, trees=10)
+    return monitor.drift_report(sets.honest.withColumnRenamed("score", "score_honest"), sets.holdout, ("score_honest", "TransactionAmt"))
 
 
 _FULL_SQL = registry._pit_sql(registry._EVENTS) + f"SELECT {', '.join(_COLUMNS)} FROM feat"
 _PARITY_SQL = f"""WITH {registry._EVENTS} SELECT f AS feature, (SELECT count(*) FROM tx WHERE TransactionDT >= {int(START)}) AS rows, 0::BIGINT AS mismatches, 0.0::DOUBLE AS max_abs_diff
 FROM (SELECT unnest(['*', {", ".join(f"'{f}'" for f in parity.FEATURES)}]) AS f)"""
+def _splits(source: str) -> str:
+    return f"""WITH {source}, {registry._PERIODS},
+dev AS (SELECT * FROM per WHERE period <> 'holdout'),
+start AS (SELECT min(TransactionDT) FILTER (period = 'valid') AS valid, min(TransactionDT) FILTER (period = 'holdout') AS holdout FROM per),
+train AS (SELECT 'all' AS k, * FROM per WHERE period = 'train' UNION ALL SELECT 'mature', * FROM per WHERE period = 'train' AND label_available_at <= (SELECT valid FROM start)),
+placed AS (SELECT k, isFraud, row_number() OVER (PARTITION BY k ORDER BY TransactionDT, TransactionID) AS i, count(*) OVER (PARTITION BY k) AS n FROM train),
+timed AS (SELECT k, isFraud, CASE WHEN i <= floor(n * {1 - dataset.STOP_SHARE}::DOUBLE) THEN 'train' ELSE 'stop' END AS part FROM placed
+  UNION ALL SELECT k, isFraud, 'test' FROM dev, (VALUES ('all'), ('mature')) v(k) WHERE period = 'valid'),
+dealt AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(TransactionID AS VARCHAR) || ':42'), TransactionID) AS i, count(*) OVER () AS n FROM dev),
+mixed AS (SELECT *, CASE WHEN i <= floor(n * 0.70::DOUBLE) THEN 'train' WHEN i <= floor(n * 0.85::DOUBLE) THEN 'stop' ELSE 'test' END AS part FROM dealt),
+parts AS (SELECT k, isFraud, part FROM timed UNION ALL SELECT 'mixed', isFraud, part FROM mixed)
+"""
+
+
+_ROWS_SQL = _splits(registry._EVENTS) + """SELECT variant, count(*) FILTER (part = 'train') AS train_rows, count(*) FILTER (part = 'stop') AS stop_rows, count(*) FILTER (part = 'test') AS test_rows,
+  CAST(sum(isFraud) FILTER (part = 'train') AS BIGINT) AS train_frauds
+FROM parts JOIN (VALUES ('time_split_base', 'all'), ('random_base', 'mixed'), ('random_global_aggs', 'mixed'), ('random_target_enc', 'mixed'), ('base_mature', 'mature'),
+  ('pit_instant_labels', 'all'), ('pit_honest', 'mature')) v(variant, k) USING (k) GROUP BY variant"""
+_SETS_SQL = _splits(registry._ORDERS) + f"""SELECT s AS set, count(*) AS rows, CAST(sum(isFraud) AS BIGINT) AS frauds, 0::BIGINT AS unscored FROM (
+  SELECT 'honest' AS s, isFraud FROM per WHERE period = 'valid' AND TransactionDT <= (SELECT holdout FROM start) - {int(dataset.LEGIT_DELAY * dataset.DAY)}
+  UNION ALL SELECT 'careless', isFraud FROM mixed WHERE part = 'test' UNION ALL SELECT 'holdout', isFraud FROM per WHERE period = 'holdout') GROUP BY s"""
 QUERIES = {
     "stream_features": (stream_features, _FULL_SQL),
     "stream_backfill_features": (stream_backfill_features, _FULL_SQL + f" WHERE TransactionDT >= {int(START)}"),
     "stream_parity": (stream_parity, _PARITY_SQL),
+    "stream_redelivery": (stream_redelivery, _FULL_SQL),
+    "stream_missing_amounts": (stream_missing_amounts, _PARITY_SQL),
     "stream_scores": (stream_scores, None),
+    "online_batch_scores": (online_batch_scores, f"WITH {registry._EVENTS} SELECT count(*) AS rows, 0::BIGINT AS unscored, 0.0::DOUBLE AS max_abs_diff FROM tx WHERE TransactionDT >= {int(START)}"),
+    "ladder_rows": (ladder_rows, _ROWS_SQL),
+    "scored_set_rows": (scored_set_rows, _SETS_SQL),
+    "scored_policies": (scored_policies, None),
+    "score_drift": (score_drift, None),
     "ladder_metrics": (ladder_metrics, None),
     "honest_ladder_metrics": (honest_ladder_metrics, None),
     "headline_metrics": (headline_metrics, None),

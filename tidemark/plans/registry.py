@@ -6,12 +6,13 @@ Scores are deterministic stand-ins, ``((id * 7919) % 997) / 997``, so that SQL c
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.spec import LABEL_FEATURES, PIT_FEATURES
 from ..operators import dataset, decide, leaky, monitor, parity
 from ..operators.pit import label_counts_by_range_join, pit_features
-from ..sources.tables import TX_COLUMNS, card_id, table, transactions_from_events, transactions_from_orders
+from ..sources.tables import TX_COLUMNS, card_id, read_csv, read_periods, read_report, table, transactions_from_events, transactions_from_orders, write_ordered, write_report
 from ..streaming import online
 
 QUERIES: dict = {}
@@ -196,17 +197,21 @@ def leaky_target_encoding(spark, sf_dir):
     return leaky.target_encoding(tx(spark, sf_dir)).select("TransactionID", *leaky.TARGET_ENCODING)
 
 
+_UP_TO = "OVER (PARTITION BY card_id ORDER BY TransactionDT RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
 @query(
     "naive_serving",
     _pit_sql(_EVENTS)
-    + """, base AS (SELECT *, card_cnt_all AS n, coalesce(card_amt_mean_all, 0) AS m, coalesce(card_amt_std_all, 0) AS d, TransactionAmt AS x FROM feat),
-now AS (SELECT *, (m * n + x) / (n + 1) AS mean, greatest(n - 1, 0) * d * d + n * m * m AS sq FROM base)
-SELECT TransactionID, n + 1 AS card_tx_count, mean AS card_amt_mean,
-  CASE WHEN n >= 1 THEN sqrt(greatest((sq + x * x - (n + 1) * mean * mean) / nullif(n, 0), 0)) END AS card_amt_std,
-  x / nullif(mean, 0) AS amt_vs_card_mean, CAST(card_fraud_cnt AS DOUBLE) / nullif(card_labeled_cnt, 0) AS card_fraud_rate, card_fraud_cnt AS card_fraud_count FROM now""",
+    + f""", tot AS (
+  SELECT TransactionID AS id, count(*) {_UP_TO} AS n, CAST(sum(cents) {_UP_TO} AS HUGEINT) AS s, CAST(sum(cents * cents) {_UP_TO} AS HUGEINT) AS q, cents AS c FROM tx),
+own AS (SELECT id, 1 + coalesce(n, 0) AS n, coalesce(s, 0) + c AS s, coalesce(q, 0) + c * c AS q FROM tot),
+now AS (SELECT feat.*, own.n, {_MOMENTS.format(n="own.n", s="s", q="q", mean="mean", std="std")} FROM feat JOIN own ON own.id = feat.TransactionID)
+SELECT TransactionID, n AS card_tx_count, mean AS card_amt_mean, std AS card_amt_std, TransactionAmt / nullif(mean, 0) AS amt_vs_card_mean,
+  CAST(card_fraud_cnt AS DOUBLE) / nullif(card_labeled_cnt, 0) AS card_fraud_rate, card_fraud_cnt AS card_fraud_count FROM now""",
 )
 def naive_serving(spark, sf_dir):
-    out = leaky.served_aggregates(pit_features(tx(spark, sf_dir)))
+    out = leaky.served_aggregates(pit_features(tx(spark, sf_dir), sums=True))
     return out.select("TransactionID", *leaky.GLOBAL_AGGREGATES, *leaky.TARGET_ENCODING)
 
 
@@ -216,8 +221,6 @@ def naive_serving(spark, sf_dir):
 SELECT kind, t, txid, card_id, row_number() OVER (PARTITION BY card_id ORDER BY t, kind, txid) AS position FROM ev""",
 )
 def event_stream_order(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     place = F.row_number().over(W.partitionBy("card_id").orderBy("t", "kind", "txid"))
     return online.build_events(tx(spark, sf_dir)).select("kind", "t", "txid", "card_id", place.cast("bigint").alias("position"))
 
@@ -499,6 +502,106 @@ def instant_vs_delayed_labels(spark, sf_dir):
     return now.join(late, "TransactionID").agg(F.count("*").alias("rows"), F.sum((F.col("now") > F.col("late")).cast("bigint")).alias("sees_more"))
 
 
+@query("drop_null_rows", "SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang IS NOT NULL AND l.quality IS NOT NULL")
+def drop_null_rows(spark, sf_dir):
+    return identity_left_join(spark, sf_dir).select("doc_id", "lang", "quality").na.drop()
+
+
+@query("inner_one_to_one", "SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)")
+def inner_one_to_one(spark, sf_dir):
+    left, right = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels")
+    return dataset.join_one_to_one(left, right, "doc_id", "inner")
+
+
+@query("event_closed_range", f"""WITH {_EVENTS}, ev AS (SELECT label_available_at AS t, 0 AS kind, TransactionID AS txid FROM tx UNION ALL SELECT CAST(TransactionDT AS DOUBLE), 1, TransactionID FROM tx)
+SELECT kind, txid FROM ev WHERE t BETWEEN (SELECT min(label_available_at) FROM tx) AND (SELECT max(TransactionDT) FROM tx)""")
+def event_closed_range(spark, sf_dir):
+    """Both ends are times of events, so a half-open range would lose one."""
+    rows = tx(spark, sf_dir)
+    low, high = rows.agg(F.min("label_available_at"), F.max("TransactionDT")).first()
+    return online.build_events(rows, start=low, end=float(high), closed=True).select("kind", "txid")
+
+
+@query("first_matching_policy", f"WITH {_SCORED}, {_curve_sql()} SELECT threshold, cost FROM curve WHERE alerts <= 0.1 * (SELECT count(*) FROM sc) ORDER BY threshold LIMIT 1")
+def first_matching_policy(spark, sf_dir):
+    """The first threshold that alerts a tenth of the rows at most."""
+    rows = scored(tx(spark, sf_dir))
+    curve = dataset.with_scalar(decide.cost_curve(rows), rows.agg(F.count("*").alias("n")))
+    return curve.where(F.col("alerts") <= 0.1 * F.col("n")).orderBy("threshold").limit(1).select("threshold", "cost")
+
+
+@query(
+    "category_codes",
+    f"""WITH {_ORDERS}, {_PERIODS}, p AS (SELECT per.TransactionID, period, CASE WHEN period = 'holdout' AND o_orderkey % 5 = 0 THEN 'new' WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS c
+  FROM per JOIN orders ON o_orderkey = TransactionID),
+codes AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS code FROM p WHERE period = 'train' AND c IS NOT NULL GROUP BY c)
+SELECT TransactionID, CAST(coalesce(code, (SELECT count(*) FROM codes)) AS DOUBLE) AS code FROM p LEFT JOIN codes USING (c)""",
+)
+def category_codes(spark, sf_dir):
+    """Codes learned on the train period; a category seen later and null share the code after the last."""
+    from .ladder import category_codes as learn
+
+    periods = dataset.assign_period(order_tx(spark, sf_dir)).select("TransactionID", "period")
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "TransactionID").select("TransactionID", "o_orderpriority")
+    key = F.col("TransactionID")
+    value = F.when((F.col("period") == "holdout") & (key % 5 == 0), "new").when(key % 7 != 0, F.col("o_orderpriority"))
+    rows = periods.join(orders, "TransactionID").withColumn("c", value)
+    return learn(rows.where("period = 'train'"), ("c",)).transform(rows).select("TransactionID", F.col("c_index").alias("code"))
+
+
+@query(
+    "dataset_build",
+    f"""WITH {_ORDERS}, {_PERIODS} SELECT TransactionID, period, nullif(o_orderkey % 3, 0) AS device, isFraud = 1 AS may_vary, CASE WHEN isFraud = 0 THEN (TransactionDT + 30 * 86400)::DOUBLE END AS legit_known_at
+FROM per JOIN orders ON o_orderkey = TransactionID""",
+)
+def dataset_build(spark, sf_dir):
+    """Both files joined, periods cut and labels delayed; fraud's drawn delays are checked by bounds in the tests."""
+    rows = order_tx(spark, sf_dir).drop("label_available_at")
+    identity = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("TransactionID"), (F.col("o_orderkey") % 3).alias("device"))
+    whole = dataset.build_dataset(rows, identity)
+    return whole.select("TransactionID", "period", "device", (F.col("isFraud") == 1).alias("may_vary"), F.when(F.col("isFraud") == 0, F.col("label_available_at")).alias("legit_known_at"))
+
+
+@query("csv_scan", "SELECT o_orderkey AS TransactionID, CAST(o_orderstatus = 'P' AS INTEGER) AS isFraud, nullif(o_totalprice, 0) AS TransactionAmt, NULL::DOUBLE AS dist1, nullif(o_orderstatus, 'F') AS card4 FROM orders")
+def csv_scan(spark, sf_dir):
+    """Columns by name from a CSV file that lacks some, its empty fields null."""
+    from ..operators.scratch import shared_folder
+
+    path = f"{shared_folder(spark)}/csv"
+    rows = order_tx(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("TransactionID"), F.expr("nullif(o_orderstatus, 'F')").alias("card4")), "TransactionID")
+    rows.select("card4", "TransactionID", "isFraud", "TransactionAmt").write.option("header", True).csv(path)
+    return read_csv(spark, path, "TransactionID bigint, isFraud int, TransactionAmt double, dist1 double, card4 string")
+
+
+@query("ordered_parquet", f"WITH {_ORDERS}, {_PERIODS} SELECT TransactionID, TransactionDT, row_number() OVER (ORDER BY TransactionDT, TransactionID) AS position FROM per WHERE period IN ('valid', 'holdout')")
+def ordered_parquet(spark, sf_dir):
+    """Written in time order and read by period; the position is that in the order read."""
+    from ..operators.scratch import shared_folder
+
+    path = f"{shared_folder(spark)}/ordered"
+    write_ordered(dataset.assign_period(order_tx(spark, sf_dir)), path)
+    rows = read_periods(spark, path, ("valid", "holdout"), ("TransactionID", "TransactionDT"))
+    within, part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), F.spark_partition_id()
+    placed = rows.select("TransactionID", "TransactionDT", part.alias("part"), within.alias("within"))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    offsets = sizes.select("part", before.alias("before"))
+    return placed.join(F.broadcast(offsets), "part").select("TransactionID", "TransactionDT", (F.col("before") + F.col("within") + 1).alias("position"))
+
+
+@query("report_roundtrip", f"WITH {_ORDERS}, {_PERIODS} SELECT period, count(*) AS rows, CASE WHEN period <> 'train' THEN CAST(sum(isFraud) AS BIGINT) END AS frauds FROM per GROUP BY period")
+def report_roundtrip(spark, sf_dir):
+    """A report written as JSON records, nulls included, and read again; a missing one is None."""
+    from ..operators.scratch import shared_folder
+
+    folder = shared_folder(spark)
+    if read_report(spark, f"{folder}/none") is not None:
+        raise ValueError("there is no such report")
+    summary = dataset.period_summary(dataset.assign_period(order_tx(spark, sf_dir)))
+    write_report(summary.select("period", "rows", F.expr("case when period <> 'train' then frauds end").alias("frauds")), f"{folder}/report")
+    return read_report(spark, f"{folder}/report").select("period", "rows", "frauds")
+
+
 from . import live  # noqa: E402  registers the streaming and model queries
 
 LIVE_QUERIES = live.QUERIES

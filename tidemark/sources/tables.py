@@ -40,12 +40,12 @@ def read_periods(spark: SparkSession, path: str, periods: tuple[str, ...], colum
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame | None:
-    """A JSON report, or None if there is no such file."""
+    """A report of JSON records, one a line, or None if there is no such file."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return None
-    return spark.read.json(path, multiLine=True)
+    return spark.read.json(path)
 
 
 def write_ordered(df: DataFrame, path: str) -> None:

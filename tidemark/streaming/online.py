@@ -7,8 +7,10 @@ week, and the amounts of the current second, which no feature sees yet.
 
 from __future__ import annotations
 
+import time
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from math import sqrt
 
 import pandas as pd
@@ -28,9 +30,9 @@ _FEATURES = ", ".join(f"{f.name} {'bigint' if f.func in ('count', 'min_t', 'max_
 OUTPUT = f"TransactionID bigint, TransactionDT bigint, TransactionAmt double, card_id string, {_FEATURES}, card_labeled_cnt bigint, card_fraud_cnt bigint"
 
 
-def build_events(tx: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
-    """Label arrivals and transactions with ``start`` <= t < ``end``, each by its own time; label events keep the id of
-    their transaction, so redelivered ones can be told apart."""
+def build_events(tx: DataFrame, start: float | None = None, end: float | None = None, closed: bool = False) -> DataFrame:
+    """Label arrivals and transactions with ``start`` <= t < ``end`` (<= ``end`` if ``closed``), each by its own time;
+    label events keep the id of their transaction, so redelivered ones can be told apart. Null amounts stay null."""
     labels = tx.where("label_available_at is not null").select(
         F.lit(LABEL).alias("kind"), F.col("label_available_at").alias("t"), "card_id", F.col("TransactionID").alias("txid"),
         F.lit(None).cast("bigint").alias("cents"), F.col("isFraud").alias("is_fraud"), F.lit(None).cast("string").alias("seed"),
@@ -43,10 +45,17 @@ def build_events(tx: DataFrame, start: float | None = None, end: float | None =
     if start is not None:
         events = events.where(F.col("t") >= start)
     if end is not None:
-        events = events.where(F.col("t") < end)
+        events = events.where(F.col("t") <= end if closed else F.col("t") < end)
     return events
 
 
+def without_repeats(stream: DataFrame, late: str = "8 days") -> DataFrame:
+    """Events delivered once: a repeat of a transaction or label that comes within ``late`` of the newest event is left
+    out, and so are events later than that, which Spark counts as rows dropped by the watermark."""
+    moment = F.timestamp_seconds(F.greatest("t", F.lit(0.0)))  # seeds have no time
+    return stream.withColumn("_moment", moment).withWatermark("_moment", late).dropDuplicatesWithinWatermark(["kind", "txid", "card_id"]).drop("_moment")
+
+
 def ordered(events: DataFrame) -> DataFrame:
     return events.orderBy("t", "kind", "txid")
 
@@ -76,10 +85,17 @@ class CardState:
         if saved is None:
             saved = (0, 0, "0", None, None, 0, 0, [], [], None, [])
         self.n, self.cents, squares, self.first, self.last, self.labeled, self.fraud, t, c, self.now_t, now = saved
-        self.recent_t, self.recent_cents, self.now_cents, self.squares = list(t or []), list(c or []), list(now or []), int(squares)
+        self.now_cents, self.squares = list(now or []), int(squares)
+        self._recent(t or [], c or [])
+
+    def _recent(self, t: list[int], cents: list[int]) -> None:
+        """Seconds of the last week's amounts and their running totals; what is before ``head`` has left the week."""
+        self.recent_t, self.totals, self.head = list(t), list(accumulate(cents, initial=0)), 0
 
     def saved(self) -> tuple:
-        return (self.n, self.cents, str(self.squares), self.first, self.last, self.labeled, self.fraud, self.recent_t, self.recent_cents, self.now_t, self.now_cents)
+        totals = self.totals[self.head :]
+        cents = [b - a for a, b in zip(totals, totals[1:])]
+        return (self.n, self.cents, str(self.squares), self.first, self.last, self.labeled, self.fraud, self.recent_t[self.head :], cents, self.now_t, self.now_cents)
 
     def seed(self, text: str) -> None:
         import json
@@ -87,7 +103,7 @@ class CardState:
         s = json.loads(text)
         self.n, self.cents, self.squares, self.labeled, self.fraud = s["n"], s["cents"], int(s["squares"]), s["labeled"], s["fraud"]
         self.first, self.last = s.get("first"), s.get("last")
-        self.recent_t, self.recent_cents = [r["t"] for r in s.get("recent", [])], [r["c"] for r in s.get("recent", [])]
+        self._recent([r["t"] for r in s.get("recent", [])], [r.get("c", 0) for r in s.get("recent", [])])
 
     def label(self, is_fraud: int) -> None:
         self.labeled += 1
@@ -102,18 +118,16 @@ class CardState:
             self.cents += sum(self.now_cents)
             self.squares += sum(c * c for c in self.now_cents)
             self.recent_t += [self.now_t] * len(self.now_cents)
-            self.recent_cents += self.now_cents
+            self.totals += list(accumulate(self.now_cents, initial=self.totals[-1]))[1:]
             self.now_cents = []
-        keep = bisect_left(self.recent_t, t - WEEK)
-        if keep:
-            self.recent_t, self.recent_cents = self.recent_t[keep:], self.recent_cents[keep:]
+        self.head = bisect_left(self.recent_t, t - WEEK, self.head)
         values = []
         for f in HISTORY:
-            since = bisect_left(self.recent_t, t - f.window_s) if f.window_s else 0
+            since = bisect_left(self.recent_t, t - f.window_s, self.head) if f.window_s else 0
             if f.func == "count":
                 values.append(len(self.recent_t) - since if f.window_s else self.n)
             elif f.func == "sum":
-                values.append((sum(self.recent_cents[since:]) if f.window_s else self.cents) / 100.0)
+                values.append((self.totals[-1] - self.totals[since] if f.window_s else self.cents) / 100.0)
             elif f.func == "mean":
                 values.append(self.cents / 100.0 / self.n if self.n else None)
             elif f.func == "std":
@@ -127,7 +141,8 @@ class CardState:
 
 
 def update_card(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Applies a micro-batch of one card's events in order; yields one row per transaction."""
+    """Applies a micro-batch of one card's events in order; yields one row per transaction. As in batch, a transaction
+    without an amount counts as a row that adds nothing, and a label that says nothing counts as a label."""
     card = CardState(tuple(state.get) if state.exists else None)
     events = pd.concat(list(batches)).sort_values(["t", "kind", "txid"], kind="stable")
     out = []
@@ -135,9 +150,10 @@ def update_card(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
         if kind == SEED:
             card.seed(seed)
         elif kind == LABEL:
-            card.label(int(is_fraud))
+            card.label(0 if pd.isna(is_fraud) else int(is_fraud))
         else:
-            out.append((int(txid), int(t), cents / 100.0, key[0], *card.transaction(int(t), int(cents))))
+            amount = None if pd.isna(cents) else cents / 100.0
+            out.append((int(txid), int(t), amount, key[0], *card.transaction(int(t), 0 if amount is None else int(cents))))
     state.update(card.saved())
     names = [c.split()[0] for c in OUTPUT.split(", ")]
     frame = pd.DataFrame(out, columns=names)
@@ -153,29 +169,33 @@ def with_derived(raw: DataFrame) -> DataFrame:
     return raw.withColumns(derive(F.col("TransactionDT"), F.col("TransactionAmt")))
 
 
-def write_in_order(events: DataFrame, path: str, slices: list[float]) -> None:
-    """One file per slice of time, written one after the other: the file source takes them in that order."""
+def replay(events: DataFrame, slices: list[float], folder: str, score=None, once: bool = False, speed: float | None = None) -> DataFrame:
+    """Runs ``events`` through the stream, one micro-batch per slice of time; the features that it wrote.
+
+    Each slice between two of the bounds ``slices`` is written to the source in parallel, as many files as Spark makes,
+    and then taken in whole, so slices follow in time and none passes through one task. ``folder`` is shared by the
+    cluster. ``score``: a function of a DataFrame applied to each micro-batch before it is written, such as a model's
+    transform. ``once`` leaves out events that are delivered again. ``speed`` paces the replay: so many seconds of event
+    time pass in one second.
+    """
+    spark, began, first = events.sparkSession, time.monotonic(), None
+    source, out, checkpoint = (f"{folder}/{part}" for part in ("events", "features", "checkpoint"))
     bounds = [None, *slices, None]
     for low, high in zip(bounds, bounds[1:]):
         part = events
         if low is not None:
+            first = low if first is None else first
+            if speed:
+                time.sleep(max(0.0, (low - first) / speed - (time.monotonic() - began)))
             part = part.where(F.col("t") >= low)
         if high is not None:
             part = part.where(F.col("t") < high)
-        part.coalesce(1).write.mode("append").parquet(path)
-
-
-def replay(spark: SparkSession, path: str, out: str, checkpoint: str, score=None) -> DataFrame:
-    """Runs the stream over the files in ``path``, one a micro-batch, to the end; the features that it wrote to ``out``.
-
-    ``score``: a function of a DataFrame applied to each micro-batch before it is written, such as a model's transform.
-    """
-    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(path)
-    features = online_features(stream)
-    if score is None:
-        writer = features.writeStream.format("parquet").option("path", out)
-    else:
-        writer = features.writeStream.foreachBatch(lambda batch, _: score(with_derived(batch)).write.mode("append").parquet(out))
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(EVENT).parquet(source)
+        features = online_features(without_repeats(stream) if once else stream)
+        if score is None:
+            writer = features.writeStream.format("parquet").option("path", out)
+        else:
+            writer = features.writeStream.foreachBatch(lambda batch, _: score(with_derived(batch)).write.mode("append").parquet(out))
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
