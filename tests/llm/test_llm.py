@@ -370,6 +370,14 @@ def test_components_against_brute_force(spark, block):
     assert [got[i] for i in range(len(texts))] == _brute_components(texts)
 
 
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    df = spark.createDataFrame([(5, a, 1), (5, b, 2), (3, a + " more", 3), (5, a, 4), (None, a, 5), (9, "", 6)], "doc_id bigint, text string, n int")
+    got = {r["n"]: (r["doc_id"], r["component_id"], r["component"]) for r in ngram_join.ngram_components(df, carry=("n",)).collect()}
+    assert {k: v[1] for k, v in got.items()} == {1: 3, 2: 5, 3: 3, 4: 3, 5: None, 6: 9}
+    assert got[1][2] == got[3][2] == got[4][2] != got[2][2] and got[5][2] is None and got[6][2] is None
+
+
 def test_divide_skip_counts_exactly():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 1 << 40, 100).astype(np.uint64))
@@ -488,6 +496,26 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
         assert list(r.ids) == ids and r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
+    """Null, empty, long and repeated rows, repeated ids with other texts, null ids; then no rows at all."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "wv")
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(ODD)] + [(20, a, "en", "s", 1)] * 3 + [(20, b, "en", None, 1), (21, a + " x", "en", "s", 1), (None, a, None, "t", 1), (None, a, None, "t", 1), (22, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    spark.createDataFrame([(0, 1, 0), (3, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        stage(spark, docs, str(tmp_path)).collect()
+    kept = [(r["doc_id"], r["text"]) for r in stages["ngram_join"](spark, docs, str(tmp_path)).collect()]
+    assert kept.count((20, a)) == 1 and kept.count((20, b)) == 1 and kept.count((None, a)) == 2 and (21, a + " x") not in kept and (22, None) in kept and (1, "") in kept
+    mixed = stages["mixing"](spark, docs, str(tmp_path))
+    want = sum(r["taken"] for r in mixing.mix_sources(docs).collect())
+    assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in mixed.collect()) == want
+    assert stages["toxicity"](spark, docs, str(tmp_path)).count() == len(rows)
+    lettered = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    assert stages["language_id"](spark, docs, str(tmp_path)).count() <= len(lettered)
+
+
 def test_folds_are_the_contract_s(spark):
     from tidemark.llm.common import fold
 

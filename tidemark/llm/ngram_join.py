@@ -307,14 +307,17 @@ def _links(sets: DataFrame, scratch: Scratch, percent: int, block: int) -> DataF
     return scratch.save(first.unionByName(_search_blocks(q.unionByName(i), percent)))
 
 
-def ngram_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text); other columns are ignored.
+def ngram_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, component) and the columns ``carry`` for every row of ``docs`` (doc_id, text).
 
-    A document without words has 0 shingles and is linked with nothing. A null id links nothing and has a null
-    component; repeated rows and rows that share an id are rows of their own. An empty table gives no rows. Shingles
-    and sets are compared by 64-bit hashes.
+    ``component_id`` is the smallest id of the component, ``component`` a number of its own, as ids may repeat; null if
+    the row is in none. A document without words has 0 shingles and is linked with nothing. A null id links nothing and
+    has a null component; repeated rows and rows that share an id are rows of their own. Very long texts are taken
+    whole. An empty table gives no rows. Shingles and sets are compared by 64-bit hashes.
     """
     scratch = Scratch(docs.sparkSession)
+    carried = [f"_carry{i}" for i in range(len(carry))]  # their own names may be those of columns made here
+    source = docs.select("doc_id", "text", *(F.col(c).alias(a) for c, a in zip(carry, carried)))
 
     def make():
         def run(texts):
@@ -323,7 +326,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK
 
         return run
 
-    base = scratch.save(map_rows(docs, ("doc_id",), ("text",), make, "n bigint, node bigint, signatures array<bigint>"))
+    base = scratch.save(map_rows(source, ("doc_id", *carried), ("text",), make, "n bigint, node bigint, signatures array<bigint>"))
     known = base.where("node is not null and doc_id is not null")
     signed = known.select("node", F.explode("signatures").alias("signature"))
     total = base.count()
@@ -350,16 +353,18 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK
     named = reps.join(labels, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"), F.col("rows_of_key").alias("copies"))
     named = scratch.save(named)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows_of_key"))
-    of_node = join_hot(named.select("node", "root", "copies"), least, "root", total).select("node", "component_id", F.col("copies").alias("rows_of_key"))
+    of_node = join_hot(named.select("node", "root", "copies"), least, "root", total).select("node", "root", "component_id", F.col("copies").alias("rows_of_key"))
     of_node = scratch.save(of_node)
     scratch.drop(sets, links, near)
-    return join_hot(base.select("doc_id", "n", "node"), of_node, "node", total, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-    )
+    named_id = F.col("doc_id").isNotNull()
+    return join_hot(base.select("doc_id", *carried, "n", "node"), of_node, "node", total, "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(named_id, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(named_id, F.col("root")).alias("component"), *(F.col(a).alias(c) for c, a in zip(carry, carried)),
+    )
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(read(spark, sf_dir, "documents"))
+    return ngram_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP8_SQL = r"""
