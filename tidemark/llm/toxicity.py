@@ -31,6 +31,7 @@ MOST_COUNTED = 200_000  # features that a task counts before it passes its count
 MOST_BROADCAST = 500_000  # confirmed ids up to which they are sent to every executor
 LEAST_POSITIVES = 3  # confirmed texts that must have a feature
 SIGNIFICANCE = 15.0  # least G statistic of its enrichment
+LEAST_LIFT = 3.0  # share among the confirmed over share among all; in a large table any small difference is significant
 SMOOTHING, MOST_RATE = 50, 5.0
 STEPS = 300
 RATE, DECAY = 0.1, 1e-5
@@ -149,8 +150,8 @@ def feature_frequencies(texts: DataFrame) -> DataFrame:
 
 
 def enriched_features(texts: DataFrame) -> list[str]:
-    """Features whose share among the confirmed rows of ``texts`` (text, confirmed) exceeds that among all rows
-    significantly (G statistic). Every row counts, and every such feature is in the result."""
+    """Features whose share among the confirmed rows of ``texts`` (text, confirmed) is ``LEAST_LIFT`` times that among all
+    rows or more, and significantly so (G statistic). Every row counts, and every such feature is in the result."""
     scratch = Scratch(texts.sparkSession)
     both = scratch.save(feature_frequencies(texts).where(F.col("p") >= LEAST_POSITIVES))
     totals = both.where("feature = ''").first()
@@ -164,7 +165,7 @@ def enriched_features(texts: DataFrame) -> list[str]:
     for n, total in ((F.col("p"), n_pos), (F.col("u"), n_unl)):
         for cell, expected in ((n, share * total), (total - n, (1 - share) * total)):
             g = g + 2 * F.when(cell > 0, cell * F.log(cell / expected)).otherwise(0.0)
-    kept = both.where("feature <> ''").where(F.col("p") / n_pos > F.col("u") / n_unl).withColumn("g", g).where(F.col("g") > SIGNIFICANCE)
+    kept = both.where("feature <> ''").where(F.col("p") / n_pos >= LEAST_LIFT * F.col("u") / n_unl).withColumn("g", g).where(F.col("g") > SIGNIFICANCE)
     found = sorted(r["feature"] for r in kept.select("feature").collect())
     scratch.drop(both)
     return found
