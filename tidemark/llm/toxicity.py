@@ -225,6 +225,20 @@ def descend(rows: DataFrame, w: np.ndarray, b: float, prior: float, totals: tupl
     return now[:-1], float(now[-1])
 
 
+def least_drawn(rows: DataFrame, total: int, n: int) -> list[tuple[list[int], list[float]]]:
+    """(at, rate) of the ``n`` rows of least ``draw`` among the ``total`` ones, all if there are no more.
+
+    Rows above a threshold that leaves about twice as many as wanted stay where they are, and equal ones go once with their
+    number, so that what comes to the driver does not grow with the partitions or with one text's repetitions."""
+    if 2 * n < total:
+        rows = rows.where(F.col("draw") < (2 * n << 64) // total - (1 << 63))
+    each = rows.groupBy("draw", "at", "rate").agg(F.count("*").alias("times")).orderBy("draw", "at", "rate").limit(n)
+    found: list[tuple[list[int], list[float]]] = []
+    for at, rate, times in each.select("at", "rate", "times").collect():
+        found += [(at, rate)] * min(times, n - len(found))
+    return found
+
+
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicityModel:
     """Fits on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both restricted to what may be learned from.
 
@@ -260,10 +274,11 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = PO
     if not n_pos:  # the confirmed ids are in no row of docs
         return ToxicityModel({}, -10.0)
 
-    def sample(of: DataFrame, n: int) -> SparseRows:
-        return SparseRows([tuple(r) for r in of.orderBy("draw", "at", "rate").limit(n).select("at", "rate").collect()], len(chosen))
-
-    w, b = non_negative_pu(sample(rows.where("confirmed"), positives), sample(rows, unlabelled), prior)
+    w, b = non_negative_pu(
+        SparseRows(least_drawn(rows.where("confirmed"), n_pos, positives), len(chosen)),
+        SparseRows(least_drawn(rows, n_all, unlabelled), len(chosen)),
+        prior,
+    )
     w, b = descend(rows, w, b, prior, (n_pos, n_all))
     scratch.drop(rows)
     return ToxicityModel(dict(zip(chosen, w.tolist())), b)
