@@ -29,6 +29,7 @@ POSITIVES = 3_000
 UNLABELLED = 9_000
 MOST_COUNTED = 200_000  # features that a task counts before it passes its counts on
 MOST_BROADCAST = 500_000  # confirmed ids up to which they are sent to every executor
+MOST_WORDS, LONGEST_WORD = 100_000, 64  # words whose features a task remembers, and their length in characters
 LEAST_POSITIVES = 3  # confirmed texts that must have a feature
 SIGNIFICANCE = 15.0  # least G statistic of its enrichment
 LEAST_LIFT = 3.0  # share among the confirmed over share among all; in a large table any small difference is significant
@@ -50,23 +51,33 @@ def features(text: str | None) -> set[str]:
     return found
 
 
-def rates(text: str | None, known, starts: frozenset[str]) -> dict[str, float]:
-    """Occurrences per 100 words of the features in ``known``, as if the text had ``SMOOTHING`` words more, up to
-    ``MOST_RATE``. ``starts``: the first letters of the known features, see :func:`first_letters`.
+class Rates:
+    """Occurrences per 100 words of the features in ``known``, as if a text had ``SMOOTHING`` words more, up to ``MOST_RATE``.
 
     A long text holds a word of any kind by chance; only how dense such words are tells the two kinds apart."""
-    words = _word(text.lower()) if text else []
-    found: dict[str, float] = {}
-    for word, n in Counter(words).items():
-        if word[: STEMS[0]] in starts:
-            for f in ("=" + word, *(word[:k] for k in STEMS if len(word) > k)):
-                if f in known:
-                    found[f] = found.get(f, 0) + n
-    return {f: min(100.0 * n / (len(words) + SMOOTHING), MOST_RATE) for f, n in sorted(found.items())}
 
-
-def first_letters(known) -> frozenset[str]:
-    return frozenset(f.removeprefix("=")[: STEMS[0]] for f in known)
+    def __init__(self, known):
+        self.known = known
+        self.of_word: dict[str, tuple[str, ...]] = {}  # known features of the words met, MOST_WORDS at most
+
+    def __call__(self, text: str | None) -> dict[str, float]:
+        words = _word(text.lower()) if text else []
+        found: dict[str, float] = {}
+        for word, n in Counter(words).items():
+            has = self.of_word.get(word)
+            if has is None:
+                has = self._look_up(word)
+            for f in has:
+                found[f] = found.get(f, 0) + n
+        return {f: min(100.0 * n / (len(words) + SMOOTHING), MOST_RATE) for f, n in sorted(found.items())}
+
+    def _look_up(self, word: str) -> tuple[str, ...]:
+        has = tuple(f for f in ("=" + word, *(word[:k] for k in STEMS if len(word) > k)) if f in self.known)
+        if len(self.of_word) >= MOST_WORDS:
+            self.of_word.clear()
+        if len(word) <= LONGEST_WORD:
+            self.of_word[word] = has
+        return has
 
 
 @dataclass
@@ -75,10 +86,10 @@ class ToxicityModel:
     bias: float
 
     def __post_init__(self) -> None:
-        self._starts = first_letters(self.weights)
+        self._rates = Rates(self.weights)
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(self.weights[f] * x for f, x in rates(text, self.weights, self._starts).items())
+        z = self.bias + sum(self.weights[f] * x for f, x in self._rates(text).items())
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -260,10 +271,10 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = PO
     place = {f: i for i, f in enumerate(chosen)}
 
     def make():
-        starts = first_letters(place)
+        rates = Rates(place)
 
         def run(texts):
-            found = [rates(t, place, starts) for t in texts]
+            found = list(map(rates, texts))
             return [[place[f] for f in x] for x in found], [list(x.values()) for x in found]
 
         return run
