@@ -203,12 +203,12 @@ def train_language_model(docs: DataFrame, docs_per_language: int = DOCS_PER_LANG
 
     spread = drawn.repartition(docs.sparkSession.sparkContext.defaultParallelism, "draw")
     sample = map_rows(spread, ("lang", "draw", "held"), ("text", "held_text"), make, "at array<array<int>>, value array<array<float>>")
-    rows = sample.orderBy("draw", "lang").collect()  # docs_per_language of each language at most
+    table = sample.orderBy("draw", "lang").toArrow()  # docs_per_language of each language at most; as Python lists it would be ten times as large
     parts: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
-    for r in rows:
-        for at, value in zip(r["at"], r["value"]):
-            parts[r["held"]][0].append((np.array(at), np.array(value)))
-            parts[r["held"]][1].append(languages.index(r["lang"]))
+    for lang, held, *row in zip(*(table.column(c) for c in ("lang", "held", "at", "value"))):
+        for at, value in zip(*(x.values for x in row)):
+            parts[held.as_py()][0].append((at.values.to_numpy().astype(np.int64), value.values.to_numpy().astype(np.float64)))
+            parts[held.as_py()][1].append(languages.index(lang.as_py()))
     train, y = parts[False][0], np.array(parts[False][1], int)
     tune, tune_y = parts[True][0], np.array(parts[True][1], int)
     if not len(y):
