@@ -65,10 +65,11 @@ class Scratch:
         self.count = 0
         atexit.register(self.drop_all)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, **options) -> DataFrame:
+        """``df`` written with the writer's ``options`` and read again."""
         self.count += 1
         path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

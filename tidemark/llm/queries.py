@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_extraction, language_id, mixing, nearest, ngram_join, quality_classifier, quality_rules, sentencepiece_bpe, toxicity
+from . import alignment, chat, html_extraction, language_id, lexical_search, mixing, nearest, ngram_join, quality_classifier, quality_rules, sentencepiece_bpe, sharding, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_language_id": language_id.op9_language_id,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op8_ngram_join": ngram_join.OP8_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op11_sharding": sharding.OP11_SQL,
+    "op12_lexical_search": lexical_search.OP12_SQL,
 }
