@@ -199,21 +199,6 @@ def test_event_order(spark):
     assert [(e["kind"], e["t"]) for e in events] == [(1, 100.0), (0, 500.0), (1, 500.0), (0, 900.0)]
 
 
-def test_card_state_matches_batch(spark):
-    rows = [r for r in random_tx(200) if r[4]]
-    events = sorted([(r[6], 0, r) for r in rows] + [(float(r[1]), 1, r) for r in rows], key=lambda e: (e[0], e[1], e[2][0]))
-    cards, want = {}, brute_pit(rows)
-    for t, kind, r in events:
-        card = online.CardState(cards[r[4]].saved()) if r[4] in cards else online.CardState()  # through its saved form
-        cards[r[4]] = card
-        if kind == 0:
-            card.label(r[5])
-            continue
-        got = card.transaction(int(t), r[3])
-        assert got[:3] == tuple(want[r[0]][f] for f in ("card_cnt_1h", "card_cnt_24h", "card_cnt_7d"))
-        assert got[-2:] == (want[r[0]]["card_labeled_cnt"], want[r[0]]["card_fraud_cnt"])
-
-
 def test_csv_by_declared_names(spark, tmp_path):
     (tmp_path / "t.csv").write_text("TransactionDT,TransactionID,TransactionAmt,extra\n5,1,2.5,x\n6,2,,y\n")
     out = tables.read_csv(spark, str(tmp_path / "t.csv"), "TransactionID bigint, isFraud int, TransactionDT bigint, TransactionAmt double")
@@ -252,21 +237,6 @@ def test_running_totals_do_not_depend_on_the_ranges(spark, ranges):
     assert got == {k: sum(j % 13 for j in rows if j < k) for k in rows}
 
 
-def test_a_busy_card_in_the_stream_state():
-    """Totals of the windows against sums over all earlier amounts, with the state saved and restored on the way."""
-    rng, card, past, t = random.Random(6), online.CardState(), [], 0
-    for i in range(1_500):
-        t += rng.choice([0, 0, 1, 60, 4_000, 90_000])
-        cents = rng.randrange(1_000)
-        values = dict(zip((f.name for f in online.HISTORY), card.transaction(t, cents)))
-        for name, w in (("24h", DAY), ("7d", 7 * DAY)):
-            window = [c for s, c in past if t - w <= s < t]
-            assert values[f"card_cnt_{name}"] == len(window) and values[f"card_amt_sum_{name}"] == sum(window) / 100
-        past.append((t, cents))
-        if i % 100 == 99:
-            card = online.CardState(card.saved())
-
-
 def test_replay_can_be_paced(spark, tmp_path):
     import time
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dataset, decide, monitor, parity
 from ..operators.pit import pit_features
-from ..operators.scratch import shared_folder
+from ..operators.scratch import saved, shared_folder
+from ..sources.tables import write_document
 from ..streaming import online
 from . import ladder, registry
 
@@ -19,10 +22,8 @@ _COLUMNS = tuple(registry._FULL)
 def _stream(spark: SparkSession, sf_dir: str, start: float | None, slices: list[float], score=None, tx: DataFrame | None = None) -> DataFrame:
     """Online features of the events from ``start`` on, over state seeded with the history before it."""
     tx = registry.tx(spark, sf_dir) if tx is None else tx
-    events = online.build_events(tx, start=start)
-    if start is not None:
-        events = events.unionByName(online.history_state(tx, start))
-    return online.replay(events, slices, shared_folder(spark), score)
+    history = None if start is None else online.history_state(tx, start)
+    return online.replay(online.build_events(tx, start=start), slices, shared_folder(spark), score, history=history)
 
 
 def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,54 @@ def stream_backfill_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.with_derived(_stream(spark, sf_dir, START, [25 * DAY])).select(*_COLUMNS)
 
 
+def stream_hot_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Online against batch features where one card has half of all events, many of them in the same second."""
+    tx = registry.tx(spark, sf_dir)
+    hot = F.col("TransactionID") % 2 == 0
+    minute = F.col("TransactionDT") - F.col("TransactionDT") % 60
+    tx = tx.withColumns({"card_id": F.when(hot, F.lit("hot")).otherwise(F.col("card_id")), "TransactionDT": F.when(hot, minute).otherwise(F.col("TransactionDT"))})
+    live = online.with_derived(_stream(spark, sf_dir, START, [25 * DAY], tx=tx))
+    return parity.compare_features(live, pit_features(tx).where(F.col("TransactionDT") >= START))
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, late, kept): every twentieth event comes five days after its time, every third of the others half a day."""
+    number = F.col("txid")
+    delay = F.when(number % 20 == 0, 5 * DAY).when(number % 3 == 0, 0.5 * DAY).otherwise(0.0)
+    events = online.build_events(registry.tx(spark, sf_dir)).withColumn("delivered", F.col("t") + delay)
+    replay = online.Replay(events, [10 * DAY, 20 * DAY], shared_folder(spark), by="delivered")
+    replay.run()
+    return replay.late()
+
+
+def parity_run(spark: SparkSession, tx: DataFrame, start: float, slices: list[float], folder: str, path: str | None = None) -> dict:
+    """Online against batch features of the transactions from ``start`` on, with the run's rates; saved as JSON at
+    ``path`` if given.
+
+    rows, mismatched_rows, max_abs_diff, features (name: mismatches, max_abs_diff), history_cards, live_events,
+    prepare_s (history's state), write_s, take_s, events_per_s, and slices, one entry a slice of :class:`online.Replay`.
+    """
+    began = time.monotonic()
+    history = saved(online.history_state(tx, start))
+    cards = history.select("card_id").distinct().count()
+    prepared = time.monotonic() - began
+    replay = online.Replay(online.build_events(tx, start=start), slices, folder, history=history)
+    live = online.with_derived(replay.run())
+    batch = pit_features(tx).where(F.col("TransactionDT") >= start)
+    found = {r["feature"]: r for r in parity.compare_features(live, batch).collect()}  # one row a feature
+    total = found.pop("*")
+    per = {f: {"mismatches": r["mismatches"], "max_abs_diff": r["max_abs_diff"]} for f, r in found.items()}
+    events, take = sum(p["events"] for p in replay.progress), sum(p["take_s"] for p in replay.progress)
+    report = {
+        "rows": total["rows"], "mismatched_rows": total["mismatches"], "max_abs_diff": max((r["max_abs_diff"] or 0.0 for r in per.values()), default=0.0), "features": per,
+        "history_cards": cards, "live_events": events, "prepare_s": prepared, "write_s": sum(p["write_s"] for p in replay.progress), "take_s": take, "events_per_s": events / take,
+        "slices": replay.progress,
+    }
+    if path:
+        write_document(spark, report, path)
+    return report
+
+
 def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Online against batch features of the live transactions, feature by feature."""
     live = online.with_derived(_stream(spark, sf_dir, START, [25 * DAY]))
@@ -143,6 +192,23 @@ def score_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FULL_SQL = registry._pit_sql(registry._EVENTS) + f"SELECT {', '.join(_COLUMNS)} FROM feat"
 _PARITY_SQL = f"""WITH {registry._EVENTS} SELECT f AS feature, (SELECT count(*) FROM tx WHERE TransactionDT >= {int(START)}) AS rows, 0::BIGINT AS mismatches, 0.0::DOUBLE AS max_abs_diff
 FROM (SELECT unnest(['*', {", ".join(f"'{f}'" for f in parity.FEATURES)}]) AS f)"""
+_HOT_SQL = f"""WITH {registry._EVENTS},
+moved AS (SELECT CASE WHEN TransactionID % 2 = 0 THEN TransactionDT - TransactionDT % 60 ELSE TransactionDT END AS at FROM tx)
+SELECT f AS feature, (SELECT count(*) FROM moved WHERE at >= {int(START)}) AS rows, 0::BIGINT AS mismatches, 0.0::DOUBLE AS max_abs_diff
+FROM (SELECT unnest(['*', {", ".join(f"'{f}'" for f in parity.FEATURES)}]) AS f)"""
+_LATE_SQL = f"""WITH {registry._EVENTS},
+e AS (
+  SELECT 'tx' AS kind, CAST(TransactionDT AS DOUBLE) AS t, card_id, TransactionID AS txid FROM tx
+  UNION ALL SELECT 'label', label_available_at, card_id, TransactionID FROM tx WHERE label_available_at IS NOT NULL),
+d AS (SELECT *, t + CASE WHEN txid % 20 = 0 THEN {5 * DAY} WHEN txid % 3 = 0 THEN {0.5 * DAY} ELSE 0 END AS delivered FROM e),
+s AS (SELECT *, CASE WHEN delivered < {10 * DAY} THEN 0 WHEN delivered < {20 * DAY} THEN 1 ELSE 2 END AS slice FROM d),
+m AS (SELECT card_id, slice, max(t) AS newest FROM s GROUP BY card_id, slice),
+j AS (
+  SELECT s.kind, s.t, s.card_id, s.txid, max(m.newest) AS seen
+  FROM s JOIN m ON m.card_id IS NOT DISTINCT FROM s.card_id AND m.slice < s.slice GROUP BY ALL)
+SELECT kind, count(*) FILTER (t < seen) AS late, count(*) FILTER (t < seen AND (kind = 'label' OR t >= seen - {online.LATENESS})) AS kept FROM j GROUP BY kind"""
+
+
 def _splits(source: str) -> str:
     return f"""WITH {source}, {registry._PERIODS},
 dev AS (SELECT * FROM per WHERE period <> 'holdout'),
@@ -169,6 +235,8 @@ QUERIES = {
     "stream_backfill_features": (stream_backfill_features, _FULL_SQL + f" WHERE TransactionDT >= {int(START)}"),
     "stream_parity": (stream_parity, _PARITY_SQL),
     "stream_redelivery": (stream_redelivery, _FULL_SQL),
+    "stream_hot_card": (stream_hot_card, _HOT_SQL),
+    "stream_late": (stream_late, _LATE_SQL),
     "stream_missing_amounts": (stream_missing_amounts, _PARITY_SQL),
     "stream_scores": (stream_scores, None),
     "online_batch_scores": (online_batch_scores, f"WITH {registry._EVENTS} SELECT count(*) AS rows, 0::BIGINT AS unscored, 0.0::DOUBLE AS max_abs_diff FROM tx WHERE TransactionDT >= {int(START)}"),

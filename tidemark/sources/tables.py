@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,11 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_document(spark: SparkSession, document: dict, path: str) -> None:
+    """One nested report as a line of JSON, see :func:`read_report`."""
+    spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def transactions_from_events(events: DataFrame) -> DataFrame:
     """Transactions from the event table: errors are fraud, labels arrive 1 to 7 days later, others after 8."""
     t = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
