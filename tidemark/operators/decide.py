@@ -7,27 +7,40 @@ ordered, and running totals over the scores are taken range by range.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .prefix import running_before, with_scalar
+from .prefix import place, running_before, with_scalar
+from .scratch import saved
 
 REVIEW_COST = 5.0
 MOST_POLICIES = 10_000  # sent to every executor
 
 
-def _per_score(scored: DataFrame) -> DataFrame:
+def score_totals(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(score, n, pos, fraud_cents) per distinct score, null included, and per group of the columns ``by``: all that
+    thresholds and metrics need of ``scored`` (score, isFraud, cents)."""
     fraud = F.col("isFraud") == 1
-    return scored.where("score is not null").groupBy("score").agg(
-        F.count("*").alias("n"), F.sum(fraud.cast("bigint")).alias("pos"), F.sum(F.when(fraud, F.col("cents")).otherwise(0)).alias("fraud_cents")
+    return scored.groupBy(*by, "score").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(fraud.cast("bigint")), F.lit(0)).alias("pos"), F.coalesce(F.sum(F.when(fraud, F.col("cents"))), F.lit(0)).alias("fraud_cents")
     )
 
 
+def _per_score(scored: DataFrame) -> DataFrame:
+    return score_totals(scored).where("score is not null")
+
+
 def cost_curve(scored: DataFrame, review_cost: float = REVIEW_COST) -> DataFrame:
     """(threshold, alerts, cost, accuracy) at every distinct score and at infinity, where nothing is alerted.
 
     ``scored``: score, isFraud, cents. Rows without a score are left out; an empty table has no curve.
     """
-    per = _per_score(scored)
+    return curve_of(score_totals(scored), review_cost)
+
+
+def curve_of(per: DataFrame, review_cost: float = REVIEW_COST) -> DataFrame:
+    """The curve of :func:`cost_curve` from :func:`score_totals`."""
+    per = per.where("score is not null")
     sums = {"n_below": "n", "pos_below": "pos", "cents_below": "fraud_cents"}
     totals = per.agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"), F.sum("fraud_cents").alias("all_cents"))
     at_scores = with_scalar(running_before(per, "score", sums), totals)
@@ -49,21 +62,18 @@ def choose(curve: DataFrame, by: str) -> DataFrame:
     return curve.orderBy(best, "threshold").limit(1)
 
 
-def _measures(score: Column, threshold: Column, review_cost: float) -> list[Column]:
-    alert = F.coalesce(score >= threshold, F.lit(False))
-    fraud = F.col("isFraud") == 1
-    count = lambda c: F.sum(c.cast("bigint"))
-    amount = lambda c: F.sum(F.when(c, F.col("cents")).otherwise(0)) / F.lit(100.0)
-    alerts, n = count(alert), F.count("*")
-    missed = amount(fraud & ~alert)
+def _measures(review_cost: float) -> list[Column]:
+    """Of a policy's alerts, caught and caught_cents, among all_n rows with all_pos frauds of all_cents."""
+    alerts, n, caught = F.col("alerts"), F.col("all_n"), F.col("caught")
+    missed = (F.col("all_cents") - F.col("caught_cents")) / F.lit(100.0)
     cost = missed + F.lit(review_cost) * alerts
     ratio = lambda a, b: F.bround(a / F.nullif(b, F.lit(0)), 4)
     return [
-        alerts.alias("alerts"),
+        "alerts",
         ratio(alerts, n).alias("alert_rate"),
-        ratio(count(alert & fraud), alerts).alias("precision"),
-        ratio(count(alert & fraud), count(fraud)).alias("recall"),
-        F.bround(amount(fraud & alert)).cast("bigint").alias("fraud_caught_amt"),
+        ratio(caught, alerts).alias("precision"),
+        ratio(caught, F.col("all_pos")).alias("recall"),
+        F.bround(F.col("caught_cents") / F.lit(100.0)).cast("bigint").alias("fraud_caught_amt"),
         F.bround(missed).cast("bigint").alias("fraud_missed_amt"),
         F.bround(F.lit(review_cost) * alerts).cast("bigint").alias("review_cost"),
         F.bround(cost).cast("bigint").alias("total_cost"),
@@ -72,44 +82,68 @@ def _measures(score: Column, threshold: Column, review_cost: float) -> list[Colu
 
 
 def evaluate(scored: DataFrame, thresholds: DataFrame, review_cost: float = REVIEW_COST) -> DataFrame:
-    """What each policy of ``thresholds`` (policy, threshold: a handful of rows) does to ``scored`` (score, isFraud, cents).
+    """What each policy of ``thresholds`` (policy, threshold) does to ``scored`` (score, isFraud, cents).
 
     The threshold is rounded in the output, null for infinity. Without alerts there is no precision, without fraud no
-    recall. Every policy is evaluated; more than ``MOST_POLICIES`` are refused.
+    recall; a null score is never alerted, a null threshold alerts nothing, and no rows give no output. More than
+    ``MOST_POLICIES`` are refused.
+    """
+    return evaluate_totals(score_totals(scored), thresholds, review_cost)
+
+
+def evaluate_totals(per: DataFrame, thresholds: DataFrame, review_cost: float = REVIEW_COST) -> DataFrame:
+    """:func:`evaluate` from :func:`score_totals`.
+
+    Each score is placed among the sorted thresholds by halving and summed with the others of its place; a policy's
+    figures are then totals of the places from its own on. So the cost is that of one pass, whatever the policies.
     """
     if thresholds.limit(MOST_POLICIES + 1).count() > MOST_POLICIES:
         raise ValueError(f"more than {MOST_POLICIES} policies")
-    shown = F.when(F.col("threshold") < float("inf"), F.bround("threshold", 4)).alias("shown")
-    judged = scored.crossJoin(F.broadcast(thresholds)).groupBy("policy", shown)
-    return judged.agg(*_measures(F.col("score"), F.col("threshold"), review_cost)).withColumnRenamed("shown", "threshold")
+    bounds = thresholds.agg(F.array_sort(F.collect_set("threshold")).alias("bounds"))
+    placed = with_scalar(per, bounds).groupBy(place(F.col("bounds"), F.col("score")).alias("place"))
+    places = placed.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("fraud_cents").alias("cents"))  # MOST_POLICIES + 1 rows at most
+    every = places.agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"), F.sum("cents").alias("all_cents")).where("all_n is not null")
+    own = F.coalesce(F.array_position("bounds", F.col("threshold")), F.lit(MOST_POLICIES + 1)).cast("int")
+    asked = with_scalar(thresholds, bounds).select("policy", "threshold", own.alias("place"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("cents"))
+    both = places.select(F.lit(None).cast("string").alias("policy"), F.lit(None).cast("double").alias("threshold"), "place", "n", "pos", "cents", F.lit(False).alias("asks"))
+    both = both.unionByName(asked.withColumn("asks", F.lit(True)))
+    from_own = W.orderBy(F.col("place").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    totals = both.select("policy", "threshold", "asks", *(F.sum(c).over(from_own).alias(a) for c, a in (("n", "alerts"), ("pos", "caught"), ("cents", "caught_cents"))))
+    shown = F.when(F.col("threshold") < float("inf"), F.bround("threshold", 4)).alias("threshold")
+    return with_scalar(totals.where("asks"), every).select("policy", shown, *_measures(review_cost))
 
 
 def policy_table(honest: DataFrame, careless: DataFrame, holdout: DataFrame, review_cost: float = REVIEW_COST) -> DataFrame:
     """One row per policy on the holdout: none, thresholds chosen beforehand, and the best in hindsight.
 
     ``honest`` and ``careless``: selection rows (score, isFraud, cents). ``holdout``: isFraud, cents, score_honest,
-    score_naive. ``promised_cost_per_1k_tx`` is what the choice looked like on its selection rows.
+    score_naive. ``promised_cost_per_1k_tx`` is what the choice looked like on its selection rows. Each set of rows is
+    read once, for its totals per score; the chosen thresholds, four numbers, come to the driver.
     """
-    out = None
-    nothing = holdout.sparkSession.createDataFrame([("no_model", float("inf"))], "policy string, threshold double")
+    spark, out = holdout.sparkSession, None
+    scores = F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"score_{m}").alias("score")) for m in ("honest", "naive"))))
+    lives = saved(score_totals(holdout.select("isFraud", "cents", scores), ("model",)))
     for name, selection in (("honest", honest), ("naive", careless)):
-        live = holdout.select(F.col(f"score_{name}").alias("score"), "isFraud", "cents")
-        picks = ["accuracy", "cost"] if name == "honest" else ["cost"]
-        curve = cost_curve(selection, review_cost)
-        chosen = None
-        for by in picks:
-            row = choose(curve, by).select(F.lit(f"{name}_{by}_threshold").alias("policy"), "threshold")
-            chosen = row if chosen is None else chosen.unionByName(row)
-        promised = evaluate(selection, chosen, review_cost).select("policy", F.col("cost_per_1k_tx").alias("promised_cost_per_1k_tx"))
-        later = choose(cost_curve(live, review_cost), "cost").select(F.lit(f"{name}_hindsight").alias("policy"), "threshold")
-        policies = chosen.unionByName(later)
-        if name == "honest":
-            policies = nothing.unionByName(policies)
-        rows = evaluate(live, policies, review_cost).join(promised, "policy", "left")
+        before = saved(score_totals(selection))
+        live = lives.where(F.col("model") == name).drop("model")
+        best = _best(curve_of(before, review_cost))
+        picks = [(f"{name}_{by}_threshold", best[by]) for by in (("accuracy", "cost") if name == "honest" else ("cost",)) if by in best]
+        chosen = spark.createDataFrame(picks, "policy string, threshold double")
+        promised = evaluate_totals(before, chosen, review_cost).select("policy", F.col("cost_per_1k_tx").alias("promised_cost_per_1k_tx"))
+        hindsight = [(f"{name}_hindsight", best["cost"]) for best in [_best(curve_of(live, review_cost))] if best]
+        nothing = [("no_model", float("inf"))] if name == "honest" else []
+        policies = spark.createDataFrame(nothing + picks + hindsight, "policy string, threshold double")
+        rows = evaluate_totals(live, policies, review_cost).join(promised, "policy", "left")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _best(curve: DataFrame) -> dict[str, float]:
+    """The thresholds that :func:`choose` picks by cost and by accuracy, in one pass; none of an empty curve."""
+    cost, accuracy = curve.agg(F.min(F.struct("cost", "threshold")), F.min(F.struct(-F.col("accuracy"), "threshold"))).first()
+    return {} if cost is None else {"cost": cost["threshold"], "accuracy": accuracy["threshold"]}
+
+
 def roc_auc(scored: DataFrame) -> DataFrame:
     """One row (roc_auc), ties counted half, rounded to 4 places; null without both classes."""
     per = _per_score(scored).withColumn("neg", F.col("n") - F.col("pos"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import with_scalar
+from .prefix import place, with_scalar
+from .quantiles import exact_quantiles
+from .scratch import saved
 
 # Floor of an empty bin's share, and the levels of drift.
 EPS, MODERATE, MAJOR = 1e-4, 0.1, 0.25
@@ -29,18 +31,19 @@ def drift_report(reference: DataFrame, current: DataFrame, numeric: tuple[str, .
     """(feature, psi, level) for every column, from current against reference rows.
 
     Numeric columns are cut at the reference's exact deciles, missing values in a bin of their own; others are compared
-    value by value. Empty bins count with the floor. All columns are done in the same two jobs.
+    value by value. Empty bins count with the floor. All columns are done together.
     """
     shares = [(i + 1) / bins for i in range(bins - 1)]
     flag = lambda df, is_ref: df.withColumn("in_ref", F.lit(is_ref))
     parts = []
     if numeric:
         known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        edges = reference.agg(
-            *(F.array_sort(F.array_distinct(F.coalesce(F.percentile(known(c), F.array(*map(F.lit, shares))), F.array().cast("array<double>")))).alias(f"_e_{c}") for c in numeric)
-        )
+        values = reference.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), known(c).alias("value")) for c in numeric))))
+        deciles = saved(exact_quantiles(values, "value", tuple(shares), ("feature",)))  # one row a feature
+        of = lambda c: F.coalesce(F.max(F.when(F.col("feature") == c, F.array_sort(F.array_distinct("quantiles")))), F.array().cast("array<double>"))
+        edges = deciles.agg(*(of(c).alias(f"_e_{c}") for c in numeric))
         both = flag(reference.select(*numeric), True).unionByName(flag(current.select(*numeric), False))
-        bin_of = lambda c: F.when(known(c).isNull(), 0).otherwise(F.size(F.filter(F.col(f"_e_{c}"), lambda e: e <= known(c))) + 1)
+        bin_of = lambda c: F.when(known(c).isNull(), 0).otherwise(place(F.col(f"_e_{c}"), known(c)) + 1)
         long = with_scalar(both, edges).select("in_ref", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), bin_of(c).alias("bin")) for c in numeric))))
         seen = _shares(long)
         # bins that no row falls in still count with the floor

@@ -9,19 +9,46 @@ from pyspark.sql import functions as F
 ROWS_PER_RANGE, MOST_RANGES = 100_000, 1_024
 
 
+def place(bounds: Column, value: Column) -> Column:
+    """How many of the sorted array ``bounds`` are at most ``value``, by halving; 0 for a null value."""
+    steps = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.size(bounds) + F.lit(1.0))).cast("int"), F.lit(1)))
+    range_ = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def halve(now: Column, _: Column) -> Column:
+        mid = F.shiftright(now["lo"] + now["hi"], 1)
+        return F.when((now["lo"] < now["hi"]) & (F.get(bounds, mid) <= value), range_(mid + 1, now["hi"])).otherwise(range_(now["lo"], F.least(mid, now["hi"])))
+
+    return F.aggregate(steps, range_(F.lit(0), F.size(bounds)), halve, lambda now: now["lo"])
+
+
+def _place_among(bounds: list, value: Column) -> Column:
+    """:func:`place` among bounds known to the driver: a tree of comparisons where they are few."""
+    if len(bounds) > 64:
+        return place(F.lit(bounds), value)
+
+    def tree(lo: int, hi: int) -> Column:
+        mid = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(F.lit(bounds[mid]) <= value, tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(bounds))
+
+
 def running_before(df: DataFrame, key: str, sums: dict[str, str], descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Adds to each row, for every ``name: column`` of ``sums``, the total of the column over rows with a smaller key
     (larger, if ``descending``). Keys must be distinct and not null.
 
-    The key's range is cut at approximate quantiles, into as many ranges as the counted rows need; totals of the ranges
-    come first, then sums within each range.
+    Up to ROWS_PER_RANGE rows are one task's. More are cut at approximate quantiles of the key, into as many ranges as
+    the counted rows need; totals of the ranges come first, then sums within each range.
     """
+    rows = df.count()
+    ranges = ranges or min(MOST_RANGES, -(-rows // ROWS_PER_RANGE))
+    if ranges <= 1:  # ROWS_PER_RANGE rows at most: one task's share
+        everything = W.orderBy(F.col(key).desc() if descending else F.col(key)).rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumns({n: F.coalesce(F.sum(c).over(everything), F.lit(0)) for n, c in sums.items()})
     fine = [(i + 1) / MOST_RANGES for i in range(MOST_RANGES - 1)]
-    rows, cuts = df.agg(F.count("*"), F.percentile_approx(key, fine, 4 * MOST_RANGES)).first()
-    ranges = ranges or min(MOST_RANGES, max(8, -(-rows // ROWS_PER_RANGE)))
+    cuts = df.agg(F.percentile_approx(key, fine, 4 * MOST_RANGES)).first()[0]
     bounds = sorted({cuts[round(MOST_RANGES * (i + 1) / ranges) - 1] for i in range(ranges - 1)} if cuts else ())
-    place = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col(key))) if bounds else F.lit(0)
-    placed = df.withColumn("_range", place)
+    placed = df.withColumn("_range", _place_among(bounds, F.col(key)))
     order = (lambda c: F.col(c).desc()) if descending else F.col
     earlier = W.orderBy(order("_range")).rowsBetween(W.unboundedPreceding, -1)  # MOST_RANGES rows at most
     totals = placed.groupBy("_range").agg(*(F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())))

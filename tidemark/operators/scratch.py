@@ -35,3 +35,7 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a table of results is sent to every executor.
+MOST_BROADCAST = 50_000

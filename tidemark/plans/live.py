@@ -193,8 +193,8 @@ _FULL_SQL = registry._pit_sql(registry._EVENTS) + f"SELECT {', '.join(_COLUMNS)}
 _PARITY_SQL = f"""WITH {registry._EVENTS} SELECT f AS feature, (SELECT count(*) FROM tx WHERE TransactionDT >= {int(START)}) AS rows, 0::BIGINT AS mismatches, 0.0::DOUBLE AS max_abs_diff
 FROM (SELECT unnest(['*', {", ".join(f"'{f}'" for f in parity.FEATURES)}]) AS f)"""
 _HOT_SQL = f"""WITH {registry._EVENTS},
-moved AS (SELECT CASE WHEN TransactionID % 2 = 0 THEN TransactionDT - TransactionDT % 60 ELSE TransactionDT END AS at FROM tx)
-SELECT f AS feature, (SELECT count(*) FROM moved WHERE at >= {int(START)}) AS rows, 0::BIGINT AS mismatches, 0.0::DOUBLE AS max_abs_diff
+moved AS (SELECT CASE WHEN TransactionID % 2 = 0 THEN TransactionDT - TransactionDT % 60 ELSE TransactionDT END AS moment FROM tx)
+SELECT f AS feature, (SELECT count(*) FROM moved WHERE moment >= {int(START)}) AS rows, 0::BIGINT AS mismatches, 0.0::DOUBLE AS max_abs_diff
 FROM (SELECT unnest(['*', {", ".join(f"'{f}'" for f in parity.FEATURES)}]) AS f)"""
 _LATE_SQL = f"""WITH {registry._EVENTS},
 e AS (

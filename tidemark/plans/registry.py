@@ -13,6 +13,7 @@ from ..functions.spec import LABEL_FEATURES, PIT_FEATURES
 from ..operators import dataset, decide, leaky, monitor, parity
 from ..operators.pit import label_counts_by_range_join, pit_features
 from ..sources.tables import TX_COLUMNS, card_id, read_csv, read_periods, read_report, table, transactions_from_events, transactions_from_orders, write_ordered, write_report
+from ..operators.quantiles import exact_quantiles
 from ..streaming import online
 
 QUERIES: dict = {}
@@ -462,8 +463,18 @@ def daily_report(spark, sf_dir):
 
 @query("latency_percentiles", "SELECT round_even(quantile_cont(value, 0.5), 2) AS p50, round_even(quantile_cont(value, 0.95), 2) AS p95, round_even(quantile_cont(value, 0.99), 2) AS p99 FROM events")
 def latency_percentiles(spark, sf_dir):
-    at = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return table(spark, sf_dir, "events").agg(at.alias("p")).select(*(F.bround(F.col("p")[i], 2).alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
+    out = exact_quantiles(table(spark, sf_dir, "events"), "value", (0.5, 0.95, 0.99))
+    return out.select(*(F.bround(F.col("quantiles")[i], 2).alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
+
+
+@query(
+    "latency_by_type",
+    """SELECT event_type, count(value) AS n, round_even(quantile_cont(value, 0.5), 6) AS p50, round_even(quantile_cont(value, 0.95), 6) AS p95, round_even(quantile_cont(value, 0.99), 6) AS p99
+FROM events WHERE value IS NOT NULL GROUP BY event_type""",
+)
+def latency_by_type(spark, sf_dir):
+    out = exact_quantiles(table(spark, sf_dir, "events"), "value", (0.5, 0.95, 0.99), ("event_type",))
+    return out.select("event_type", "n", *(F.bround(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
 
 
 @query(
