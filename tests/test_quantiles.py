@@ -106,3 +106,31 @@ def test_ten_thousand_policies_cost_one_pass(spark):
     assert out.count() == decide.MOST_POLICIES
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
     assert out.where("policy = 'p5000'").first()["alerts"] == scored.where("score >= 0.5").count()
+
+
+@pytest.mark.parametrize("per_task", [20, 100_000])
+def test_row_index_with_a_hot_key(spark, monkeypatch, per_task):
+    monkeypatch.setattr(prefix, "PARTS_OF_A_KEY", 8)
+    rng = random.Random(5)
+    rows = [(7 if i % 2 else rng.randrange(40), i) for i in rng.sample(range(10_000), 900)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "t bigint, id bigint").withColumn("n", F.lit(1)).repartition(5)
+    got = sorted((r["position"], r["t"], r["id"]) for r in prefix.row_index(df, "t", "id", per_task=per_task).collect())
+    assert got == [(p, *r) for p, r in enumerate(sorted(r for r in rows if r[0] is not None))]
+    assert prefix.row_index(df.limit(0), "t", "id").count() == 0
+
+
+def test_reading_a_period_opens_no_other(spark, tmp_path):
+    import shutil
+
+    from test_operators import TX, random_tx
+
+    from tidemark.operators import dataset
+    from tidemark.sources import tables
+
+    tx = dataset.assign_period(spark.createDataFrame(random_tx(200), TX))
+    tables.write_ordered(tx, str(tmp_path / "tx"), ("period",))
+    rows = tables.read_periods(spark, str(tmp_path / "tx"), ("valid",), ("TransactionID", "TransactionDT"))
+    plan = rows._jdf.queryExecution().explainString(rows._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) if hasattr(rows, "_jvm") else rows._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    (shutil.rmtree(tmp_path / "tx" / "period=train"), shutil.rmtree(tmp_path / "tx" / "period=holdout"))
+    assert [r["TransactionID"] for r in rows.collect()] == [r["TransactionID"] for r in tx.where("period = 'valid'").orderBy("TransactionDT", "TransactionID").collect()]

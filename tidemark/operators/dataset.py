@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .prefix import hash_order, running_before, values_at, with_scalar
+from .prefix import hash_order, row_index, values_at, with_scalar
 
 # Shares of the periods, delays in days, share of training rows that stop a fit early.
 TRAIN_SHARE, VALID_SHARE = 0.70, 0.15
@@ -79,13 +79,9 @@ def mature(tx: DataFrame, period: str, cutoff: DataFrame) -> DataFrame:
 
 def time_ordered_split(tx: DataFrame, stop_share: float = STOP_SHARE) -> DataFrame:
     """Adds part: 'train' for the first rows in (time, id) order, 'stop' for the last ``stop_share`` of them, exactly."""
-    keyed = tx.withColumn("_key", F.struct("TransactionDT", "TransactionID"))
-    per_second = tx.groupBy("TransactionDT").agg(F.count("*").alias("_n"))
-    placed = running_before(per_second, "TransactionDT", {"_before": "_n"}).select("TransactionDT", "_before")
-    cut = per_second.agg(F.floor(F.sum("_n") * F.lit(1 - stop_share)).alias("_cut"))
-    same = F.row_number().over(W.partitionBy("TransactionDT").orderBy("TransactionID"))
-    ranked = with_scalar(keyed.join(placed, "TransactionDT"), cut).withColumn("_rank", F.col("_before") + same)
-    return ranked.withColumn("part", F.when(F.col("_rank") <= F.col("_cut"), "train").otherwise("stop")).drop("_key", "_before", "_cut", "_rank")
+    placed = row_index(tx, "TransactionDT", "TransactionID", "_position")
+    cut = tx.where("TransactionDT is not null").agg(F.floor(F.count("*") * F.lit(1 - stop_share)).alias("_cut"))
+    return with_scalar(placed, cut).withColumn("part", F.when(F.col("_position") < F.col("_cut"), "train").otherwise("stop")).drop("_cut", "_position")
 
 
 def random_split(tx: DataFrame, seed: int = SEED) -> DataFrame:

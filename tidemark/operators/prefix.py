@@ -59,6 +59,36 @@ def running_before(df: DataFrame, key: str, sums: dict[str, str], descending: bo
     return out.withColumns(local).drop("_range", *(f"_o{i}" for i in range(len(sums))))
 
 
+MOST_HOT = 10_000
+PARTS_OF_A_KEY = 256
+
+
+def row_index(df: DataFrame, key: str, tie: str, name: str = "position", per_task: int = ROWS_PER_RANGE) -> DataFrame:
+    """Adds each row's position, from 0, in the order (``key``, ``tie``): numbers, ``tie`` distinct within a key. Rows
+    without a key are left out; a null tie comes first.
+
+    Rows are counted per key, keys get the totals of those before them, and rows are numbered within their key. A key
+    with more than ``per_task`` rows, and more than one in MOST_HOT of all, is cut at approximate quantiles of its ties
+    into parts that are counted and numbered on their own, so it is never one task's; other rows join by a shuffle.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    placed = running_before(counts, key, {"_before": "_n"})
+    most = max(per_task, total // MOST_HOT)
+    rest = df.join(placed.where(F.col("_n") <= most).drop("_n"), key).withColumn("_part", F.lit(0))
+    hot = placed.where(F.col("_n") > most).drop("_n")  # MOST_HOT rows at most
+    inside = df.join(F.broadcast(hot), key)
+    fine = [(i + 1) / PARTS_OF_A_KEY for i in range(PARTS_OF_A_KEY - 1)]
+    cuts = inside.groupBy(key).agg(F.array_sort(F.array_distinct(F.percentile_approx(tie, fine, 8 * PARTS_OF_A_KEY))).alias("_cuts"))
+    inside = inside.join(F.broadcast(cuts), key).withColumn("_part", F.coalesce(place(F.col("_cuts"), F.col(tie)), F.lit(0))).drop("_cuts")
+    earlier = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # PARTS_OF_A_KEY rows at most
+    parts = inside.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    offsets = parts.select(key, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    split = inside.join(offsets, [key, "_part"]).withColumn("_before", F.col("_before") + F.col("_offset")).drop("_offset")
+    own = F.row_number().over(W.partitionBy(key, "_part").orderBy(tie)) - 1
+    return rest.unionByName(split).withColumn(name, F.col("_before") + own).drop("_before", "_part")
+
+
 def values_at(df: DataFrame, key: str, shares: tuple[float, ...]) -> DataFrame:
     """One row with v0, v1, ...: the values at index floor(n * share) of the sorted keys, counted from 0."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))

@@ -13,6 +13,7 @@ from ..functions.spec import LABEL_FEATURES, PIT_FEATURES
 from ..operators import dataset, decide, leaky, monitor, parity
 from ..operators.pit import label_counts_by_range_join, pit_features
 from ..sources.tables import TX_COLUMNS, card_id, read_csv, read_periods, read_report, table, transactions_from_events, transactions_from_orders, write_ordered, write_report
+from ..operators.prefix import row_index
 from ..operators.quantiles import exact_quantiles
 from ..streaming import online
 
@@ -252,6 +253,17 @@ def time_ordered_split(spark, sf_dir):
     return dataset.time_ordered_split(order_tx(spark, sf_dir)).select("TransactionID", "part")
 
 
+@query(
+    "row_index_hot_second",
+    f"""WITH {_ORDERS}, m AS (SELECT TransactionID, CASE WHEN TransactionID % 2 = 0 THEN 86400 ELSE TransactionDT END AS moment FROM tx)
+SELECT TransactionID, row_number() OVER (ORDER BY moment, TransactionID) - 1 AS position FROM m""",
+)
+def row_index_hot_second(spark, sf_dir):
+    """Positions in (time, id) order where one second holds half of all rows; parts of 1,000 rows, to split it at any size."""
+    moved = order_tx(spark, sf_dir).withColumn("TransactionDT", F.when(F.col("TransactionID") % 2 == 0, F.lit(86_400)).otherwise(F.col("TransactionDT")))
+    return row_index(moved.select("TransactionID", "TransactionDT"), "TransactionDT", "TransactionID", per_task=1_000).select("TransactionID", "position")
+
+
 @query(
     "random_split_exact",
     f"""WITH {_EVENTS}, r AS (SELECT TransactionID, row_number() OVER (ORDER BY md5(CAST(TransactionID AS VARCHAR) || ':42'), TransactionID) AS k, count(*) OVER () AS n FROM tx)
@@ -586,11 +598,11 @@ def csv_scan(spark, sf_dir):
 
 @query("ordered_parquet", f"WITH {_ORDERS}, {_PERIODS} SELECT TransactionID, TransactionDT, row_number() OVER (ORDER BY TransactionDT, TransactionID) AS position FROM per WHERE period IN ('valid', 'holdout')")
 def ordered_parquet(spark, sf_dir):
-    """Written in time order and read by period; the position is that in the order read."""
+    """Written by period in time order and read by period; the position is that in the order read."""
     from ..operators.scratch import shared_folder
 
     path = f"{shared_folder(spark)}/ordered"
-    write_ordered(dataset.assign_period(order_tx(spark, sf_dir)), path)
+    write_ordered(dataset.assign_period(order_tx(spark, sf_dir)), path, ("period",))
     rows = read_periods(spark, path, ("valid", "holdout"), ("TransactionID", "TransactionDT"))
     within, part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), F.spark_partition_id()
     placed = rows.select("TransactionID", "TransactionDT", part.alias("part"), within.alias("within"))

@@ -37,7 +37,8 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_periods(spark: SparkSession, path: str, periods: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
-    """Rows of the given periods in time order; the period and the columns are pushed to the scan."""
+    """Rows of the given periods in time order; the columns are pushed to the scan, and so is the period, which is a
+    choice of folders where the table was written by it."""
     return spark.read.parquet(path).where(F.col("period").isin(*periods)).select(*columns).orderBy("TransactionDT", "TransactionID")
 
 
@@ -50,9 +51,11 @@ def read_report(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.json(path)
 
 
-def write_ordered(df: DataFrame, path: str) -> None:
-    """Parquet files that hold rows in time order: ranges of time over files, sorted within."""
-    df.repartitionByRange("TransactionDT", "TransactionID").sortWithinPartitions("TransactionDT", "TransactionID").write.mode("overwrite").parquet(path)
+def write_ordered(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Parquet files that hold rows in time order: ranges of time over files, sorted within; a folder for each value of
+    the columns ``by``, such as the period, so that a reader of one opens no file of another."""
+    order = (*by, "TransactionDT", "TransactionID")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
