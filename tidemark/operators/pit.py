@@ -100,12 +100,3 @@ def pit_features(tx: DataFrame, instant_labels: bool = False, chunk_s: int = CHU
     exact = [F.col("own_cents").alias("cents"), F.col("_cents").alias("card_cents_all"), F.col("_squares").alias("card_squares_all")] if sums else []
     derived = (c for c in (*PIT_FEATURES, *LABEL_FEATURES) if c not in {f.name for f in HISTORY} | set(LABEL_COUNTS))
     return out.select("TransactionID", "TransactionDT", "TransactionAmt", "card_id", *(f.name for f in HISTORY), *LABEL_COUNTS, *derived, *exact)
-
-
-def label_counts_by_range_join(tx: DataFrame) -> DataFrame:
-    """TransactionID and label counts by the defining join, for cross-checks on small tables: quadratic in a card's rows."""
-    now, past = tx.alias("now"), tx.alias("past")
-    seen = (F.col("now.card_id") == F.col("past.card_id")) & (F.col("past.label_available_at") <= F.col("now.TransactionDT"))
-    return now.join(past, seen, "left").groupBy(F.col("now.TransactionID").alias("TransactionID")).agg(
-        F.count("past.TransactionID").alias("card_labeled_cnt"), F.coalesce(F.sum("past.isFraud"), F.lit(0)).alias("card_fraud_cnt")
-    )

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.spec import LABEL_FEATURES, PIT_FEATURES
 from ..operators import dataset, decide, leaky, monitor, parity
-from ..operators.pit import label_counts_by_range_join, pit_features
+from ..operators.bands import labels_by_bands, window_join
+from ..operators.pit import pit_features
 from ..sources.tables import TX_COLUMNS, card_id, read_csv, read_periods, read_report, table, transactions_from_events, transactions_from_orders, write_ordered, write_report
 from ..operators.prefix import row_index
 from ..operators.quantiles import exact_quantiles
@@ -132,7 +133,19 @@ def tx_view(spark, sf_dir):
 FROM tx a LEFT JOIN tx b ON a.card_id = b.card_id AND b.label_available_at <= a.TransactionDT GROUP BY a.TransactionID""",
 )
 def pit_asof_theta_crosscheck(spark, sf_dir):
-    return label_counts_by_range_join(tx(spark, sf_dir))
+    return labels_by_bands(tx(spark, sf_dir))
+
+
+@query(
+    "window_join_six_hours",
+    f"""WITH {_EVENTS} SELECT a.TransactionID, b.TransactionID AS right_TransactionID, CAST(a.TransactionDT - b.TransactionDT AS BIGINT) AS gap_s
+FROM tx a LEFT JOIN tx b ON a.card_id = b.card_id AND b.TransactionDT BETWEEN a.TransactionDT - 21600 AND a.TransactionDT AND b.isFraud = 1""",
+)
+def window_join_six_hours(spark, sf_dir):
+    """Each transaction with the frauds of its card in the six hours up to it."""
+    rows = tx(spark, sf_dir).select("TransactionID", "TransactionDT", "card_id", "isFraud")
+    pairs = window_join(rows.drop("isFraud"), rows.where("isFraud = 1"), "card_id", "TransactionDT", "TransactionDT", 21_600, "left")
+    return pairs.select("TransactionID", "right_TransactionID", (F.col("TransactionDT") - F.col("right_TransactionDT")).alias("gap_s"))
 
 
 @query(
