@@ -124,12 +124,12 @@ def history_state(tx: DataFrame, start: float, lateness: int = LATENESS) -> Data
 class CardProcessor(StatefulProcessor):
     """Features of each second of a card, see OUTPUT."""
 
-    def __init__(self, lateness: int = LATENESS, ttl_s: float | None = None):
-        self.lateness, self.ttl_s = lateness, ttl_s
+    def __init__(self, lateness: int = LATENESS):
+        self.lateness = lateness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counters = handle.getValueState("counters", COUNTERS)
-        self.blocks = handle.getMapState("blocks", "block bigint", BLOCKS, None if self.ttl_s is None else int(self.ttl_s * 1000))
+        self.blocks = handle.getMapState("blocks", "block bigint", BLOCKS)
 
     def close(self) -> None:
         pass
@@ -226,15 +226,14 @@ class CardProcessor(StatefulProcessor):
         return pd.DataFrame(out | counts | dict.fromkeys(("late_tx", "dropped_tx", "late_labels"), none), copy=False)
 
 
-def online_features(seconds: DataFrame, history: DataFrame | None = None, lateness: int = LATENESS, ttl_s: float | None = None) -> DataFrame:
+def online_features(seconds: DataFrame, history: DataFrame | None = None, lateness: int = LATENESS) -> DataFrame:
     """OUTPUT of a stream of SECOND rows, over the state ``history`` (:func:`history_state`) if given.
 
-    The stream must run on the RocksDB state store, see :func:`state_store`. ``ttl_s`` lets blocks of the log expire so
-    long after their last change, for streams that run along with the clock; it must exceed a week and ``lateness``.
+    The stream must run on the RocksDB state store, see :func:`state_store`. Blocks older than a week and ``lateness`` are
+    removed as a card's time goes on.
     """
     initial = None if history is None else history.groupBy("card_id")
-    mode = "None" if ttl_s is None else "ProcessingTime"
-    return seconds.groupBy("card_id").transformWithStateInPandas(CardProcessor(lateness, ttl_s), OUTPUT, "append", mode, initial)
+    return seconds.groupBy("card_id").transformWithStateInPandas(CardProcessor(lateness), OUTPUT, "append", "None", initial)
 
 
 @contextmanager
