@@ -21,8 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     def remove() -> None:
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone when the interpreter ends
             pass
 
@@ -30,11 +29,23 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to a shared folder and read again, for rows that are scanned many times."""
     path = f"{shared_folder(df.sparkSession)}/rows"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what :func:`saved` wrote, once nothing reads it any more."""
+    _delete(df.sparkSession, df._saved_at)
 
 
 #: Rows up to which a table of results is sent to every executor.

@@ -7,47 +7,55 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spec import LABEL_FEATURES, PIT_FEATURES
 from ..operators import dataset, decide, leaky
 from ..operators.pit import pit_features
-from ..operators.scratch import saved
+from ..operators.scratch import discard, saved
+from . import boosting
 
 ABSENT = -1.0  # stands for null, which the trees cannot take
 
 
-STEP_SIZE, LEAST_LEAF_ROWS = 0.05, 100  # of a tree
-
-
 @dataclass
 class Model:
-    """A fitted pipeline and the columns that it reads."""
+    """A fitted pipeline, the columns that it reads, the log odds it starts from and its rounds of boosting.
+
+    ``history``: (rounds, AUC of the stop rows) after every stage that was tried.
+    """
 
     pipeline: PipelineModel
     numeric: tuple[str, ...]
     categorical: tuple[str, ...] = ()
+    start: float = 0.0
+    rounds: int = 0
+    history: tuple[tuple[int, float | None], ...] = ()
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` with score, the probability of fraud. Values of a category that training did not have, and nulls,
         share one code."""
         out = self.pipeline.transform(filled(rows, self.numeric))
-        return out.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", *(f"{c}_index" for c in self.categorical))
+        return out.drop("features", "margin", *(f"{c}_index" for c in self.categorical))
 
     def save(self, path: str) -> None:
         """The pipeline and a JSON file of its columns below ``path``, in place of what was there."""
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        columns = json.dumps({"numeric": self.numeric, "categorical": self.categorical})
+        columns = json.dumps({"numeric": self.numeric, "categorical": self.categorical, "start": self.start, "rounds": self.rounds, "history": self.history})
         _session().createDataFrame([(columns,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/columns")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Model:
-        columns = json.loads(spark.read.text(f"{path}/columns").first()["value"])
-        return cls(PipelineModel.load(f"{path}/pipeline"), tuple(columns["numeric"]), tuple(columns["categorical"]))
+        own = json.loads(spark.read.text(f"{path}/columns").first()["value"])
+        history = tuple((n, auc) for n, auc in own["history"])
+        return cls(PipelineModel.load(f"{path}/pipeline"), tuple(own["numeric"]), tuple(own["categorical"]), own["start"], own["rounds"], history)
+
+    def boosted(self) -> boosting.Boosted:
+        trees = [t for stage in self.pipeline.stages if isinstance(stage, GBTRegressionModel) for t in boosting.trees_of(stage)]
+        return boosting.Boosted(self.start, trees, list(self.history))
 
 
 def _session() -> SparkSession:
@@ -59,31 +67,41 @@ def category_codes(train: DataFrame, categorical: tuple[str, ...]) -> Pipeline:
     return Pipeline(stages=[StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep", stringOrderType="frequencyDesc") for c in categorical]).fit(train)
 
 
-def fit(train: DataFrame, stop: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...] = (), trees: int = 10, seed: int = 42) -> Model:
-    """Gradient-boosted trees on ``numeric`` and ``categorical`` columns, stopped early on the rows of ``stop``. Codes of
-    categories come from ``train`` alone."""
-    codes = category_codes(train, categorical)
-    rows = train.withColumn("_stop", F.lit(False)).unionByName(stop.withColumn("_stop", F.lit(True)))
+def fit(train: DataFrame, stop: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...] = (), trees: int = boosting.MOST_ROUNDS, patience: int = boosting.PATIENCE, seed: int = 42, so_far: Model | None = None) -> Model:
+    """Boosted trees on ``numeric`` and ``categorical`` columns, as many rounds, ``trees`` at most, as the AUC of the rows of
+    ``stop`` says. Codes of categories come from ``train`` alone. ``so_far``, a model fitted or loaded before, is continued
+    with its own columns and codes."""
+    if so_far is not None:
+        numeric, categorical = so_far.numeric, so_far.categorical
+        codes = [s for s in so_far.pipeline.stages if hasattr(s, "labels")]
+    else:
+        codes = category_codes(train, categorical).stages
+    rows = train.withColumn("stop", F.lit(False)).unionByName(stop.withColumn("stop", F.lit(True)))
     assembler = VectorAssembler(inputCols=[*numeric, *(f"{c}_index" for c in categorical)], outputCol="features")
-    model = GBTClassifier(
-        labelCol="isFraud", maxIter=trees, maxDepth=4, stepSize=STEP_SIZE, minInstancesPerNode=LEAST_LEAF_ROWS, subsamplingRate=0.8, featureSubsetStrategy="0.5", seed=seed,
-        validationIndicatorCol="_stop", validationTol=0.0, maxBins=64,
-    )
-    return Model(Pipeline(stages=[*codes.stages, assembler, model]).fit(filled(rows, numeric)), tuple(numeric), tuple(categorical))
+    features = saved(PipelineModel([*codes, assembler]).transform(filled(rows, numeric)).select("features", "isFraud", "stop"))
+    bins = max([boosting.BINS, *(len(c.labels) + 1 for c in codes)])  # a category needs a bin for each of its codes
+    model = boosting.boost(features, so_far.boosted() if so_far else None, trees, patience, bins, seed)
+    discard(features)
+    trained = model.ensemble()
+    margin = "margin" if trained is not None else "0"
+    score = SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-({model.start!r}D + {margin}))) AS score FROM __THIS__")
+    return Model(PipelineModel([*codes, assembler, *([trained] if trained is not None else []), score]), tuple(numeric), tuple(categorical), model.start, model.rounds, tuple(model.history))
 
 
 def filled(rows: DataFrame, numeric: tuple[str, ...]) -> DataFrame:
     return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(ABSENT)) for c in numeric})
 
 
-def run_variant(name: str, rows: DataFrame, numeric: tuple[str, ...], trees: int = 10) -> DataFrame:
-    """One row of metrics from rows whose ``part`` is train, stop or test."""
-    rows = saved(rows.select("TransactionID", "isFraud", "cents", "part", *numeric))  # every tree reads them several times
-    model = fit(rows.where("part = 'train'"), rows.where("part = 'stop'"), numeric, trees=trees)
+def run_variant(name: str, rows: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...] = (), trees: int = boosting.MOST_ROUNDS) -> DataFrame:
+    """One row of metrics, with the rounds kept and tried, from rows whose ``part`` is train, stop or test."""
+    rows = saved(rows.select("TransactionID", "isFraud", "cents", "part", *numeric, *categorical))
+    model = fit(rows.where("part = 'train'"), rows.where("part = 'stop'"), numeric, categorical, trees)
     judged = model.score(rows.where("part = 'test'")).select("score", "isFraud", "cents")
     metrics = decide.roc_auc(judged).crossJoin(F.broadcast(decide.average_precision(judged)))  # a row each
     counts = rows.agg(F.sum((F.col("part") == "test").cast("bigint")).alias("test_rows"), F.sum((F.col("part") != "test").cast("bigint")).alias("train_rows"))
-    return metrics.crossJoin(F.broadcast(counts)).select(F.lit(name).alias("variant"), "roc_auc", "pr_auc", "test_rows", "train_rows")
+    return metrics.crossJoin(F.broadcast(counts)).select(
+        F.lit(name).alias("variant"), "roc_auc", "pr_auc", "test_rows", "train_rows", F.lit(model.rounds).alias("rounds"), F.lit(model.history[-1][0]).alias("rounds_tried")
+    )
 
 
 def _time_parts(tx: DataFrame, only_mature: bool = False) -> DataFrame:
@@ -116,14 +134,14 @@ def honest_rungs(tx: DataFrame, base: tuple[str, ...]) -> Iterator[tuple[str, Da
     yield "pit_honest", _time_parts(tx, True).join(history(), "TransactionID"), columns
 
 
-def leakage_ladder(tx: DataFrame, base: tuple[str, ...], trees: int = 10) -> DataFrame:
-    """A row of metrics for each of :func:`leaky_rungs`."""
-    return _union([run_variant(*rung, trees) for rung in leaky_rungs(tx, base)])
+def leakage_ladder(tx: DataFrame, base: tuple[str, ...], trees: int = boosting.MOST_ROUNDS, categorical: tuple[str, ...] = ()) -> DataFrame:
+    """A row of metrics for each of :func:`leaky_rungs`; every rung has the ``categorical`` columns too."""
+    return _union([run_variant(*rung, categorical, trees) for rung in leaky_rungs(tx, base)])
 
 
-def honest_ladder(tx: DataFrame, base: tuple[str, ...], trees: int = 10) -> DataFrame:
-    """A row of metrics for each of :func:`honest_rungs`."""
-    return _union([run_variant(*rung, trees) for rung in honest_rungs(tx, base)])
+def honest_ladder(tx: DataFrame, base: tuple[str, ...], trees: int = boosting.MOST_ROUNDS, categorical: tuple[str, ...] = ()) -> DataFrame:
+    """A row of metrics for each of :func:`honest_rungs`; every rung has the ``categorical`` columns too."""
+    return _union([run_variant(*rung, categorical, trees) for rung in honest_rungs(tx, base)])
 
 
 @dataclass
@@ -135,7 +153,7 @@ class ScoredSets:
     holdout: DataFrame
 
 
-def scored_sets(tx: DataFrame, base: tuple[str, ...], trees: int = 10, known_after: float = dataset.LEGIT_DELAY * dataset.DAY) -> ScoredSets:
+def scored_sets(tx: DataFrame, base: tuple[str, ...], trees: int = boosting.MOST_ROUNDS, known_after: float = dataset.LEGIT_DELAY * dataset.DAY, categorical: tuple[str, ...] = ()) -> ScoredSets:
     """What thresholds, drift and daily reports are made of.
 
     The honest model is fitted to mature rows of the train period and chooses on those of the valid period for which
@@ -148,12 +166,12 @@ def scored_sets(tx: DataFrame, base: tuple[str, ...], trees: int = 10, known_aft
     history = saved(pit_features(tx, sums=True))
     known, served = history.select("TransactionID", *extra), leaky.served_aggregates(history).select("TransactionID", *leaks)
     own = ("TransactionID", "TransactionDT", "label_available_at", "isFraud", "cents")
-    columns = (*own, *(c for c in base if c not in own))
+    columns = (*own, *(c for c in (*base, *categorical) if c not in own))
     honest = saved(_time_parts(tx, True).join(known, "TransactionID").select("part", *columns, *extra))
     careless = saved(leaky.target_encoding(leaky.global_aggregates(dataset.random_split(periods.where("period <> 'holdout'")))).select("part", *columns, *leaks))
     part = lambda rows, name: rows.where(F.col("part") == name).drop("part")
-    honest_model = fit(part(honest, "train"), part(honest, "stop"), (*base, *extra), trees=trees)
-    careless_model = fit(part(careless, "train"), part(careless, "stop"), (*base, *leaks), trees=trees)
+    honest_model = fit(part(honest, "train"), part(honest, "stop"), (*base, *extra), categorical, trees)
+    careless_model = fit(part(careless, "train"), part(careless, "stop"), (*base, *leaks), categorical, trees)
     choosing = dataset.with_scalar(part(honest, "test"), start).where(F.col("TransactionDT") <= F.col("cutoff") - known_after).drop("cutoff")
     holdout = periods.where("period = 'holdout'").select(*columns)
     scored = honest_model.score(holdout.join(known, "TransactionID")).withColumnRenamed("score", "score_honest")
@@ -162,8 +180,9 @@ def scored_sets(tx: DataFrame, base: tuple[str, ...], trees: int = 10, known_aft
     return ScoredSets(saved(honest_model.score(choosing)), saved(careless_model.score(part(careless, "test"))), saved(scored))
 
 
-def headline(tx: DataFrame, base: tuple[str, ...], trees: int = 10) -> DataFrame:
-    """(model, roc_auc_offline, roc_auc_live, roc_auc_gap, and the same for pr_auc) of the careless and the honest model.
+def headline(tx: DataFrame, base: tuple[str, ...], trees: int = boosting.MOST_ROUNDS, categorical: tuple[str, ...] = ()) -> DataFrame:
+    """(model, roc_auc_offline, roc_auc_live, roc_auc_gap, the same for pr_auc, rounds_offline, rounds_live) of the careless
+    and the honest model.
 
     Offline is what each promised on development rows. Live is the holdout, with features as they can be served there:
     the careless model gets its aggregates from history and arrived labels alone. Raises if a live row has no features.
@@ -181,7 +200,7 @@ def headline(tx: DataFrame, base: tuple[str, ...], trees: int = 10) -> DataFrame
     start = holdout.agg(F.min("TransactionDT").alias("cutoff"))
     mature = dataset.with_scalar(dev, start).where("label_available_at <= cutoff").drop("cutoff")
     honest = dataset.time_ordered_split(mature).join(known, "TransactionID")
-    columns = ("TransactionID", "isFraud", "cents", "part", *base)
+    columns = ("TransactionID", "isFraud", "cents", "part", *base, *categorical)
     live = lambda train, features, extra: train.where("part <> 'test'").select(*columns, *extra).unionByName(holdout.join(features, "TransactionID").select(*columns, *extra))
     runs = (
         ("naive", "offline", careless, (*base, *leaks)),
@@ -189,8 +208,8 @@ def headline(tx: DataFrame, base: tuple[str, ...], trees: int = 10) -> DataFrame
         ("honest", "offline", _time_parts(tx, True).join(known, "TransactionID"), (*base, *extra)),
         ("honest", "live", live(honest, known, extra), (*base, *extra)),
     )
-    rows = _union([run_variant(model, part, names, trees).withColumn("seen", F.lit(seen)) for model, seen, part, names in runs])
-    out = rows.groupBy(F.col("variant").alias("model")).agg(*(F.max(F.when(F.col("seen") == seen, F.col(m))).alias(f"{m}_{seen}") for m in ("roc_auc", "pr_auc") for seen in ("offline", "live")))
+    rows = _union([run_variant(model, part, names, categorical, trees).withColumn("seen", F.lit(seen)) for model, seen, part, names in runs])
+    out = rows.groupBy(F.col("variant").alias("model")).agg(*(F.max(F.when(F.col("seen") == seen, F.col(m))).alias(f"{m}_{seen}") for m in ("roc_auc", "pr_auc", "rounds") for seen in ("offline", "live")))
     return out.withColumns({f"{m}_gap": F.bround(F.col(f"{m}_offline") - F.col(f"{m}_live"), 4) for m in ("roc_auc", "pr_auc")})
 
 

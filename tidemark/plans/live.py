@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import dataset, decide, monitor, parity
 from ..operators.pit import pit_features
 from ..operators.scratch import saved, shared_folder
-from ..sources.tables import write_document
+from ..sources.tables import table, write_document
 from ..streaming import online
 from . import ladder, registry
 
@@ -108,24 +108,30 @@ def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity.compare_features(live, batch)
 
 
-BASE = ("TransactionAmt", "hour", "day")
+BASE, CATEGORIES = ("TransactionAmt", "hour", "day"), ("weekday",)
 
 
 def _with_base(spark: SparkSession, sf_dir: str, source=registry.tx) -> DataFrame:
-    t = F.col("TransactionDT")
-    return source(spark, sf_dir).withColumns({"hour": F.pmod(F.floor(t / 3600), F.lit(24)), "day": F.floor(t / DAY)})
+    day = F.floor(F.col("TransactionDT") / DAY)
+    weekday = F.concat(F.lit("day "), F.pmod(day, F.lit(7)))
+    return source(spark, sf_dir).withColumns({"hour": F.pmod(F.floor(F.col("TransactionDT") / 3600), F.lit(24)), "day": day, "weekday": weekday})
+
+
+def _orders_with_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    priority = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("TransactionID"), F.col("o_orderpriority").alias("priority"))
+    return _with_base(spark, sf_dir, registry.order_tx).join(priority, "TransactionID")
 
 
 def ladder_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladder.leakage_ladder(_with_base(spark, sf_dir), BASE, trees=5)
+    return ladder.leakage_ladder(_with_base(spark, sf_dir), BASE, categorical=CATEGORIES)
 
 
 def honest_ladder_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladder.honest_ladder(_with_base(spark, sf_dir), BASE, trees=5)
+    return ladder.honest_ladder(_with_base(spark, sf_dir), BASE, categorical=CATEGORIES)
 
 
 def headline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladder.headline(_with_base(spark, sf_dir), BASE, trees=5)
+    return ladder.headline(_with_base(spark, sf_dir), BASE, categorical=CATEGORIES)
 
 
 def _history_model(spark: SparkSession, sf_dir: str) -> ladder.Model:
@@ -134,7 +140,7 @@ def _history_model(spark: SparkSession, sf_dir: str) -> ladder.Model:
     rows = history.join(registry.tx(spark, sf_dir).select("TransactionID", "isFraud"), "TransactionID")
     cut = F.col("TransactionDT") < 0.85 * START
     path = f"{shared_folder(spark)}/model"
-    ladder.fit(rows.where(cut), rows.where(~cut), registry.PIT_FEATURES, trees=10).save(path)
+    ladder.fit(rows.where(cut), rows.where(~cut), registry.PIT_FEATURES).save(path)
     return ladder.Model.load(spark, path)
 
 
@@ -168,13 +174,13 @@ def ladder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The policy table of the models' own scores."""
-    sets = ladder.scored_sets(_with_base(spark, sf_dir, registry.order_tx), BASE, trees=10)
+    sets = ladder.scored_sets(_orders_with_base(spark, sf_dir), BASE, categorical=(*CATEGORIES, "priority"))
     return decide.policy_table(sets.honest, sets.careless, sets.holdout)
 
 
 def scored_set_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(set, rows, frauds, unscored): which rows choose the thresholds and which judge them."""
-    sets = ladder.scored_sets(_with_base(spark, sf_dir, registry.order_tx), BASE, trees=2)
+    sets = ladder.scored_sets(_orders_with_base(spark, sf_dir), BASE, trees=10, categorical=(*CATEGORIES, "priority"))
     parts = {"honest": sets.honest, "careless": sets.careless, "holdout": sets.holdout.withColumn("score", F.col("score_honest") + F.col("score_naive"))}
     count = lambda name, df: df.agg(F.lit(name).alias("set"), F.count("*").alias("rows"), F.sum("isFraud").cast("bigint").alias("frauds"), F.sum(F.col("score").isNull().cast("bigint")).alias("unscored"))
     first, *rest = (count(name, df) for name, df in parts.items())
@@ -185,7 +191,7 @@ def scored_set_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift of the honest model's score and its inputs, selection rows against the holdout."""
-    sets = ladder.scored_sets(_with_base(spark, sf_dir, registry.order_tx), BASE, trees=10)
+    sets = ladder.scored_sets(_orders_with_base(spark, sf_dir), BASE, categorical=(*CATEGORIES, "priority"))
     return monitor.drift_report(sets.honest.withColumnRenamed("score", "score_honest"), sets.holdout, ("score_honest", "TransactionAmt"))
 
 
