@@ -100,6 +100,22 @@ def test_binomial_bound_is_exact(spark):
         assert r["p"] == pytest.approx(1.0 if r["k"] >= r["n"] * 0.016 else want, rel=1e-9)
 
 
+def test_binomial_bound_of_large_strata(spark):
+    """Against exact fractions, and for a hundred million labels against the bell curve, in less than a sum of k terms."""
+    from fractions import Fraction
+    from math import comb, erfc, sqrt
+
+    p, n = Fraction(2, 25), 100_000_000
+    cases = [(0, 1), (0, 23), (1, 60), (300, 5_000), (380, 5_000), (int(0.08 * n - 2 * sqrt(n * 0.08 * 0.92)), n)]
+    got = spark.createDataFrame(cases, "k bigint, n bigint").select("k", "n", quality_rules._binomial_tail(F.col("k"), F.col("n"), 0.08).alias("p")).collect()
+    for r in got:
+        if r["n"] == n:
+            assert r["p"] == pytest.approx(erfc(2 / sqrt(2)) / 2, rel=1e-2)
+        else:
+            want = sum(comb(r["n"], j) * p**j * (1 - p) ** (r["n"] - j) for j in range(r["k"] + 1))
+            assert r["p"] == pytest.approx(float(want), rel=1e-9)
+
+
 def test_steps_are_taken_as_far_as_they_are_proven(spark):
     """No hits: the whole path. Too few documents: no step. Hits of a tenth from step 5 on: up to step 4, which 2% pass."""
     last = len(quality_rules.path(quality_rules.RULES)) - 1

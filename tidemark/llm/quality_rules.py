@@ -11,13 +11,14 @@ than ALPHA of its good documents to the rules.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, let, read, words
+from .common import SPACES, Scratch, let, read, small, words
 
 SYMBOLS = "#*$%&|<>"
 ALPHA = 0.08
@@ -102,16 +103,31 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 
 
 def _binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k), summed term by term in logarithms; 1 if k >= n * p, where no bound below one half exists."""
-    start = F.struct((n * F.log1p(F.lit(-p))).alias("term"), F.exp(n * F.log1p(F.lit(-p))).alias("total"))
-    odds = F.log(F.lit(p)) - F.log1p(F.lit(-p))
+    """P(Bin(n, p) <= k); 1 if k >= n * p, where no bound below one half exists.
+
+    Terms are summed from the largest, that of k, down. Below the mean they fall at least as those of a bell curve, so
+    12 standard deviations and 40 terms on they are below e^-70 of the largest, and the sum ends: it has about
+    12 * sqrt(n * p) terms, not k.
+    """
+    log_term = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log1p(F.lit(-p))
+    back = F.greatest(k - F.ceil(F.lit(12.0) * F.sqrt(n * F.lit(p)) + 40), F.lit(0).cast("bigint"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def step(acc: Column, j: Column) -> Column:
-        term = acc["term"] + F.log((n - j + 1).cast("double")) - F.log(j.cast("double")) + odds
-        return F.struct(term.alias("term"), (acc["total"] + F.exp(term)).alias("total"))
+        # from the term of j to that of j - 1, as a share of the largest
+        term = acc["term"] * j * F.lit((1 - p) / p) / (n - j + 1)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    ranks = F.when(k > 0, F.sequence(k, back + 1)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(k.cast("double") >= n * p, F.lit(1.0)).otherwise(F.exp(log_term) * F.aggregate(ranks, start, step, lambda acc: acc["total"]))
+
 
-    ranks = F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.when(k.cast("double") >= n * p, F.lit(1.0)).otherwise(F.aggregate(ranks, start, step, lambda acc: acc["total"]))
+def _log_factorial(n: Column) -> Column:
+    """ln n!: summed up to 20, beyond that by Stirling's series, whose error there is below 1e-15."""
+    x = n.cast("double")
+    few = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(0.0), lambda acc, j: acc + F.when(j <= n, F.log(j.cast("double"))).otherwise(0.0))
+    series = 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
+    return F.when(n <= 20, few).otherwise(x * F.log(x) - x + F.log(2 * F.lit(math.pi) * x) / 2 + series)
 
 
 def proven_steps(good: DataFrame, rules=RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -139,12 +155,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rul
     borrowed from other strata. Repeated rows stay. Empty tables: no rows, or no cutoffs. Other columns are dropped.
     """
     stats = base_statistics(docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))).drop("text")
-    stats = Scratch(docs.sparkSession).save(stats.withColumn("first_step", first_step(rules)))  # numbers only: the texts are read once
+    scratch = Scratch(docs.sparkSession)
+    stats = scratch.save(stats.withColumn("first_step", first_step(rules)))  # numbers only: the texts are read once
     good = labels.where("quality = 1").select("doc_id").distinct()
     steps = proven_steps(stats.where("not base_failed").join(good, "doc_id", "left_semi"), rules, alpha, delta)
     hit = F.coalesce(F.col("first_step") <= F.col("step"), F.lit(False))
-    # One row for each stratum; a stratum is a language, so there are few.
-    return stats.join(steps, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~hit).drop("first_step", "step", "stratum")
+    return stats.join(small(scratch.save(steps)), "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~hit).drop("first_step", "step", "stratum")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
