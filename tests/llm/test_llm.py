@@ -419,6 +419,28 @@ def test_occurrences_are_those_of_a_plain_count():
         assert dict(ngram_join.occurring(lists, least, rng.choice([0.002, 0.1, 1.0]))) == counts
 
 
+def test_texts_of_one_template_are_not_quadratic(spark, monkeypatch):
+    """70 words of a template and 30 own ones share parts but do not link; every tenth text has a near copy that does.
+    What is searched at most doubles with the texts, though a neighbourhood is many blocks."""
+    rng, searched, search = random.Random(6), [], ngram_join._search_blocks
+
+    def counted(rows, percent):
+        searched.append(rows.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0])
+        return search(rows, percent)
+
+    monkeypatch.setattr(ngram_join, "_search_blocks", counted)
+    template = [f"t{i}" for i in range(70)]
+    totals = []
+    for n in (500, 1000, 2000):
+        searched.clear()
+        texts = [" ".join(template + [f"w{rng.randrange(10**9)}" for _ in range(30)]) for _ in range(n)]
+        copies = [t.rsplit(" ", 1)[0] + " other" for t in texts[::10]]
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs_of(spark, texts + copies), block=10_000).collect()}
+        assert got == {i: i for i in range(n)} | {n + i: 10 * i for i in range(len(copies))}
+        totals.append(sum(searched))
+    assert 0 < totals[1] <= 2.2 * totals[0] and totals[2] <= 2.2 * totals[1]
+
+
 @pytest.mark.parametrize("replaced", [1, 6])
 def test_a_block_of_near_copies_is_not_quadratic(replaced):
     """64,000 sets around one: linked ones cost their shingles, unlinked ones share only long lists."""

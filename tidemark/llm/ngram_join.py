@@ -9,9 +9,12 @@ Nodes connected by shared signatures form a neighbourhood. In each one an invert
 others hold at least T of its shingles: the short lists are merged on a heap, and what occurs often enough there is
 probed for in the long ones (DivideSkip). The index lists components instead of nodes, one entry for all that have been
 joined, so a group of near copies costs no more than its shingles; members of a component are searched in the same way,
-only if the component as a whole holds T shingles and none of a few members tried first links. A neighbourhood larger
-than a task's share is cut into blocks that all hold one common leader; members that its component does not take in are
-searched against all blocks afterwards.
+only if the component as a whole holds T shingles and none of a few members tried first links.
+
+Texts of one template share parts without linking. So a neighbourhood larger than a task's share is first taken apart by
+its rare shingles: two sets that link share one of their rarest, if each gives one more than a partner may lack. Sets that
+share none of those are alone, the others form smaller neighbourhoods. One that is still larger is cut into blocks that
+all hold one common leader; members that its component does not take in are searched against all blocks afterwards.
 """
 
 from __future__ import annotations
@@ -280,8 +283,36 @@ def _search_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return map_batches(ordered, run, "a bigint, b bigint")
 
 
+def _stars(keyed: DataFrame, key: str, scratch: Scratch, total: int) -> DataFrame:
+    """(node, root) of the nodes of ``keyed`` (node, ``key``) that share a key with another, connected by shared keys."""
+    shared = keyed.groupBy(key).agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("rows_of_key")).where("least < most")
+    edges = join_hot(keyed, scratch.save(shared.drop("most")), key, total).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    return scratch.save(connected_components(edges, scratch))
+
+
+def _taken_apart(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """``sets`` of large neighbourhoods with new roots: those that share rare shingles; sets that share none are left out.
+
+    Shingles are ordered by how many sets here have them, then by value. A set of n that links with another lacks
+    n - ceil(n * percent / 100) of the common shingles at most, so the rarest of these is among its first one more.
+    Shingles of one set alone come first in that order and match nothing: only the places they leave are given.
+    """
+    each = sets.select("node", "n", F.explode("shingles").alias("shingle"))
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    several = scratch.save(each.groupBy("shingle").agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1").withColumn("holders", F.col("rows_of_key")))
+    held = join_hot(each, several, "shingle", total).groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("holders", "shingle"))).alias("held"))
+    given = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("held"))
+    rare = held.select("node", F.explode(F.slice("held", 1, F.greatest(given, F.lit(0)).cast("int"))).alias("s")).select("node", F.col("s.shingle").alias("shingle"))
+    roots = _stars(scratch.save(rare), "shingle", scratch, total)
+    return sets.drop("root").join(small(roots, 500_000), "node").select("node", "root", "n", "shingles")
+
+
 def _links(sets: DataFrame, scratch: Scratch, percent: int, block: int) -> DataFrame:
     """(a, b): edges that connect exactly the linked nodes of ``sets`` (node, root, n, shingles)."""
+    large = F.broadcast(scratch.save(sets.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") > block).select("root")))  # all shingles / block of them at most
+    if not large.isEmpty():
+        apart = _taken_apart(sets.join(large, "root", "left_semi"), scratch, percent)
+        sets = scratch.save(sets.join(large, "root", "left_anti").select("node", "root", "n", "shingles").unionByName(apart))
     big = F.broadcast(scratch.save(sets.groupBy("root").agg(F.sum("n").alias("n"), F.min("node").alias("leader")).where(F.col("n") > block)))  # all shingles / block of them at most
     big = big.select("root", F.ceil(F.col("n") / block).alias("blocks"), "leader")
     dealt = sets.join(big, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -330,9 +361,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK
     known = base.where("node is not null and doc_id is not null")
     signed = known.select("node", F.explode("signatures").alias("signature"))
     total = base.count()
-    shared = signed.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("rows_of_key")).where("least < most")
-    near = join_hot(signed, scratch.save(shared.drop("most")), "signature", total).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    near = scratch.save(connected_components(near, scratch))
+    near = _stars(signed, "signature", scratch, total)
     reps = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("rows_of_key")))
 
     wanted = scratch.save(near.join(reps, "node").select("doc_id", "node", "root"))
