@@ -109,6 +109,8 @@ def stream_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BASE, CATEGORIES = ("TransactionAmt", "hour", "day"), ("weekday",)
+#: Most rounds of a model of the ladders, and of those whose scores feed policies and drift: a stage of ten takes seconds.
+ROUNDS, SCORING_ROUNDS = 200, 50
 
 
 def _with_base(spark: SparkSession, sf_dir: str, source=registry.tx) -> DataFrame:
@@ -123,15 +125,15 @@ def _orders_with_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ladder_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladder.leakage_ladder(_with_base(spark, sf_dir), BASE, categorical=CATEGORIES)
+    return ladder.leakage_ladder(_with_base(spark, sf_dir), BASE, ROUNDS, CATEGORIES)
 
 
 def honest_ladder_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladder.honest_ladder(_with_base(spark, sf_dir), BASE, categorical=CATEGORIES)
+    return ladder.honest_ladder(_with_base(spark, sf_dir), BASE, ROUNDS, CATEGORIES)
 
 
 def headline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladder.headline(_with_base(spark, sf_dir), BASE, categorical=CATEGORIES)
+    return ladder.headline(_with_base(spark, sf_dir), BASE, ROUNDS, CATEGORIES)
 
 
 def _history_model(spark: SparkSession, sf_dir: str) -> ladder.Model:
@@ -140,7 +142,7 @@ def _history_model(spark: SparkSession, sf_dir: str) -> ladder.Model:
     rows = history.join(registry.tx(spark, sf_dir).select("TransactionID", "isFraud"), "TransactionID")
     cut = F.col("TransactionDT") < 0.85 * START
     path = f"{shared_folder(spark)}/model"
-    ladder.fit(rows.where(cut), rows.where(~cut), registry.PIT_FEATURES).save(path)
+    ladder.fit(rows.where(cut), rows.where(~cut), registry.PIT_FEATURES, trees=ROUNDS).save(path)
     return ladder.Model.load(spark, path)
 
 
@@ -174,7 +176,7 @@ def ladder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The policy table of the models' own scores."""
-    sets = ladder.scored_sets(_orders_with_base(spark, sf_dir), BASE, categorical=(*CATEGORIES, "priority"))
+    sets = ladder.scored_sets(_orders_with_base(spark, sf_dir), BASE, SCORING_ROUNDS, categorical=(*CATEGORIES, "priority"))
     return decide.policy_table(sets.honest, sets.careless, sets.holdout)
 
 
@@ -191,7 +193,7 @@ def scored_set_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift of the honest model's score and its inputs, selection rows against the holdout."""
-    sets = ladder.scored_sets(_orders_with_base(spark, sf_dir), BASE, categorical=(*CATEGORIES, "priority"))
+    sets = ladder.scored_sets(_orders_with_base(spark, sf_dir), BASE, SCORING_ROUNDS, categorical=(*CATEGORIES, "priority"))
     return monitor.drift_report(sets.honest.withColumnRenamed("score", "score_honest"), sets.holdout, ("score_honest", "TransactionAmt"))
 
 
