@@ -5,35 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_hot
+from .common import Scratch
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: bigint), root being the smallest node of its component.
 
-    Large and small stars in turn (Kiveris et al., 2014) until nothing changes: every node then hangs on its root.
-    Each round is a table in the shared folder; only its counts come to the driver. The rows of a node with very many
-    neighbours are joined to its least neighbour by broadcast, see :func:`~.common.join_hot`.
+    Large and small stars in turn (Kiveris et al., 2014) until one of each changes nothing: every node then hangs on its
+    root. Each star is a table in the shared folder; only its counts come to the driver. The least neighbours are a
+    table too, so their join is one that adaptive execution splits where a node has very many neighbours.
     """
 
-    def star(pairs: DataFrame, large: bool, total: int) -> DataFrame:
+    def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows_of_key")).select("a", F.least("a", "m").alias("m"), "rows_of_key")
-        hung = join_hot(both, least, "a", 2 * total)
+        least = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        hung = both.join(least, "a")
         if large:
             out = hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:  # pairs are (larger, smaller) here
             out = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        after = scratch.save(out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        scratch.drop(least)
+        return after
+
+    def totals(pairs: DataFrame) -> tuple:
+        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
-        after = scratch.save(star(star(now, True, state[0]), False, state[0]))
+    state, large, unchanged = totals(now), True, 0
+    while state[0] and unchanged < 2:
+        after = star(now, large)
+        seen, state, large = state, totals(after), not large
+        unchanged = unchanged + 1 if state == seen else 0
         scratch.drop(now)
         now = after
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))

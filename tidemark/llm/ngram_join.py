@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_hot, map_batches, map_rows, read, small
+from .common import Scratch, map_batches, map_rows, read, small
 from .components import connected_components
 
 WORDS = 3
@@ -283,10 +283,14 @@ def _search_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return map_batches(ordered, run, "a bigint, b bigint")
 
 
-def _stars(keyed: DataFrame, key: str, scratch: Scratch, total: int) -> DataFrame:
-    """(node, root) of the nodes of ``keyed`` (node, ``key``) that share a key with another, connected by shared keys."""
-    shared = keyed.groupBy(key).agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("rows_of_key")).where("least < most")
-    edges = join_hot(keyed, scratch.save(shared.drop("most")), key, total).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+def _stars(keyed: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(node, root) of the nodes of ``keyed`` (node, ``key``) that share a key with another, connected by shared keys.
+
+    Here and below a table of unique keys is written before it is joined: adaptive execution then splits the join where
+    a key is hot, and a task that still has one streams its rows past a single row of the table.
+    """
+    shared = keyed.groupBy(key).agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    edges = keyed.join(scratch.save(shared.drop("most")), key).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     return scratch.save(connected_components(edges, scratch))
 
 
@@ -298,17 +302,16 @@ def _taken_apart(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     Shingles of one set alone come first in that order and match nothing: only the places they leave are given.
     """
     each = sets.select("node", "n", F.explode("shingles").alias("shingle"))
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    several = scratch.save(each.groupBy("shingle").agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1").withColumn("holders", F.col("rows_of_key")))
-    held = join_hot(each, several, "shingle", total).groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("holders", "shingle"))).alias("held"))
+    several = scratch.save(each.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1"))
+    held = each.join(several, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("holders", "shingle"))).alias("held"))
     given = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("held"))
     rare = held.select("node", F.explode(F.slice("held", 1, F.greatest(given, F.lit(0)).cast("int"))).alias("s")).select("node", F.col("s.shingle").alias("shingle"))
-    roots = _stars(scratch.save(rare), "shingle", scratch, total)
+    roots = _stars(scratch.save(rare), "shingle", scratch)
     return sets.drop("root").join(small(roots, 500_000), "node").select("node", "root", "n", "shingles")
 
 
-def _links(sets: DataFrame, scratch: Scratch, percent: int, block: int) -> DataFrame:
-    """(a, b): edges that connect exactly the linked nodes of ``sets`` (node, root, n, shingles)."""
+def _linked(sets: DataFrame, scratch: Scratch, percent: int, block: int) -> DataFrame:
+    """(node, root): the components of the linked nodes of ``sets`` (node, root, n, shingles), a node at most once."""
     large = F.broadcast(scratch.save(sets.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") > block).select("root")))  # all shingles / block of them at most
     if not large.isEmpty():
         apart = _taken_apart(sets.join(large, "root", "left_semi"), scratch, percent)
@@ -321,7 +324,7 @@ def _links(sets: DataFrame, scratch: Scratch, percent: int, block: int) -> DataF
     rows = lambda g2, g3, asks, label: (F.col("root").alias("g1"), g2.alias("g2"), g3.alias("g3"), "node", asks.alias("query"), label.alias("label"), "shingles")
     member = dealt.select(*rows(F.col("block"), zero, yes, F.col("node")))
     if big.isEmpty():
-        return scratch.save(_search_blocks(member, percent))
+        return scratch.save(_search_blocks(member, percent).toDF("node", "root"))  # no neighbourhood has two blocks
     dealt = scratch.save(dealt.where("blocks > 1")).select("*")
     leaders = dealt.where("node = leader").select(*rows(every, zero, yes, F.col("node")))
     first = scratch.save(_search_blocks(member.unionByName(leaders), percent))
@@ -335,7 +338,8 @@ def _links(sets: DataFrame, scratch: Scratch, percent: int, block: int) -> DataF
     asking = outside.join(parts, "root").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")))
     q = asking.select(*rows(every, F.col("part"), yes, F.col("label")))
     i = labelled.join(parts, "root").withColumn("part", F.explode(F.sequence(zero, F.col("parts") - 1))).select(*rows(F.col("block"), F.col("part"), F.lit(False), F.col("label")))
-    return scratch.save(first.unionByName(_search_blocks(q.unionByName(i), percent)))
+    second = scratch.save(_search_blocks(q.unionByName(i), percent))
+    return scratch.save(connected_components(first.unionByName(second), scratch))
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -360,10 +364,8 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK
     base = scratch.save(map_rows(source, ("doc_id", *carried), ("text",), make, "n bigint, node bigint, signatures array<bigint>"))
     known = base.where("node is not null and doc_id is not null")
     signed = known.select("node", F.explode("signatures").alias("signature"))
-    total = base.count()
-    near = _stars(signed, "signature", scratch, total)
-    reps = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("rows_of_key")))
-
+    near = _stars(signed, "signature", scratch)
+    reps = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     wanted = scratch.save(near.join(reps, "node").select("doc_id", "node", "root"))
 
     def make_sets():
@@ -377,16 +379,13 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK
     texts = docs.select("doc_id", "text").join(small(wanted, 500_000), "doc_id")
     sets = map_rows(texts, ("node", "root"), ("node", "text"), make_sets, "n bigint, shingles array<bigint>").where("n is not null")
     sets = scratch.save(sets)
-    links = _links(sets, scratch, percent, block)
-    labels = scratch.save(connected_components(links, scratch))
-    named = reps.join(labels, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"), F.col("rows_of_key").alias("copies"))
-    named = scratch.save(named)
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows_of_key"))
-    of_node = join_hot(named.select("node", "root", "copies"), least, "root", total).select("node", "root", "component_id", F.col("copies").alias("rows_of_key"))
-    of_node = scratch.save(of_node)
-    scratch.drop(sets, links, near)
+    labels = _linked(sets, scratch, percent, block)
+    named = scratch.save(reps.join(labels, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+    least = scratch.save(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    of_node = scratch.save(named.join(least, "root").select("node", "root", "component_id"))
+    scratch.drop(sets, labels, near)
     named_id = F.col("doc_id").isNotNull()
-    return join_hot(base.select("doc_id", *carried, "n", "node"), of_node, "node", total, "left").select(
+    return base.select("doc_id", *carried, "n", "node").join(of_node, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(named_id, F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.when(named_id, F.col("root")).alias("component"), *(F.col(a).alias(c) for c, a in zip(carry, carried)),
     )
