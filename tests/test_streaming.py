@@ -209,3 +209,12 @@ def test_parity_run_reports_rates(spark, tmp_path):
     assert len(report["features"]) == 14 and len(report["slices"]) == 2 and min(report["prepare_s"], report["write_s"]) > 0
     back = tables.read_report(spark, str(tmp_path / "report")).first()
     assert back["rows"] == rows and back["features"]["card_cnt_1h"]["mismatches"] == 0
+
+
+def test_redelivered_events_of_the_first_second_and_before_are_kept(spark, tmp_path):
+    ship(spark)
+    rows = [(i, t, 1.0, 100, "a", i % 2, t + 5.5) for i, t in enumerate((-9 * DAY, -3, 0, 0, 1, 12 * DAY))]
+    events = online.build_events(spark.createDataFrame(rows, TX))
+    out = online.replay(events.unionByName(events), [10.0 * DAY], str(tmp_path), once=True)
+    want = brute_pit(rows)
+    assert {r["TransactionID"]: r["card_cnt_all"] for r in out.collect()} == {i: want[i]["card_cnt_all"] for i in range(6)}
