@@ -78,3 +78,10 @@ def test_without_both_classes_to_stop_on_patience_is_the_number_of_rounds(spark,
     train, stop = parts
     model = ladder.fit(train, stop.where("isFraud = 0"), ("x",), trees=400, patience=20)
     assert model.rounds == 20 and {auc for _, auc in model.history} == {None}
+
+
+def test_rows_are_written_once_a_stage(spark, parts, monkeypatch):
+    writes = []
+    monkeypatch.setattr(boosting, "saved", lambda df, keep=boosting.saved: writes.append(1) or keep(df))
+    model = ladder.fit(*parts, ("x", "y"), trees=20)
+    assert model.history[-1][0] == 20 and len(writes) == 2

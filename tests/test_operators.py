@@ -275,3 +275,12 @@ def test_runs_are_logged(spark, tmp_path):
     for name in ("one", "two"):
         ladder.log_runs(metrics, str(tmp_path / "runs"), name)
     assert sorted(r["experiment"] for r in spark.read.parquet(str(tmp_path / "runs")).collect()) == ["one", "two"]
+
+
+@pytest.mark.parametrize("most_rows", [0, 20, 10**6])
+def test_cards_with_many_rows_go_by_chunks_and_others_whole(spark, most_rows):
+    rows = random_tx(300, seed=3)
+    out = pit_features(spark.createDataFrame(rows, TX), chunk_s=7200, most_rows=most_rows)
+    check_pit(out.collect(), rows)
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ("chunk" in final) == (most_rows < 10**6)  # nothing is shuffled by chunks where no card is large
