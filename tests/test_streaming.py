@@ -218,3 +218,29 @@ def test_redelivered_events_of_the_first_second_and_before_are_kept(spark, tmp_p
     out = online.replay(events.unionByName(events), [10.0 * DAY], str(tmp_path), once=True)
     want = brute_pit(rows)
     assert {r["TransactionID"]: r["card_cnt_all"] for r in out.collect()} == {i: want[i]["card_cnt_all"] for i in range(6)}
+
+
+class Entries(Blocks):
+    def updateValue(self, key, value):  # noqa: N802
+        self.saved[key] = value
+
+
+def test_a_bucket_gives_each_card_its_own_features_in_one_frame():
+    """Null and empty cards are two; each card's rows are those that a state of its own gives."""
+    rng, bucket, own = random.Random(3), online.BucketProcessor(), {}
+    bucket.counters, bucket.blocks = Entries(), Entries()
+    for k in range(12):
+        parts = []
+        for card in (None, "", "a", "b"):
+            times = [k * 50_000 + rng.randrange(-20_000, 50_000) for _ in range(rng.randrange(1, 6))]
+            part = batch([(max(t, 0), 100 + t % 7) for t in times], [(max(t, 0) + 0.5, t % 2) for t in times], k)
+            parts.append(part.assign(card_id=card))
+        mixed = pd.concat(parts).sample(frac=1, random_state=k)
+        frames = list(bucket.handleInputRows((0,), iter(np.array_split(mixed, 2)), None))
+        assert len(frames) <= 2  # late ones and features
+        got = pd.concat(frames)
+        for card in (None, "", "a", "b"):
+            mine = lambda df: df[df["card_id"].isna() if card is None else df["card_id"] == card]
+            p = own.setdefault(card, processor())
+            want = pd.concat(list(p.handleInputRows((card,), iter([mine(mixed)]), None)))
+            pd.testing.assert_frame_equal(mine(got).reset_index(drop=True), want.reset_index(drop=True), check_dtype=False)
