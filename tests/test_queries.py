@@ -50,3 +50,12 @@ def test_headline_holds_both_models(spark):
     assert set(table) == {"naive", "honest"}
     for r in table.values():
         assert 0 <= r["roc_auc_live"] <= 1 and r["roc_auc_gap"] == pytest.approx(r["roc_auc_offline"] - r["roc_auc_live"], abs=2e-4)
+
+
+def test_headline_fits_each_model_once(spark, monkeypatch):
+    """Offline and live the careless model is fitted to the same rows, so it is one model; the honest one learns anew."""
+    fits = []
+    monkeypatch.setattr(ladder, "fit", lambda *a, own=ladder.fit: fits.append(a[2]) or own(*a))
+    table = {r["model"]: r for r in ladder.headline(spark.createDataFrame(random_tx(500, seed=9), TX), ("TransactionAmt",), trees=1).collect()}
+    assert len(fits) == 3 and len(set(fits)) == 2
+    assert table["naive"]["rounds_offline"] == table["naive"]["rounds_live"]
