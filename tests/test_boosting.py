@@ -85,3 +85,18 @@ def test_rows_are_written_once_a_stage(spark, parts, monkeypatch):
     monkeypatch.setattr(boosting, "saved", lambda df, keep=boosting.saved: writes.append(1) or keep(df))
     model = ladder.fit(*parts, ("x", "y"), trees=20)
     assert model.history[-1][0] == 20 and len(writes) == 2
+
+
+def test_rows_are_fitted_in_equal_parts_and_released(spark, parts, monkeypatch):
+    """However unequal the partitions of the rows are; what a stage keeps in memory goes with it."""
+    sizes, kept = [], spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def boost(rows, *rest, own=boosting.boost):
+        sizes.extend(r["n"] for r in rows.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n")).collect())
+        return own(rows, *rest)
+
+    monkeypatch.setattr(boosting, "boost", boost)
+    train, stop = parts
+    ladder.fit(train.coalesce(1), stop.limit(200).coalesce(1), ("x", "y"), trees=10)
+    assert sum(sizes) == 3200 and len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) <= 1.1 * min(sizes)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
