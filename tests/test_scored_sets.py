@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -67,3 +68,36 @@ def test_the_last_stage_writes_the_margins_of_stop_rows_alone(spark, monkeypatch
     rows = spark.range(1_200).selectExpr("id as TransactionID", "id % 10 + 0.0D as x", "cast(id % 10 > 6 as int) as isFraud")
     ladder.fit(rows.where("TransactionID < 900"), rows.where("TransactionID >= 900"), ("x",), trees=20)
     assert sizes == [(1_200, True), (300, False)]
+
+
+def _plain_psi(reference, current):
+    """Deciles of the reference, missing values in a bin of their own; texts value by value."""
+    if isinstance(next(v for v in reference if v is not None), str):
+        keys = sorted({str(v) for v in (*reference, *current)})
+        shares = [np.array([[str(v) for v in values].count(k) for k in keys]) / len(values) for values in (reference, current)]
+    else:
+        known = [float(v) for v in reference if v is not None]
+        edges = np.unique(np.quantile(known, [(i + 1) / 10 for i in range(9)]))
+        bins = lambda values: [0 if v is None else np.searchsorted(edges, float(v), side="right") + 1 for v in values]
+        shares = [np.bincount(bins(values), minlength=len(edges) + 2) / len(values) for values in (reference, current)]
+    p, q = (np.clip(s, 1e-4, None) for s in shares)
+    return float(np.sum((q - p) * np.log(q / p)))
+
+
+def test_score_drift_allows_every_round_and_has_every_input_of_the_model(spark, monkeypatch):
+    allowed = []
+    monkeypatch.setattr(boosting, "boost", lambda rows, so_far, rounds, *rest: allowed.append(rounds) or boosting.Boosted(0.0, [], [(0, None)]))
+    gone = lambda c: F.when(F.col("TransactionID") % 7 > 0, F.col(c)).alias(c)
+    tx = registry.live._orders_with_base(spark, SF).withColumns({c: gone(c) for c in ("TransactionAmt", "cents")})
+    monkeypatch.setattr(registry.live, "_orders_with_base", lambda *_: tx)
+    got = {r["feature"]: r["psi"] for r in registry.QUERIES["score_drift"](spark, SF).collect()}
+    assert allowed == [boosting.MOST_ROUNDS]  # of the honest model, on which alone the drift depends
+    inputs = ("TransactionAmt", "hour", "day", *ladder.PIT_FEATURES, *ladder.LABEL_FEATURES, "weekday", "priority")
+    assert set(got) == {"score_honest", *inputs} and got["score_honest"] == 0
+    rows = pit_features(dataset.assign_period(tx), keep=("period", "hour", "day", "weekday", "priority")).collect()
+    holdout = [r for r in rows if r["period"] == "holdout"]
+    until = min(r["TransactionDT"] for r in holdout) - dataset.LEGIT_DELAY * dataset.DAY
+    selection = [r for r in rows if r["period"] == "valid" and r["TransactionDT"] <= until]
+    assert any(r["TransactionAmt"] is None for r in selection)
+    for c in inputs:
+        assert got[c] == pytest.approx(_plain_psi([r[c] for r in selection], [r[c] for r in holdout]), abs=1e-4), c
