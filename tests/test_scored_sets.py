@@ -101,3 +101,10 @@ def test_score_drift_allows_every_round_and_has_every_input_of_the_model(spark,
     assert any(r["TransactionAmt"] is None for r in selection)
     for c in inputs:
         assert got[c] == pytest.approx(_plain_psi([r[c] for r in selection], [r[c] for r in holdout]), abs=1e-4), c
+
+
+def test_scored_policies_allow_both_models_every_round(spark, monkeypatch):
+    allowed = []
+    monkeypatch.setattr(boosting, "boost", lambda rows, so_far, rounds, *rest: allowed.append(rounds) or boosting.Boosted(0.0, [], [(0, None)]))
+    assert registry.QUERIES["scored_policies"](spark, SF).count() == 6
+    assert allowed == [boosting.MOST_ROUNDS] * 2
